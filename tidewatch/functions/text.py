@@ -97,7 +97,7 @@ def json_block(c: Column) -> Column:
 
     def fenced(fence: str) -> Column:
         start = F.locate(fence, c) + len(fence)
-        end = F.locate("```", c, start)
+        end = F.position(F.lit("```"), c, start)
         inner = c.substr(start, end - start)
         return F.when(end > 0, F.btrim(inner, F.lit(_WHITESPACE)))
 
@@ -118,7 +118,7 @@ def front_matter(c: Column) -> Column:
     Without the block, head is '' and body the whole text; an unclosed block
     gives a null struct.
     """
-    end = F.locate("---", c, F.lit(4))
+    end = F.position(F.lit("---"), c, F.lit(4))
     head = F.btrim(c.substr(F.lit(4), end - 4), F.lit(_WHITESPACE))
     body = F.btrim(c.substr(end + 3, F.length(c)), F.lit(_WHITESPACE))
     return (
