@@ -49,7 +49,10 @@ def sql_six_digits(x: str) -> str:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVENT records, with partition and offset, from the events table."""
-    events = table(spark, sf_dir, "events")
+    return as_telemetry(table(spark, sf_dir, "events"))
+
+
+def as_telemetry(events: DataFrame) -> DataFrame:
     kind, value = F.col("event_type"), F.col("value")
     source = F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string"))
     metric_name = F.when(kind == "click", "latency_ms").when(kind == "purchase", "heap_usage_percent")

@@ -9,13 +9,13 @@ from tidewatch.operators import detect
 from tidewatch.plans.adapters import TELEMETRY_SQL, six_digits, sql_six_digits, telemetry
 
 
-def _rounded(alerts: DataFrame) -> DataFrame:
+def rounded(alerts: DataFrame) -> DataFrame:
     """Baselines agree to rounding of the last digits only."""
     return alerts.withColumn("threshold", six_digits("threshold")).withColumn("actual", six_digits("actual"))
 
 
 def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(detect.threshold_alerts(telemetry(spark, sf_dir)))
+    return rounded(detect.threshold_alerts(telemetry(spark, sf_dir)))
 
 
 def ewma_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,15 +29,15 @@ def ewma_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deviation_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(detect.deviation_alerts(telemetry(spark, sf_dir)))
+    return rounded(detect.deviation_alerts(telemetry(spark, sf_dir)))
 
 
 def log_error_rate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(detect.log_error_rate_alerts(telemetry(spark, sf_dir)))
+    return rounded(detect.log_error_rate_alerts(telemetry(spark, sf_dir)))
 
 
 def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(detect.detect_alerts(telemetry(spark, sf_dir)))
+    return rounded(detect.detect_alerts(telemetry(spark, sf_dir)))
 
 
 def alert_json(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.plans import alerts, diagnoses, incidents, metrics, reads, texts
+from tidewatch.plans import alerts, diagnoses, incidents, metrics, reads, streams, texts
 
-_PARTS = (alerts, reads, metrics, incidents, diagnoses, texts)
+_PARTS = (alerts, streams, reads, metrics, incidents, diagnoses, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
