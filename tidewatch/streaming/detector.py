@@ -94,6 +94,8 @@ def detect_alerts_stream(
     """Alerts of a stream of EVENT records: one shuffle by series, one stateful operator.
 
     A series without rows for ``ttl_ms`` starts anew; by default state is kept for good.
+    With a time to live the stream follows the clock and has no end, so a trigger that
+    waits for the end (``availableNow``) would not return.
     """
     use_spilling_state(events)
     rows = keyed_rows(events)
