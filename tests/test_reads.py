@@ -225,7 +225,7 @@ def test_decode(spark):
     rows = [(good,), ("garbage",), ("",), (None,)]
     records = spark.createDataFrame(rows, "value string").select(F.col("value").cast("binary").alias("value"))
     watch = Observation("decode")
-    got = ev.decoded_events(ev.decode(records), watch).orderBy("event_id").collect()
+    got = sorted(ev.decoded_events(ev.decode(records), watch).collect(), key=lambda r: r.event_id)
     assert [(r.event_id, r.timestamp_ms, r.source) for r in got] == [("", 0, ""), ("test-001", 0, "s")]
     assert got[0].metric is None and (got[1].metric.value, got[1].metric.component) == (42.5, "")
     assert watch.get == {"records": 4, "errors": 2}

@@ -30,7 +30,7 @@ def step_seconds(text: str) -> int | None:
 
 def duration_seconds_column(c: Column) -> Column:
     """The same over a column; a number that does not parse gives null."""
-    number = F.substring_index(c, F.right(c, F.lit(1)), 1).try_cast("double")
+    number = F.left(c, F.length(c) - 1).try_cast("double")
     out = F.lit(None).cast("double")
     for unit, seconds in UNIT_SECONDS.items():
         out = F.when(F.endswith(c, F.lit(unit)), number * seconds).otherwise(out)

@@ -10,14 +10,14 @@ from tidewatch.functions.text import front_matter, front_matter_keys
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the Markdown files in a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def runbook_index(files: DataFrame) -> DataFrame:
     """(anomaly_type, title, body, path) of (path, content) rows; the last path of a type wins.
 
-    Only the winning path is aggregated; its body follows by a join on the path.
+    Each task passes on one winner per type, so many files of a type cost no more than a scan.
     """
     parsed = files.select("path", front_matter(F.col("content")).alias("f")).select(
         "path", front_matter_keys(F.col("f.head")).alias("keys"), F.col("f.body").alias("body")
@@ -28,8 +28,8 @@ def runbook_index(files: DataFrame) -> DataFrame:
         F.try_element_at("keys", F.lit("title")).alias("title"),
         "body",
     ).filter(F.col("anomaly_type").isNotNull() & (F.col("anomaly_type") != ""))
-    winners = typed.groupBy("anomaly_type").agg(F.max("path").alias("path"))
-    return typed.join(winners, ["anomaly_type", "path"])
+    winner = F.max(F.struct("path", "title", "body")).alias("w")
+    return typed.groupBy("anomaly_type").agg(winner).select("anomaly_type", "w.title", "w.body", "w.path")
 
 
 def list_runbooks(index: DataFrame) -> DataFrame:
