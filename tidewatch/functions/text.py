@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +48,22 @@ NUMBER_PATTERN = r"[-+]?\d*\.?\d+"
 _WHITESPACE = " \n\t\r\f\u000b"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` refers to it.
+
+    Conditions and branches are outside of Spark's elimination of common
+    subexpressions, so a costly operand would be computed for each of them.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
+def contains_any(lowered: Column, words: list[str]) -> Column:
+    found = F.contains(lowered, F.lit(words[0]))
+    for word in words[1:]:
+        found = found | F.contains(lowered, F.lit(word))
+    return found
+
+
 def json_escape(c: Column) -> Column:
     """Escape backslash and double quote, the two characters that end a JSON string."""
     return F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
@@ -82,11 +100,7 @@ def sanitize(c: Column, max_chars: int, trust: Column | str = "untrusted") -> Co
 
 
 def mentions_anomaly(c: Column) -> Column:
-    lowered = F.lower(c)
-    found = F.contains(lowered, F.lit(ANOMALY_WORDS[0]))
-    for word in ANOMALY_WORDS[1:]:
-        found = found | F.contains(lowered, F.lit(word))
-    return found
+    return once(F.lower(c), lambda t: contains_any(t, ANOMALY_WORDS))
 
 
 def json_block(c: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import confidence_rank, is_low, short_id
 from tidewatch.functions.text import prefix
+from tidewatch.operators.skew import salted_join
 from tidewatch.rules import Rules
 
 CONFIDENCES = ["HIGH", "MEDIUM", "LOW", "UNSOURCED"]
@@ -156,9 +157,8 @@ def duplicate_ids(children: DataFrame, id_column: str) -> DataFrame:
 def dangling_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """Claims whose source is not among those of their diagnosis; UNSOURCED ones are exempt."""
     known = sources.select("diagnosis_id", "source_id").distinct()
-    # Null-safe on the source id only: a missing id refers to nothing.
-    return claims.filter(F.col("confidence") != "UNSOURCED").join(
-        known, ["diagnosis_id", "source_id"], "left_anti"
+    return salted_join(
+        claims.filter(F.col("confidence") != "UNSOURCED"), known, ["diagnosis_id", "source_id"], "left_anti"
     )
 
 
@@ -175,7 +175,7 @@ def dangling_conflicts(conflicts: DataFrame, claims: DataFrame) -> DataFrame:
         ).alias("s"),
     ).select("diagnosis_id", "conflict_id", "s.side", "s.claim_id")
     known = claims.select("diagnosis_id", "claim_id").distinct()
-    return sides.join(known, ["diagnosis_id", "claim_id"], "left_anti")
+    return salted_join(sides, known, ["diagnosis_id", "claim_id"], "left_anti")
 
 
 def integrity_errors(
@@ -353,7 +353,7 @@ def merged_children(forked: DataFrame, children: DataFrame, ids: list[str]) -> D
     The order of the merged list is (fork, pos).
     """
     head = forked.select("incident_id", "fork", "diagnosis_id", fork_prefix().alias("_prefix"))
-    joined = children.join(head, "diagnosis_id")
+    joined = salted_join(children, head, ["diagnosis_id"], "inner")
     for c in ids:
         joined = joined.withColumn(c, F.concat("_prefix", c))
     rest = [c for c in children.columns if c not in ("diagnosis_id", "pos")]

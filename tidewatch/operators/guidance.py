@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import contains_any, once
 from tidewatch.rules import Rules
 
 # Causes to investigate for an anomaly of no known type, most likely first.
@@ -79,14 +80,12 @@ def hypothesis_plan(anomalies: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def runbook_types(text: Column) -> Column:
     """Types whose words occur in the text, in type order."""
-    lowered = F.lower(text)
-    found = []
-    for kind, words in RUNBOOK_WORDS.items():
-        hit = F.contains(lowered, F.lit(words[0]))
-        for word in words[1:]:
-            hit = hit | F.contains(lowered, F.lit(word))
-        found.append(F.when(hit, F.lit(kind)))
-    return F.array_compact(F.array(*found))
+
+    def matched(lowered: Column) -> Column:
+        kinds = [F.when(contains_any(lowered, words), F.lit(kind)) for kind, words in RUNBOOK_WORDS.items()]
+        return F.array_compact(F.array(*kinds))
+
+    return once(F.lower(text), matched)
 
 
 def match_runbooks(texts: DataFrame, runbooks: DataFrame, text: str = "text") -> DataFrame:

@@ -51,39 +51,39 @@ def _log_schema() -> T.StructType:
     return out.add("partition", T.IntegerType()).add("offset", T.LongType())
 
 
-def _with_defaults(event: Column) -> Column:
+_BAD = "_bad"
+
+
+def _json_record(value: Column) -> Column:
+    """EVENT struct of JSON text with the text itself in ``_bad`` where it is malformed."""
+    wide = T.StructType(list(EVENT.fields)).add(_BAD, T.StringType())
+    # Empty bytes are a valid message without any field.
+    text = F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.when(value.isNotNull(), F.lit("{}")))
+    return F.from_json(text, wide, {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"})
+
+
+def _with_defaults(e: str) -> Column:
     """Scalars that are not set read as '' and 0, as the wire format has it."""
-    payload = [F.col(f"_e.{p}") for p in ("metric", "log", "alert", "heartbeat")]
-    metric, log = payload[0], payload[1]
-    return F.struct(
-        F.coalesce(F.col("_e.event_id"), F.lit("")).alias("event_id"),
-        F.coalesce(F.col("_e.timestamp_ms"), F.lit(0)).alias("timestamp_ms"),
-        F.coalesce(F.col("_e.source"), F.lit("")).alias("source"),
-        F.when(
-            metric.isNotNull(),
-            metric.withField("metric_name", F.coalesce(metric["metric_name"], F.lit("")))
-            .withField("value", F.coalesce(metric["value"], F.lit(0.0)))
-            .withField("component", F.coalesce(metric["component"], F.lit(""))),
-        ).alias("metric"),
-        F.when(
-            log.isNotNull(),
-            log.withField("severity", F.coalesce(log["severity"], F.lit(0)))
-            .withField("message", F.coalesce(log["message"], F.lit("")))
-            .withField("component", F.coalesce(log["component"], F.lit(""))),
-        ).alias("log"),
-        payload[2].alias("alert"),
-        payload[3].alias("heartbeat"),
-    )
 
+    def scalar(path: str, default: str | int | float) -> Column:
+        return F.coalesce(F.col(f"{e}.{path}"), F.lit(default)).alias(path.split(".")[-1])
+
+    def payload(name: str, defaults: dict[str, str | int | float]) -> Column:
+        fields = [
+            scalar(f"{name}.{f}", defaults[f]) if f in defaults else F.col(f"{e}.{name}.{f}")
+            for f in EVENT[name].dataType.names
+        ]
+        return F.when(F.col(f"{e}.{name}").isNotNull(), F.struct(*fields)).alias(name)
 
-def json_event(value: Column) -> Column:
-    """EVENT struct of JSON text; null for null or malformed text. '' is an event without payload."""
-    text = value.cast("string")
-    parsed = F.from_json(text, T.StructType(list(EVENT.fields)).add("_bad", T.StringType()),
-                         {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-    empty = F.from_json(F.lit("{}"), EVENT)
-    sound = F.when(parsed["_bad"].isNull(), parsed.dropFields("_bad"))
-    return F.when(text == "", empty).otherwise(sound)
+    return F.struct(
+        scalar("event_id", ""),
+        scalar("timestamp_ms", 0),
+        scalar("source", ""),
+        payload("metric", {"metric_name": "", "value": 0.0, "component": ""}),
+        payload("log", {"severity": 0, "message": "", "component": ""}),
+        F.col(f"{e}.alert"),
+        F.col(f"{e}.heartbeat"),
+    )
 
 
 def protobuf_event(value: Column, descriptor_file: str) -> Column:
@@ -98,17 +98,20 @@ def decode(records: DataFrame, descriptor_file: str | None = None, fallback: boo
     """Decode ``value``; a record that does not decode gets a null ``event`` and stays.
 
     With a descriptor the records are protobuf, else JSON; ``fallback`` tries
-    JSON on what is not protobuf.
+    JSON on what is not protobuf. Each step below is a projection of its own,
+    so that a message is parsed once.
     """
-    if descriptor_file is None:
-        event = json_event(F.col("value"))
-    else:
-        event = protobuf_event(F.col("value"), descriptor_file)
-        if fallback:
-            event = F.coalesce(event, json_event(F.col("value")))
     keep = [c for c in ("partition", "offset", "timestamp") if c in records.columns]
-    decoded = records.select(*keep, event.alias("_e"))
-    return decoded.withColumn("event", F.when(F.col("_e").isNotNull(), _with_defaults(F.col("_e")))).drop("_e")
+    parsed = records.select(*keep, "value")
+    candidates = []
+    if descriptor_file is not None:
+        parsed = parsed.withColumn("_p", protobuf_event(F.col("value"), descriptor_file))
+        candidates.append(F.when(F.col("_p").isNotNull(), _with_defaults("_p")))
+    if descriptor_file is None or fallback:
+        parsed = parsed.withColumn("_j", _json_record(F.col("value")))
+        sound = F.col("_j").isNotNull() & F.col(f"_j.{_BAD}").isNull()
+        candidates.append(F.when(sound, _with_defaults("_j")))
+    return parsed.select(*keep, F.coalesce(*candidates).alias("event"))
 
 
 def decoded_events(decoded: DataFrame, observation="decode") -> DataFrame:

@@ -14,11 +14,11 @@ _UNPARSED_SUMMARY = "Agent response could not be parsed as structured output"
 _CONFIDENCES = ["HIGH", "MEDIUM", "LOW", "UNSOURCED"]
 
 
-def _parsed(text: Column, schema: T.StructType) -> Column:
+def _parsed(texts: DataFrame, text: str, schema: T.StructType) -> DataFrame:
+    """Add ``_r``, the record of each text, in a projection of its own: it is parsed once."""
     wide = T.StructType(list(schema.fields)).add("_bad", T.StringType())
     options = {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}
-    record = F.from_json(json_block(text), wide, options)
-    return F.when(record["_bad"].isNull(), record.dropFields("_bad"))
+    return texts.withColumn("_r", F.from_json(json_block(F.col(text)), wide, options))
 
 
 def _all_set(items: Column, fields: list[str]) -> Column:
@@ -34,8 +34,8 @@ def _all_set(items: Column, fields: list[str]) -> Column:
 def parse_anomalies(texts: DataFrame, text: str = "text", now: Column | None = None) -> DataFrame:
     """Add ``anomaly``: the ANOMALY in each text, or one of type unknown that quotes the text."""
     c = F.col(text)
-    a = _parsed(c, ANOMALY)
-    sound = a["anomaly_type"].isNotNull() & a["summary"].isNotNull() & a["detected_at"].isNotNull()
+    a = F.col("_r")
+    sound = a["_bad"].isNull() & a["anomaly_type"].isNotNull() & a["summary"].isNotNull() & a["detected_at"].isNotNull()
     blank = {f.name: F.lit(None).cast(f.dataType) for f in ANOMALY.fields}
     blank |= {
         "anomaly_type": F.lit("unknown"),
@@ -44,8 +44,10 @@ def parse_anomalies(texts: DataFrame, text: str = "text", now: Column | None = N
         "source_signal_ids": F.array().cast("array<string>"),
     }
     fallback = F.struct(*[v.alias(k) for k, v in blank.items()])
-    kept = a.withField("source_signal_ids", F.coalesce(a["source_signal_ids"], blank["source_signal_ids"]))
-    return texts.withColumn("anomaly", F.when(sound, kept).otherwise(fallback))
+    signals = F.coalesce(a["source_signal_ids"], blank["source_signal_ids"]).alias("source_signal_ids")
+    kept = F.struct(*[a[n] for n in ANOMALY.names[:-1]], signals)
+    chosen = F.when(sound, kept).otherwise(fallback)
+    return _parsed(texts, text, ANOMALY).withColumn("anomaly", chosen).drop("_r")
 
 
 def parse_diagnoses(texts: DataFrame, text: str = "text", now: Column | None = None) -> DataFrame:
@@ -55,9 +57,9 @@ def parse_diagnoses(texts: DataFrame, text: str = "text", now: Column | None = N
     to anything are left to the integrity checks.
     """
     c = F.col(text)
-    d = _parsed(c, DIAGNOSIS)
+    d = F.col("_r")
     required = ["anomaly_type", "detected_at", "affected_components", "root_cause", "tools_used"]
-    sound = d.isNotNull()
+    sound = d.isNotNull() & d["_bad"].isNull()
     for f in required:
         sound = sound & d[f].isNotNull()
     for f in ("summary", "confidence", "reasoning"):
@@ -80,14 +82,15 @@ def parse_diagnoses(texts: DataFrame, text: str = "text", now: Column | None = N
             "notes", F.coalesce(x["notes"], F.lit(""))
         ),
     )
-    metrics = F.coalesce(d["root_cause"]["supporting_metrics"], F.array().cast("array<string>"))
-    kept = (
-        d.withField("sources", F.coalesce(d["sources"], empty("sources")))
-        .withField("claims", F.coalesce(d["claims"], empty("claims")))
-        .withField("conflicts", conflicts)
-        .withField("root_cause", d["root_cause"].withField("supporting_metrics", metrics))
-        .withField("raw_evidence", F.coalesce(d["raw_evidence"], empty("raw_evidence")))
-    )
+    cause = d["root_cause"]
+    metrics = F.coalesce(cause["supporting_metrics"], F.array().cast("array<string>"))
+    changed = {
+        "conflicts": conflicts,
+        "root_cause": F.struct(
+            cause["summary"], cause["confidence"], cause["reasoning"], metrics.alias("supporting_metrics")
+        ),
+    } | {n: F.coalesce(d[n], empty(n)) for n in ("sources", "claims", "raw_evidence")}
+    kept = F.struct(*[changed.get(n, d[n]).alias(n) for n in DIAGNOSIS.names])
     fallback = F.struct(
         F.lit("parse_error").alias("anomaly_type"),
         (utc_now_iso() if now is None else now).alias("detected_at"),
@@ -101,4 +104,5 @@ def parse_diagnoses(texts: DataFrame, text: str = "text", now: Column | None = N
         empty("tools_used").alias("tools_used"),
         F.array(prefix(c, 500)).alias("raw_evidence"),
     )
-    return texts.withColumn("diagnosis", F.when(sound, kept).otherwise(fallback))
+    chosen = F.when(sound, kept).otherwise(fallback)
+    return _parsed(texts, text, DIAGNOSIS).withColumn("diagnosis", chosen).drop("_r")
