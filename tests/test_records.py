@@ -371,6 +371,8 @@ def test_names_and_ranks(spark):
     assert [tuple(r) for r in got] == [("SEVERITY_UNSPECIFIED", 3), ("ERROR", 0), (None, None)]
     names = spark.createDataFrame([("FATAL",)], "s string").select(keys.severity_ordinal(F.col("s")))
     assert names.first()[0] == 5
+    ids = [r[0] for r in spark.range(3).select(keys.cycle_id(F.col("id"), F.lit("run"))).collect()]
+    assert len(set(ids)) == 3 and all(len(i) == 16 and i.startswith("cyc-") for i in ids)
     assert spark.range(1).select(keys.utc_now_iso()).first()[0].endswith(("Z", "+00:00"))
 
 

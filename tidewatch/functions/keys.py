@@ -51,6 +51,12 @@ def short_id(*keys: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", *[k.cast("string") for k in keys]), 256), 1, 8)
 
 
+def cycle_id(*keys: Column) -> Column:
+    """'cyc-' and twelve hex digits: one id for all that a monitoring cycle puts out."""
+    digest = F.sha2(F.concat_ws("\u001f", *[k.cast("string") for k in keys]), 256)
+    return F.concat(F.lit("cyc-"), F.substring(digest, 1, 12))
+
+
 def utc_now_iso() -> Column:
     """Time of the query as ISO-8601 text; needs a UTC session time zone."""
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")

@@ -55,8 +55,11 @@ def threshold_alerts(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One CRITICAL alert per metric sample above its limit; stateless, no shuffle."""
     name = F.col("metric.metric_name")
     value = F.coalesce(F.col("metric.value"), F.lit(0.0))
+    lowest = min(rules.limits.values(), default=float("inf"))
     return (
         events.filter(has_metric() & name.isin(*rules.limits))
+        # Implied by the filter on the limits, but simple enough to reach the scan.
+        .filter(F.col("metric.value") > (lowest if lowest >= 0 else float("-inf")))
         .withColumn("_limit", limit_for(name, rules))
         # NaN sorts above every number in Spark, but is above no limit.
         .filter((value > F.col("_limit")) & ~F.isnan(value))

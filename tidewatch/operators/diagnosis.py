@@ -288,8 +288,11 @@ def forks(diagnoses: DataFrame, claims: DataFrame) -> DataFrame:
             F.col("summary").alias("summary"),
         )
     )
-    per_incident = ranked.groupBy("incident_id").agg(best.alias("primary"), F.count("*").alias("fork_count"))
-    return ranked.join(per_incident, "incident_id")
+    # As many rows per incident as it has forks, which the fork limit bounds.
+    incident = Window.partitionBy("incident_id")
+    return ranked.withColumn("primary", best.over(incident)).withColumn(
+        "fork_count", F.count("*").over(incident)
+    )
 
 
 def fork_prefix() -> Column:

@@ -47,12 +47,21 @@ def sql_six_digits(x: str) -> str:
     return f"floor(({x}) * 1e6 + 5e-1) / 1e6"
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """EVENT records, with partition and offset, from the events table."""
-    return as_telemetry(table(spark, sf_dir, "events"))
+_METRIC_TYPES = ["click", "purchase"]
+_LOG_TYPES = ["error", "view", "signup"]
 
 
-def as_telemetry(events: DataFrame) -> DataFrame:
+def telemetry(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """EVENT records, with partition and offset, from the events table.
+
+    ``only`` (metric or log) leaves the other records in the scan.
+    """
+    return as_telemetry(table(spark, sf_dir, "events"), only)
+
+
+def as_telemetry(events: DataFrame, only: str | None = None) -> DataFrame:
+    if only is not None:
+        events = events.filter(F.col("event_type").isin(_METRIC_TYPES if only == "metric" else _LOG_TYPES))
     kind, value = F.col("event_type"), F.col("value")
     source = F.concat(F.lit("svc-"), (F.col("user_id") % 8).cast("string"))
     metric_name = F.when(kind == "click", "latency_ms").when(kind == "purchase", "heap_usage_percent")
@@ -83,8 +92,8 @@ def as_telemetry(events: DataFrame) -> DataFrame:
         F.col("event_id"),
         F.unix_millis(instant(events, "ts")).alias("timestamp_ms"),
         source.alias("source"),
-        F.when(metric_name.isNotNull(), metric).alias("metric"),
-        F.when(severity.isNotNull(), log).alias("log"),
+        (metric if only == "metric" else F.when(kind.isin(_METRIC_TYPES), metric)).alias("metric"),
+        (log if only == "log" else F.when(kind.isin(_LOG_TYPES), log)).alias("log"),
         F.lit(None).cast(schema.PROTO_ALERT).alias("alert"),
         F.lit(None).cast(schema.HEARTBEAT).alias("heartbeat"),
         (F.col("event_id") % PARTITIONS).cast("int").alias("partition"),
@@ -133,7 +142,7 @@ offsets AS (
 
 def gauge_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gauges: the metric events, labelled by their source."""
-    return telemetry(spark, sf_dir).filter(F.col("metric").isNotNull()).select(
+    return telemetry(spark, sf_dir, "metric").select(
         F.col("metric.metric_name").alias("name"),
         F.create_map(F.lit("source"), "source").alias("labels"),
         F.col("timestamp_ms").alias("ts_ms"),

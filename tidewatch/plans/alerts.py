@@ -15,11 +15,11 @@ def rounded(alerts: DataFrame) -> DataFrame:
 
 
 def threshold_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(detect.threshold_alerts(telemetry(spark, sf_dir)))
+    return rounded(detect.threshold_alerts(telemetry(spark, sf_dir, "metric")))
 
 
 def ewma_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.ewma_baseline(telemetry(spark, sf_dir)).select(
+    return detect.ewma_baseline(telemetry(spark, sf_dir, "metric")).select(
         "event_id",
         "series_key",
         "samples",
@@ -29,11 +29,11 @@ def ewma_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deviation_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(detect.deviation_alerts(telemetry(spark, sf_dir)))
+    return rounded(detect.deviation_alerts(telemetry(spark, sf_dir, "metric")))
 
 
 def log_error_rate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(detect.log_error_rate_alerts(telemetry(spark, sf_dir)))
+    return rounded(detect.log_error_rate_alerts(telemetry(spark, sf_dir, "log")))
 
 
 def all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,9 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": STREAM_STATE_PROVIDER,
+        # Segment checkpoints are compressed, and removed once nothing refers to them.
+        "spark.checkpoint.compress": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
