@@ -176,7 +176,7 @@ _TYPES = ["latency_spike", "throughput_drop", "backpressure", "parse_error", "er
 _TOOLS = [
     ["query_metrics", "search_logs"],
     ["get_consumer_lag"],
-    ["search_logs", "query_flink_jobs", "query_metrics"],
+    ["search_logs", "job_overview", "query_metrics"],
 ]
 FORK_LIMIT = 4
 
@@ -212,7 +212,7 @@ headers AS (
          strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS detected_at,
          'cause ' || o_orderkey AS summary,
          CASE o_orderkey % 3 WHEN 0 THEN ['query_metrics', 'search_logs'] WHEN 1 THEN ['get_consumer_lag']
-              ELSE ['search_logs', 'query_flink_jobs', 'query_metrics'] END AS tools_used
+              ELSE ['search_logs', 'job_overview', 'query_metrics'] END AS tools_used
   FROM orders)"""
 
 

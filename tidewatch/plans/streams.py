@@ -10,7 +10,7 @@ from tidewatch.operators.ordered import checkpoint_dir
 from tidewatch.plans import adapters, alerts
 from tidewatch.streaming import detector, sinks
 
-_MICRO_BATCH = 2 << 30
+_MICRO_BATCH = 256 << 20
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
