@@ -134,3 +134,16 @@ def test_anomaly_per_cycle_is_the_one_furthest_over_its_limit(spark):
 def test_fingerprint(spark):
     got = spark.range(1).select(fingerprint(F.lit("t"), F.lit(None).cast("string"))).first()[0]
     assert got == "t:unknown"
+
+
+def test_times_are_utc_in_any_session(spark):
+    alerts = spark.createDataFrame(
+        [("e", "latency_ms_threshold", "a", 200.0, 400.0, 1704067200123, "CRITICAL")],
+        "event_id string, rule string, component string, threshold double, actual double, timestamp_ms long, "
+        "severity string",
+    )
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert incidents.anomalies_from_alerts(alerts).first().detected_at == "2024-01-01T00:00:00.123Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -57,6 +57,12 @@ def cycle_id(*keys: Column) -> Column:
     return F.concat(F.lit("cyc-"), F.substring(digest, 1, 12))
 
 
+def utc_iso(instant: Column) -> Column:
+    """ISO-8601 text in UTC, to the millisecond, whatever the session's zone."""
+    wall_clock = F.to_utc_timestamp(instant, F.current_timezone())
+    return F.date_format(wall_clock, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def utc_now_iso() -> Column:
-    """Time of the query as ISO-8601 text; needs a UTC session time zone."""
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    """Time of the query as ISO-8601 text."""
+    return utc_iso(F.current_timestamp())

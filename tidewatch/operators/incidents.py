@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.keys import fingerprint, worsened
+from tidewatch.functions.keys import fingerprint, utc_iso, worsened
 from tidewatch.functions.text import leading_number, two_decimals
 from tidewatch.rules import Rules
 
@@ -61,9 +61,7 @@ def anomalies_from_alerts(alerts: DataFrame, rules: Rules = Rules()) -> DataFram
         F.concat_ws(" ", "a.metric", observed, direction, limit, F.lit("on"), "affected_component").alias(
             "summary"
         ),
-        F.date_format(F.timestamp_millis("a.timestamp_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias(
-            "detected_at"
-        ),
+        utc_iso(F.timestamp_millis("a.timestamp_ms")).alias("detected_at"),
         F.col("a.metric").alias("metric"),
         observed.alias("observed_value"),
         F.when(is_deviation, limit).alias("baseline"),

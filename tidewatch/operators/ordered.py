@@ -145,8 +145,14 @@ def _summaries(segments: DataFrame, key: str, kernel: Kernel) -> DataFrame:
                 schema=schema,
             )
 
-    return segments.select(SEGMENT, key, *columns).mapInArrow(
-        edges, "segment int, key string, summary array<double>"
+    # A key reaches over a boundary only if a segment starts with it, so the rows of all other
+    # keys need not leave the JVM. There is at most one such key per segment.
+    leading = segments.filter(F.col(_HEAD)).select(key).distinct()
+    return (
+        segments.select(SEGMENT, key, *columns)
+        .join(F.broadcast(leading), key, "left_semi")
+        .select(SEGMENT, key, *columns)
+        .mapInArrow(edges, "segment int, key string, summary array<double>")
     )
 
 

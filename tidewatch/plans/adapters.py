@@ -8,10 +8,11 @@ four partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema
+from tidewatch.operators.tail import watermarks
 
 TOPIC = "stream-events"
 GROUP = "processor"
@@ -118,8 +119,6 @@ telemetry AS (
 
 def offset_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OFFSETS of the telemetry log: half of it retained, nine tenths committed, one partition unset."""
-    from tidewatch.operators.tail import watermarks
-
     high = F.col("high")
     committed = F.when(F.col("partition") == 3, F.lit(-1)).otherwise(F.floor(high * 9 / 10))
     return watermarks(telemetry(spark, sf_dir)).select(
@@ -222,8 +221,6 @@ def fork_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     The rank filter is applied before the shuffle as well, so an incident with
     very many diagnoses sends only a few of them on.
     """
-    from pyspark.sql import Window
-
     order = Window.partitionBy("incident_id").orderBy("diagnosis_id")
     return (
         diagnosis_headers(spark, sf_dir)
