@@ -109,14 +109,22 @@ def test_metric_named_log_shares_the_log_key(spark):
 
 def test_alert_json_escapes_and_rounds_half_up(spark):
     df = spark.createDataFrame(
-        [('r"x', "a\\b", 0.125, 200.0, 7, "CRITICAL"), ("r", "c", math.nan, 1.0, 7, "WARNING")],
+        [('r"x', "a\\b", 0.125, 200.0, 7, "CRITICAL"), ("r", "c", math.nan, 1.0, 7, "WARNING"), ("r", "c", 2.0, math.inf, 7, "CRITICAL")],
         "rule string, component string, threshold double, actual double, timestamp_ms long, severity string",
     )
     assert [r.value for r in detect.alert_json(df).collect()] == [
-        '{"rule":"r\\"x","component":"a\\\\b","threshold":0.13,"actual":200.00,"timestamp_ms":7,"severity":"CRITICAL"}'
+        '{"rule":"r\\"x","component":"a\\\\b","threshold":0.13,"actual":200.00,"timestamp_ms":7,"severity":"CRITICAL"}',
+        '{"rule":"r","component":"c","threshold":null,"actual":1.00,"timestamp_ms":7,"severity":"WARNING"}',
+        '{"rule":"r","component":"c","threshold":2.00,"actual":null,"timestamp_ms":7,"severity":"CRITICAL"}',
     ]
 
 
+def test_a_missing_value_counts_as_zero_above_a_negative_limit(spark):
+    df = spark.createDataFrame([metric(0, None, name="cold")], EVENT)
+    assert [(r.rule, r.actual) for r in detect.threshold_alerts(df, Rules(limits={"cold": -5.0})).collect()] == [("cold_threshold", 0.0)]
+    assert detect.threshold_alerts(df, Rules(limits={"cold": 5.0})).collect() == []
+
+
 def _model(rows, alpha=0.1):
     """(position, kind, threshold, actual) of one key's rows of (is_metric, value, severity)."""
     s = Series(alpha=alpha)

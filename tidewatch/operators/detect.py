@@ -56,11 +56,13 @@ def threshold_alerts(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     name = F.col("metric.metric_name")
     value = F.coalesce(F.col("metric.value"), F.lit(0.0))
     lowest = min(rules.limits.values(), default=float("inf"))
+    samples = events.filter(has_metric() & name.isin(*rules.limits))
+    if lowest >= 0:
+        # Implied by the filter on the limits, but simple enough to reach the scan. A missing value
+        # counts as 0, so it may pass a limit below 0 only.
+        samples = samples.filter(F.col("metric.value") > lowest)
     return (
-        events.filter(has_metric() & name.isin(*rules.limits))
-        # Implied by the filter on the limits, but simple enough to reach the scan.
-        .filter(F.col("metric.value") > (lowest if lowest >= 0 else float("-inf")))
-        .withColumn("_limit", limit_for(name, rules))
+        samples.withColumn("_limit", limit_for(name, rules))
         # NaN sorts above every number in Spark, but is above no limit.
         .filter((value > F.col("_limit")) & ~F.isnan(value))
         .select(
@@ -155,28 +157,29 @@ def ewma_baseline(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def alert_json(alerts: DataFrame) -> DataFrame:
     """Six-field JSON text per alert, for a text or Kafka sink.
 
-    A NaN or infinite number has no JSON form; such alerts are left out here.
+    A NaN or infinite number has no JSON form; it is written as null.
     """
-    finite = [
-        F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-        for c in ("threshold", "actual")
-    ]
+
+    def number(column: str) -> Column:
+        finite = F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(F.col(column)) != float("inf"))
+        return F.coalesce(F.when(finite, two_decimals(F.col(column))), F.lit("null"))
+
     value = F.concat(
         F.lit('{"rule":"'),
         json_escape(F.col("rule")),
         F.lit('","component":"'),
         json_escape(F.col("component")),
         F.lit('","threshold":'),
-        two_decimals(F.col("threshold")),
+        number("threshold"),
         F.lit(',"actual":'),
-        two_decimals(F.col("actual")),
+        number("actual"),
         F.lit(',"timestamp_ms":'),
         F.col("timestamp_ms").cast("string"),
         F.lit(',"severity":"'),
         F.col("severity"),
         F.lit('"}'),
     )
-    return alerts.filter(finite[0] & finite[1]).select(F.col("component").alias("key"), value.alias("value"))
+    return alerts.select(F.col("component").alias("key"), value.alias("value"))
 
 
 def alerts_per_component_hour(alerts: DataFrame) -> DataFrame:

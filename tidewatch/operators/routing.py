@@ -124,11 +124,12 @@ def audit_query(
     limit: int | None = None,
     rules: Rules = Rules(),
 ) -> DataFrame:
-    """The first matching entries in time order; at least one even for a limit of 0."""
+    """All matching entries in time order; with a limit the first ones, at least one even for a limit of 0."""
     out = audit
     if severity:
         out = out.filter(F.col("severity") == severity)
     if anomaly_type:
         out = out.filter(F.col("anomaly_type") == anomaly_type)
     n = rules.audit_limit if limit is None else limit
-    return out.orderBy("timestamp", "incident_id").limit(max(1, n))
+    out = out.orderBy("timestamp", "incident_id")
+    return out if n is None else out.limit(max(1, n))

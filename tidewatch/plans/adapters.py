@@ -177,7 +177,6 @@ _TOOLS = [
     ["get_consumer_lag"],
     ["search_logs", "job_overview", "query_metrics"],
 ]
-FORK_LIMIT = 4
 
 
 def _iso(df: DataFrame, column: str) -> Column:
@@ -216,25 +215,17 @@ headers AS (
 
 
 def fork_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first diagnoses of each incident, numbered as its forks.
-
-    The rank filter is applied before the shuffle as well, so an incident with
-    very many diagnoses sends only a few of them on.
-    """
+    """All diagnoses of each incident, numbered as its forks."""
     order = Window.partitionBy("incident_id").orderBy("diagnosis_id")
     return (
         diagnosis_headers(spark, sf_dir)
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= FORK_LIMIT)
-        .withColumn("fork", F.col("_n") - 1)
-        .drop("_n")
+        .withColumn("fork", F.row_number().over(order) - 1)
     )
 
 
 FORKS_SQL = """
 fork_headers AS (
-  SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY diagnosis_id) - 1 AS INTEGER) AS fork
-                 FROM headers) WHERE fork < 4)"""
+  SELECT *, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY diagnosis_id) - 1 AS INTEGER) AS fork FROM headers)"""
 
 
 def diagnosis_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

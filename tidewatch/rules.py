@@ -32,7 +32,7 @@ class Rules:
     log_scan_depth: int = 500
     metric_max_series: int = 50
     max_exceptions: int = 10
-    audit_limit: int = 50
+    audit_limit: int | None = None
 
     # Incidents.
     interval_seconds: int = 60

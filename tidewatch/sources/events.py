@@ -24,7 +24,7 @@ def kafka_source_options(
         "kafka.bootstrap.servers": bootstrap,
         "subscribe": topic,
         "startingOffsets": "latest",
-        "failOnDataLoss": "false",
+        "failOnDataLoss": "true",
     }
     if group:
         options["kafka.group.id"] = group
