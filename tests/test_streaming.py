@@ -1,3 +1,4 @@
+import os
 import random
 import tempfile
 
@@ -153,3 +154,18 @@ def test_offsets_of_a_kafka_query(spark):
     assert sorted((r.topic, r.partition, r.committed, r.high) for r in got) == [
         ("t", 0, 5, 9), ("t", 1, 7, 7), ("t", 2, -1, 4), ("u", 0, 1, 2),
     ]
+
+
+def test_stream_query_reads_a_folder_like_a_file(spark, tmp_path):
+    """A table may be one file or many part files in a folder; both give the alerts of the batch."""
+    from tidewatch.plans import catalog
+
+    source = "/root/testdata/sf0.001"
+    if not os.path.isdir(source):
+        pytest.skip("no test data")
+    events = spark.read.parquet(f"{source}/events.parquet")
+    events.repartition(5).write.parquet(f"file://{tmp_path}/events.parquet")
+    whole = sorted(map(tuple, catalog.queries()["all_alerts"](spark, source).collect()))
+    assert whole
+    for folder in (source, f"file://{tmp_path}"):
+        assert sorted(map(tuple, catalog.queries()["stream_alerts"](spark, folder).collect())) == whole

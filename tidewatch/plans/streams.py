@@ -14,13 +14,17 @@ _MICRO_BATCH = 256 << 20
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Same alerts as the batch, by way of keyed state and an exactly-once file sink."""
+    """Same alerts as the batch, by way of keyed state and an exactly-once file sink.
+
+    Rows are taken by event time within a micro-batch and by arrival of their files across micro-batches, so of a table
+    larger than one micro-batch the files have to arrive in time order.
+    """
     static = adapters.table(spark, sf_dir, "events")
     arriving = (
         spark.readStream.schema(static.schema)
-        .option("pathGlobFilter", "events.parquet")
         .option("maxBytesPerTrigger", str(_MICRO_BATCH))
-        .parquet(sf_dir)
+        # As a pattern the path may be one file or a folder of part files.
+        .parquet(f"{sf_dir}/events.parque[t]")
     )
     run = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     found = detector.detect_alerts_stream(adapters.as_telemetry(arriving))
