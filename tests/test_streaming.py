@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.operators import detect, incidents
 from tidewatch.plans import adapters
 from tidewatch.rules import Rules
+from tidewatch.schema import AUDIT
+from tidewatch.sources import audit
 from tidewatch.sources.events import decode, decoded_events
 from tidewatch.streaming import detector, sinks
 from tidewatch.streaming.incidents import track_incidents_stream
@@ -169,3 +171,18 @@ def test_stream_query_reads_a_folder_like_a_file(spark, tmp_path):
     assert whole
     for folder in (source, f"file://{tmp_path}"):
         assert sorted(map(tuple, catalog.queries()["stream_alerts"](spark, folder).collect())) == whole
+
+
+def test_audit_keeps_entries_over_new_checkpoints_and_writers(spark, tmp_path):
+    """A stream with a new checkpoint starts at batch 0 again, but replaces nothing that is there."""
+    entry = {f.name: None for f in AUDIT.fields}
+    rows = [spark.createDataFrame([tuple((entry | {"incident_id": f"i{n}"}).values())], AUDIT) for n in range(3)]
+    log = f"{tmp_path}/log"
+    audit.append_audit(rows[0], log)
+    for n in (1, 2):
+        rows[n].write.parquet(f"{tmp_path}/in{n}")
+        stream = spark.readStream.schema(AUDIT).parquet(f"{tmp_path}/in{n}").writeStream.foreachBatch(audit.audit_batch_writer(log))
+        stream.option("checkpointLocation", f"{tmp_path}/state{n}").trigger(availableNow=True).start().awaitTermination()
+    back = audit.read_audit(spark, log)
+    assert back.columns == AUDIT.names
+    assert sorted(r.incident_id for r in back.collect()) == ["i0", "i1", "i2"]

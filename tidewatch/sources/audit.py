@@ -15,11 +15,16 @@ def append_audit(entries: DataFrame, path: str) -> None:
 def audit_batch_writer(path: str):
     """A ``foreachBatch`` function that appends each micro-batch of entries once.
 
-    Each batch has its own folder and replaces it when it is retried.
+    Each batch of a query has its own folder and replaces it when it is retried. The id of
+    a query stays over restarts from its checkpoint; another query or a new checkpoint has
+    another one, so it never meets the entries of an earlier run.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{path}/batch_id={batch_id}"
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not query:
+            raise RuntimeError("write audit batches from foreachBatch of a stream")
+        target = f"{path}/query={query}/batch={batch_id}"
         batch.write.mode("overwrite").option("ignoreNullFields", False).json(target)
 
     return write
@@ -31,7 +36,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    """All entries; none where the path does not exist. Blank lines are skipped."""
+    """All entries of both writers; none where the path does not exist. Blank lines are skipped."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], AUDIT)
-    return spark.read.schema(AUDIT).json(path)
+    return spark.read.schema(AUDIT).option("recursiveFileLookup", True).json(path)
