@@ -62,6 +62,14 @@ def test_distance_equals_the_plain_program():
         assert decontaminate.distance_within(a, b)[0] == brute.edit_distance_within(a, b)
 
 
+def test_distances_in_lanes_equal_single_ones():
+    rng = random.Random(2)
+    pairs = [("".join(rng.choice("abé 😀") for _ in range(n)), "".join(rng.choice("abéx ") for _ in range(rng.randrange(0, 3 * n)))) for n in (1, 63, 64, 65, 128, 200) for _ in range(60)]
+    pairs += [(a, a[:9] + b + a[3:]) for a, b in pairs[::7]]
+    assert decontaminate.distances_within(pairs) == [decontaminate.distance_within(a, b)[0] for a, b in pairs]
+    assert decontaminate.distances_within([]) == []
+
+
 def test_nulls_repeats_and_nothing(spark):
     text = "one two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(1, text), (1, text), (None, "zero " * 30_000 + text), (2, None)], "doc_id long, text string")

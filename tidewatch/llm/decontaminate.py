@@ -31,8 +31,11 @@ WALKS, SAMPLINGS, PLACES = 2, 10, 5
 MAX_EDITS = 0.2
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 16_000_000
+#: Pairs, and pairs times characters, whose edit distances are found in step.
+LANES, CELLS = 2048, 2_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SIZES = [2**i for i in range(WINDOW.bit_length())]
+_KEY_BITS = 22
 _PAD = np.uint64(0x5EED)
 
 
@@ -105,6 +108,66 @@ def distance_within(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _together(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
+    """The same distance for pairs whose items have as many blocks of 64 characters, one character of all texts at a time."""
+    lengths, lanes = np.array([len(item) for item, _ in pairs], np.int64), len(pairs)
+    rows = np.empty((max(len(text) for _, text in pairs), lanes), np.int64)
+    known: dict[str, tuple[int, np.ndarray]] = {}
+    tables, size = [], 0
+    for lane, (item, text) in enumerate(pairs):
+        if item not in known:
+            letters, which = np.unique(np.frombuffer(item.encode("utf-32-le"), np.uint32), return_inverse=True)
+            at = np.arange(len(item))
+            table = np.zeros((len(letters) + 1, blocks), np.uint64)
+            np.bitwise_or.at(table, (which + 1, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            known[item] = size, letters
+            tables.append(table)
+            size += len(table)
+        start, letters = known[item]
+        own = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.minimum(np.searchsorted(letters, own), len(letters) - 1)
+        rows[:, lane] = start  # of no letter of the item; so is what follows a shorter text, which lowers no distance
+        rows[: len(own), lane] += np.where(letters[at] == own, at + 1, 0)
+    masks, one, top = np.concatenate(tables), np.uint64(1), np.uint64(63)
+    up, down = np.full((blocks, lanes), ~np.uint64(0)), np.zeros((blocks, lanes), np.uint64)
+    score, best, end = lengths.copy(), lengths.copy(), ((lengths - 1) & 63).astype(np.uint64)
+    for row in rows:
+        found = masks[row]
+        rises = falls = np.zeros(lanes, np.uint64)
+        for block in range(blocks):
+            equal, above, below = found[:, block], up[block], down[block]
+            vertical, equal = equal | below, equal | falls
+            across = (((equal & above) + above) ^ above) | equal
+            plus, minus = below | ~(across | above), above & across
+            if block == blocks - 1:
+                score += ((plus >> end) & one).view(np.int64) - ((minus >> end) & one).view(np.int64)
+            higher, lower = (plus << one) | rises, (minus << one) | falls
+            rises, falls = plus >> top, minus >> top
+            up[block], down[block] = lower | ~(vertical | higher), higher & vertical
+        np.minimum(best, score, out=best)
+    return best
+
+
+def distances_within(pairs: list[tuple[str, str]]) -> list[int]:
+    """The edits of distance_within for many pairs: in lanes where enough items are of a size, else one by one."""
+    out = [0] * len(pairs)
+    order = sorted((-(-len(item) // 64), len(text), i) for i, (item, text) in enumerate(pairs))
+    at = 0
+    while at < len(order):
+        blocks, end = order[at][0], at
+        while end < len(order) and order[end][0] == blocks and end - at < LANES and (end - at + 1) * order[end][1] <= CELLS:
+            end += 1
+        part = [i for _, _, i in order[at : max(end, at + 1)]]
+        if len(part) < 12 * blocks:
+            found = [distance_within(*pairs[i])[0] for i in part]
+        else:
+            found = _together([pairs[i] for i in part], blocks).tolist()
+        for i, edits in zip(part, found, strict=True):
+            out[i] = edits
+        at += len(part)
+    return out
+
+
 @dataclass
 class Items:
     """A block of benchmark items with their windows' keys."""
@@ -117,6 +180,7 @@ class Items:
     keys: np.ndarray | None = None
     owners: np.ndarray | None = None
     low: np.ndarray | None = None
+    low_keys: np.ndarray | None = None
 
     @staticmethod
     def of(rows: list[tuple[int, bytes]]) -> Items:
@@ -142,6 +206,8 @@ class Items:
         out.owners = np.array([(i, a) for _, i, a in pairs], np.int64).reshape(-1, 2)
         out.low = np.zeros(2**16, bool)
         out.low[out.starts & np.uint64(0xFFFF)] = True
+        out.low_keys = np.zeros(2**_KEY_BITS, bool)
+        out.low_keys[out.keys & np.uint64(2**_KEY_BITS - 1)] = True
         return out
 
     def candidates(self, hashes: np.ndarray, ends: np.ndarray) -> dict[int, set[tuple[int, int]]]:
@@ -153,30 +219,39 @@ class Items:
             at = near[i : i + 8192]
             text = np.searchsorted(ends, at, "right")
             keys = window_keys(hashes, at, ends[text], self.sizes)
-            first = np.searchsorted(self.keys, keys, "left")
-            hit = np.argwhere(self.keys[np.minimum(first, len(self.keys) - 1)] == keys)
-            for row, column in hit.tolist():
-                j, own = first[row, column], int(text[column])
-                begin = int(at[column]) - (int(ends[own - 1]) if own else 0)
-                while j < len(self.keys) and self.keys[j] == keys[row, column]:
+            row, column = np.nonzero(self.low_keys[keys & np.uint64(2**_KEY_BITS - 1)])
+            keys = keys[row, column]
+            first, last = (np.searchsorted(self.keys, keys, side) for side in ("left", "right"))
+            hit = np.flatnonzero(first < last)
+            for j, end, c in zip(first[hit].tolist(), last[hit].tolist(), column[hit].tolist(), strict=True):
+                own = int(text[c])
+                begin = int(at[c]) - (int(ends[own - 1]) if own else 0)
+                while j < end:
                     index, offset = self.owners[j].tolist()
                     out[own].add((index, begin - offset))
                     j += 1
         return out
 
-    def confirmed(self, text: bytes, tried: set[tuple[int, int]], max_edits: float) -> dict[int | None, int]:
-        """Item -> least edit distance, of the candidates that a text does hold."""
-        words, out = tokens_of(text), {}
-        for index, begin in sorted(tried):
-            item, count, number = self.texts[index], self.words[index], self.ids[index]
-            limit = int(max_edits * len(item))
-            slack = limit // 2 + 1
-            if out.get(number) == 0:
-                continue
-            around = b" ".join(words[max(0, begin - slack) : max(0, begin + count + slack)]).decode()
-            edits, _ = distance_within(item, around)
-            if edits <= limit:
-                out[number] = min(edits, out.get(number, edits))
+    def confirmed(self, documents: list[bytes], tried: dict[int, set[tuple[int, int]]], max_edits: float) -> dict[int, dict[int | None, int]]:
+        """Text -> item -> least edit distance, of the candidates that the text does hold."""
+        out: dict[int, dict[int | None, int]] = {own: {} for own in tried}
+        left: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        for own, candidates in tried.items():
+            words = tokens_of(documents[own])
+            for index, begin in sorted(candidates):
+                item, count, number = self.texts[index], self.words[index], self.ids[index]
+                slack = int(max_edits * len(item)) // 2 + 1
+                if out[own].get(number) == 0:
+                    continue
+                around = b" ".join(words[max(0, begin - slack) : max(0, begin + count + slack)]).decode()
+                if item in around:
+                    out[own][number] = 0
+                else:
+                    left[item, around].append((own, number))
+        for (item, around), edits in zip(left, distances_within(list(left)), strict=True):
+            if edits <= int(max_edits * len(item)):
+                for own, number in left[item, around]:
+                    out[own][number] = min(edits, out[own].get(number, edits))
         return out
 
 
@@ -201,9 +276,8 @@ def _checked(batches: Iterator[pa.RecordBatch], items: object, max_edits: float)
             own = [hashes.of(words_of(text)) for text in part]
             own = [h[h != 0] for h in own]
             tried = block.candidates(np.concatenate(own), np.cumsum([len(h) for h in own])) if block.ids else {}
-            for j, text in enumerate(part):
-                found = block.confirmed(text, tried[j], max_edits) if j in tried else {}
-                rows.append([{"item_id": k, "edits": v} for k, v in sorted(found.items(), key=lambda x: (x[0] is None, x[0] or 0))])
+            held = block.confirmed(part, tried, max_edits)
+            rows += [[{"item_id": k, "edits": v} for k, v in sorted(held.get(j, {}).items(), key=lambda x: (x[0] is None, x[0] or 0))] for j in range(len(part))]
         old = batch.column("items").to_pylist() if "items" in batch.schema.names else [[]] * len(rows)
         names = [n for n in batch.schema.names if n != "items"]
         yield pa.record_batch([*(batch.column(n) for n in names), pa.array([a + b for a, b in zip(old, rows, strict=True)], kind)], [*names, "items"])
