@@ -33,6 +33,8 @@ MAX_EDITS = 0.2
 BLOCK_CHARS = 16_000_000
 #: Pairs, and pairs times characters, whose edit distances are found in step.
 LANES, CELLS = 2048, 2_000_000
+#: Characters of candidates that a task holds before it measures them.
+HELD_CHARS = 64_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SIZES = [2**i for i in range(WINDOW.bit_length())]
 _KEY_BITS = 22
@@ -56,18 +58,25 @@ _SAMPLES = _samples()
 _PLACE_MIX = constants(PLACES, 23)
 
 
-def walk(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int, steps: int) -> np.ndarray:
-    """CGK embeddings [step, window] of the windows from starts to ends; after its end a window is padded."""
-    at, out = starts.copy(), np.empty((steps, len(starts)), np.uint64)
-    padded = np.append(hashes, _PAD)
-    bits = mix(padded + np.uint64(977 * which + 1))
-    for step in range(steps):
-        if step % 60 == 59:
-            bits = mix(bits)
-        here = np.where(at < ends, at, len(hashes))
-        out[step] = padded[here]
-        at += ((bits[here] >> np.uint64(step % 60)) & np.uint64(1)).astype(np.int64)
-    return out
+class Walks:
+    """CGK walks over the words of some texts in a row, given as hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.padded, self.bits = np.append(hashes, _PAD), []
+        for which in range(WALKS):
+            own = [mix(self.padded + np.uint64(977 * which + 1))]
+            while 64 * len(own) < 2 * WINDOW:
+                own.append(mix(own[-1]))
+            self.bits.append(own)
+
+    def embed(self, starts: np.ndarray, ends: np.ndarray, which: int, steps: int) -> np.ndarray:
+        """Embeddings [step, window] of the windows from starts to ends; after its end a window is padded."""
+        at, out, pad = starts.copy(), np.empty((steps, len(starts)), np.uint64), len(self.padded) - 1
+        for step in range(steps):
+            here = np.where(at < ends, at, pad)
+            out[step] = self.padded[here]
+            at += ((self.bits[which][step // 64][here] >> np.uint64(step % 64)) & np.uint64(1)).view(np.int64)
+        return out
 
 
 def _keys(embedded: np.ndarray, size: int, which: int) -> np.ndarray:
@@ -78,10 +87,10 @@ def _keys(embedded: np.ndarray, size: int, which: int) -> np.ndarray:
     return mix(mixed + label * np.uint64(0x9E3779B97F4A7C15))
 
 
-def window_keys(hashes: np.ndarray, starts: np.ndarray, limits: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """[key, window] for all sizes, walks and samplings. limits: where the text of each window ends."""
-    rows = [_keys(walk(hashes, starts, np.minimum(starts + size, limits), which, 2 * size), size, which) for size in sizes for which in range(WALKS)]
-    return np.concatenate(rows)
+def window_keys(walks: Walks, starts: np.ndarray, limits: np.ndarray, size: int) -> np.ndarray:
+    """[key, window] for all walks and samplings. limits: where the text of each window ends."""
+    ends = np.minimum(starts + size, limits)
+    return np.concatenate([_keys(walks.embed(starts, ends, which, 2 * size), size, which) for which in range(WALKS)])
 
 
 def distance_within(item: str, text: str) -> tuple[int, int]:
@@ -174,9 +183,8 @@ class Items:
 
     texts: list[str] = field(default_factory=list)
     ids: list[int] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
     words: list[int] = field(default_factory=list)
-    starts: np.ndarray | None = None
+    starts: dict[int, np.ndarray] = field(default_factory=dict)
     keys: np.ndarray | None = None
     owners: np.ndarray | None = None
     low: np.ndarray | None = None
@@ -184,7 +192,7 @@ class Items:
 
     @staticmethod
     def of(rows: list[tuple[int, bytes]]) -> Items:
-        out, hashes, starts, keys = Items(), WordHashes(), set(), defaultdict(set)
+        out, hashes, starts, keys = Items(), WordHashes(), defaultdict(set), defaultdict(set)
         for number, text in rows:
             words = tokens_of(text)
             if not words:
@@ -193,32 +201,35 @@ class Items:
             out.ids.append(number)
             out.texts.append(b" ".join(words).decode())
             out.words.append(len(words))
+            walks = Walks(own)
             for i in range(0, (len(words) + 1) // 2, SPACING):
                 at = max(range(i, min(i + SPACING, (len(words) + 1) // 2)), key=lambda j: len(words[j]))
                 size = min(WINDOW, 1 << ((len(words) - at).bit_length() - 1))
-                out.sizes = sorted({*out.sizes, size})
-                starts.add(int(own[at]))
-                for key in window_keys(own, np.array([at]), np.array([len(own)]), [size])[:, 0].tolist():
+                starts[size].add(int(own[at]))
+                for key in window_keys(walks, np.array([at]), np.array([len(own)]), size)[:, 0].tolist():
                     keys[key].add((index, at))
         pairs = sorted((key, index, at) for key, found in keys.items() for index, at in found)
-        out.starts = np.array(sorted(starts), np.uint64)
+        out.starts = {size: np.array(sorted(own), np.uint64) for size, own in sorted(starts.items())}
         out.keys = np.array([k for k, _, _ in pairs], np.uint64)
         out.owners = np.array([(i, a) for _, i, a in pairs], np.int64).reshape(-1, 2)
         out.low = np.zeros(2**16, bool)
-        out.low[out.starts & np.uint64(0xFFFF)] = True
+        for own in out.starts.values():
+            out.low[own & np.uint64(0xFFFF)] = True
         out.low_keys = np.zeros(2**_KEY_BITS, bool)
         out.low_keys[out.keys & np.uint64(2**_KEY_BITS - 1)] = True
         return out
 
     def candidates(self, hashes: np.ndarray, ends: np.ndarray) -> dict[int, set[tuple[int, int]]]:
         """Text -> (item, word where it would begin). hashes: of the words of all texts in a row; ends: of each text."""
-        near = np.flatnonzero(self.low[hashes & np.uint64(0xFFFF)])
-        near = near[np.isin(hashes[near], self.starts)]
+        near, walks = np.flatnonzero(self.low[hashes & np.uint64(0xFFFF)]), Walks(hashes)
+        blocks = []
+        for size, starts in self.starts.items():
+            own = near[starts[np.minimum(np.searchsorted(starts, hashes[near]), len(starts) - 1)] == hashes[near]]
+            blocks += [(size, own[i : i + 8192]) for i in range(0, len(own), 8192)]
         out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for i in range(0, len(near), 8192):
-            at = near[i : i + 8192]
+        for size, at in blocks:
             text = np.searchsorted(ends, at, "right")
-            keys = window_keys(hashes, at, ends[text], self.sizes)
+            keys = window_keys(walks, at, ends[text], size)
             row, column = np.nonzero(self.low_keys[keys & np.uint64(2**_KEY_BITS - 1)])
             keys = keys[row, column]
             first, last = (np.searchsorted(self.keys, keys, side) for side in ("left", "right"))
@@ -236,6 +247,15 @@ class Items:
         """Text -> item -> least edit distance, of the candidates that the text does hold."""
         out: dict[int, dict[int | None, int]] = {own: {} for own in tried}
         left: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        size = 0
+
+        def measure() -> None:
+            for (item, around), edits in zip(left, distances_within(list(left)), strict=True):
+                if edits <= int(max_edits * len(item)):
+                    for own, number in left[item, around]:
+                        out[own][number] = min(edits, out[own].get(number, edits))
+            left.clear()
+
         for own, candidates in tried.items():
             words = tokens_of(documents[own])
             for index, begin in sorted(candidates):
@@ -248,10 +268,11 @@ class Items:
                     out[own][number] = 0
                 else:
                     left[item, around].append((own, number))
-        for (item, around), edits in zip(left, distances_within(list(left)), strict=True):
-            if edits <= int(max_edits * len(item)):
-                for own, number in left[item, around]:
-                    out[own][number] = min(edits, out[own].get(number, edits))
+                    size += len(item) + len(around)
+                    if size > HELD_CHARS:
+                        measure()
+                        size = 0
+        measure()
         return out
 
 
@@ -270,14 +291,15 @@ def _checked(batches: Iterator[pa.RecordBatch], items: object, max_edits: float)
     block, hashes = items.value, _Stripped({b"": 0})
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
     for batch, documents in texts(batches, "text"):
-        rows: list[list[dict]] = []
+        tried: dict[int, set[tuple[int, int]]] = {}
         for i in range(0, len(documents), 500):
             part = documents[i : i + 500]
             own = [hashes.of(words_of(text)) for text in part]
             own = [h[h != 0] for h in own]
-            tried = block.candidates(np.concatenate(own), np.cumsum([len(h) for h in own])) if block.ids else {}
-            held = block.confirmed(part, tried, max_edits)
-            rows += [[{"item_id": k, "edits": v} for k, v in sorted(held.get(j, {}).items(), key=lambda x: (x[0] is None, x[0] or 0))] for j in range(len(part))]
+            if block.ids:
+                tried |= {i + j: found for j, found in block.candidates(np.concatenate(own), np.cumsum([len(h) for h in own])).items()}
+        held = block.confirmed(documents, tried, max_edits)
+        rows = [[{"item_id": k, "edits": v} for k, v in sorted(held.get(j, {}).items(), key=lambda x: (x[0] is None, x[0] or 0))] for j in range(len(documents))]
         old = batch.column("items").to_pylist() if "items" in batch.schema.names else [[]] * len(rows)
         names = [n for n in batch.schema.names if n != "items"]
         yield pa.record_batch([*(batch.column(n) for n in names), pa.array([a + b for a, b in zip(old, rows, strict=True)], kind)], [*names, "items"])
