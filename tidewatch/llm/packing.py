@@ -120,8 +120,11 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 0, capacity: int = SEQUENCE
     """
     spark = docs.sparkSession
     cut = keyed(docs, id_col, text_col).mapInArrow(lambda it: _pieces(it, tokenizer, end, capacity), "id long, piece int, start long, length long, crc long")
-    ordered = cut.repartitionByRange("length", "id", "piece").sortWithinPartitions("length", "id", "piece")
-    table = Scratch(spark).table(ordered.mapInArrow(_ranked, "id long, piece int, start long, length long, crc long, part int, rank long"))
+    # Written first, as the sampling of a range reads its input once more.
+    scratch = Scratch(spark)
+    ordered = scratch.table(cut, passing=True).repartitionByRange("length", "id", "piece").sortWithinPartitions("length", "id", "piece")
+    table = scratch.table(ordered.mapInArrow(_ranked, "id long, piece int, start long, length long, crc long, part int, rank long"))
+    scratch.clear()
     # Sorted by length, a partition shares lengths with its neighbours only: as many rows as partitions and lengths together.
     sizes = table.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
