@@ -142,8 +142,8 @@ def test_checkpoints(spark):
 def test_exceptions(spark):
     many = {"root-exception": "r", "timestamp": 5, "all-exceptions": [{"exception": f"e{i}"} for i in range(12)]}
     got = snapshots.job_exceptions(docs(spark, "job_id", many, {})).orderBy("job_id", "pos").collect()
-    assert [r.exception for r in got] == [f"e{i}" for i in range(10)] + [None]
-    assert (got[0].root_exception, got[0].root_timestamp, got[10].root_exception) == ("r", 5, None)
+    assert [r.exception for r in got] == [f"e{i}" for i in range(12)] + [None]
+    assert (got[0].root_exception, got[0].root_timestamp, got[12].root_exception) == ("r", 5, None)
 
 
 def test_metric_results(spark):
@@ -154,7 +154,7 @@ def test_metric_results(spark):
     frame = docs(spark, "query", vector, matrix, {"status": "error", "error": "bad"}, {"status": "error"}, "junk")
     got = snapshots.metric_results(frame).orderBy("query", "series", "timestamp").collect()
     assert tuple(got[0]) == ("k0", "vector", 1, 0, {"a": "b"}, 1718000000.0, "42.5", 42.5)
-    assert len(got) == 1 + 50 * 2 and got[1].result_count == 60 and got[2].timestamp == 2.5
+    assert len(got) == 1 + 60 * 2 and got[1].result_count == 60 and got[2].timestamp == 2.5
     errors = {r.query: r.error for r in snapshots.metric_errors(frame).collect()}
     assert errors == {"k2": "bad", "k3": "Unknown Prometheus error", "k4": "Unknown Prometheus error"}
 

@@ -409,7 +409,7 @@ def checkpoint_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exception_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """0 to 12 exceptions per job, of which a reader keeps 10."""
+    """0 to 12 exceptions per job."""
     orders = table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     count = (key % 13).cast("int")

@@ -213,7 +213,7 @@ ORACLES = {
                CAST(i - 1 AS INTEGER) AS pos, 'error ' || i AS exception,
                CASE WHEN i IS NOT NULL THEN 'task-' || (o_orderkey % 4) END AS task,
                CASE WHEN i IS NOT NULL THEN 'host:1' END AS location, o_orderkey * 100 + i AS timestamp
-        FROM orders LEFT JOIN range(1, 11) r(i) ON i <= o_orderkey % 13""",
+        FROM orders LEFT JOIN range(1, 13) r(i) ON i <= o_orderkey % 13""",
     "metric_results": """
         WITH counted AS (
           SELECT o_orderkey AS k, CASE WHEN o_orderkey % 1000 = 0 THEN 55 ELSE o_orderkey % 3 END AS n
@@ -222,7 +222,8 @@ ORACLES = {
                CAST(n AS INTEGER) AS result_count, CAST(i - 1 AS INTEGER) AS series,
                CAST(k + 15 * p AS DOUBLE) AS timestamp, (i + p) || '.5' AS value,
                CAST(i + p AS DOUBLE) + 5e-1 AS number, 't' || i AS task
-        FROM counted JOIN range(1, 51) r(i) ON i <= n JOIN range(0, 2) s(p) ON p = 0 OR k % 2 = 0""",
+        FROM counted LEFT JOIN range(1, 56) r(i) ON i <= n
+        LEFT JOIN range(0, 2) s(p) ON i IS NOT NULL AND (p = 0 OR k % 2 = 0)""",
     "metric_errors": """
         SELECT 'q-' || o_orderkey AS query,
                CASE WHEN o_orderkey % 34 = 0 THEN 'bad query' ELSE 'Unknown Prometheus error' END AS error

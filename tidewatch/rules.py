@@ -30,8 +30,8 @@ class Rules:
     events_max_count: int = 100
     events_default_count: int = 20
     log_scan_depth: int = 500
-    metric_max_series: int = 50
-    max_exceptions: int = 10
+    metric_max_series: int | None = None
+    max_exceptions: int | None = None
     audit_limit: int | None = None
 
     # Incidents.

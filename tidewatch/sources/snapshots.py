@@ -42,6 +42,10 @@ def _any_set(struct: str, fields: list[str]) -> Column:
     return present
 
 
+def _first(items: Column, most: int | None) -> Column:
+    return items if most is None else F.slice(items, 1, most)
+
+
 def job_overview(snapshots: DataFrame) -> DataFrame:
     job = F.inline(F.from_json("value", _JOBS)["jobs"])
     return snapshots.select(job).select(
@@ -84,9 +88,12 @@ def checkpoint_stats(snapshots: DataFrame) -> DataFrame:
 
 
 def job_exceptions(snapshots: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The first exceptions of each job in given order; a job without any keeps one row."""
+    """The exceptions of each job in given order; a job without any keeps one row.
+
+    ``rules.max_exceptions`` keeps only the first ones.
+    """
     doc = snapshots.select("job_id", F.from_json("value", _EXCEPTIONS).alias("d"))
-    first = F.slice(F.coalesce(F.col("d.all-exceptions"), F.array()), 1, rules.max_exceptions)
+    first = _first(F.coalesce(F.col("d.all-exceptions"), F.array()), rules.max_exceptions)
     return doc.select(
         "job_id",
         F.col("d.root-exception").alias("root_exception"),
@@ -107,9 +114,9 @@ def job_exceptions(snapshots: DataFrame, rules: Rules = Rules()) -> DataFrame:
 def metric_results(snapshots: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Points of successful metric results, one row per (series, point).
 
-    ``result_count`` counts all series of a result, of which the first
-    ``metric_max_series`` are kept. ``value`` stays text; ``number`` is its
-    double.
+    ``result_count`` counts all series of a result; ``rules.metric_max_series``
+    keeps only the first ones. A result without series keeps one row. ``value``
+    stays text; ``number`` is its double.
     """
     doc = snapshots.select("query", F.from_json("value", _METRICS).alias("d")).filter(
         F.col("d.status") == "success"
@@ -123,7 +130,7 @@ def metric_results(snapshots: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "query",
         F.col("d.data.resultType").alias("result_type"),
         F.size(result).alias("result_count"),
-        F.posexplode(F.slice(result, 1, rules.metric_max_series)).alias("series", "s"),
+        F.posexplode_outer(_first(result, rules.metric_max_series)).alias("series", "s"),
     )
     return series.select(
         "query",
