@@ -78,3 +78,57 @@ def test_nulls_repeats_and_nothing(spark):
     assert sorted((str(r.doc_id), [(x.item_id, x.edits) for x in r["items"]]) for r in rows) == [("1", [(4, 0), (None, 0)]), ("1", [(4, 0), (None, 0)]), ("2", []), ("None", [(4, 0), (None, 0)])]
     assert decontaminate.find_items(docs.limit(0), bench).collect() == []
     assert all(r["items"] == [] for r in decontaminate.find_items(docs, bench.limit(0)).collect())
+
+
+def typos(rng, text, share):
+    """text with that share of its characters replaced, removed or doubled, at random places."""
+    out = list(text)
+    for at in rng.sample(range(len(text)), int(share * len(text))):
+        out[at] = rng.choice(["", "z" + out[at], rng.choice("wxyz")])
+    return "".join(out)
+
+
+def test_finds_edits_at_any_place_up_to_the_limit(spark):
+    rng = random.Random(11)
+    items = {j: " ".join(words(rng, n)) for j, n in enumerate([2, 3, 5, 8, 15, 15, 25, 38, 38, 60])}
+    docs, kinds = {}, {}
+    for kind in (0.04, 0.08, 0.12, 0.16, 0.19, "words"):
+        for j, item in items.items():
+            for _ in range(4):
+                held = " ".join(w[:-1] + "z" for w in item.split()) if kind == "words" else typos(rng, item, kind)
+                docs[len(docs)] = " ".join([*words(rng, rng.randrange(0, 60)), held, *words(rng, rng.randrange(0, 60))])
+                kinds[len(kinds)] = kind, j
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, x.item_id): x.edits for r in decontaminate.find_items(df, bench).collect() for x in r["items"]}
+    expected = {}
+    for i, text in docs.items():
+        for j, item in items.items():
+            edits = decontaminate.distance_within(plain(item), plain(text))[0]
+            if edits <= int(decontaminate.MAX_EDITS * len(plain(item))):
+                expected[i, j] = edits
+    assert found.items() <= expected.items()
+    for kind in {k for k, _ in kinds.values()}:
+        of = [p for p in expected if kinds[p[0]] == (kind, p[1])]
+        assert sum(p in found for p in of) >= 0.98 * len(of) and (kind == "words" or len(of) > 20)
+    short = [p for p in expected if len(items[p[1]]) < 60]
+    assert short and all(p in found for p in short)
+
+
+def test_what_is_asked_of_short_items_no_edits_can_take():
+    for n in range(1, 56):
+        gram, hits = decontaminate.asked(n, n // 5)
+        assert 1 <= hits <= n - gram + 1 - gram * (n // 5)
+
+
+def test_a_long_text_is_searched_across_its_pieces(monkeypatch):
+    rng = random.Random(3)
+    item = " ".join(words(rng, 30))
+    held = typos(rng, item, 0.15)
+    monkeypatch.setattr(decontaminate, "PIECE", 64)
+    monkeypatch.setattr(decontaminate, "HITS", 7)
+    block = decontaminate.Items.of([(5, item.encode()), (6, b"q" * 30)])
+    for before in range(0, 2000, 97):
+        text = " ".join(words(rng, 500))[:before] + " " + held + " " + "q" * 300
+        found = block.confirmed(["", text], block.candidates(["", text]), 0.2)
+        assert found[1].keys() == {5, 6} and not found.get(0)

@@ -1,13 +1,14 @@
-"""Documents that hold benchmark items, up to a share of edits, by CGK embedding and bit-sampling LSH.
+"""Documents that hold benchmark items, up to a share of edits, by counting shared grams around a diagonal.
 
-Texts are words without white space and outer punctuation, A-Z lower-cased. A window is embedded by the CGK random walk:
-at each step it writes the word under a pointer, which moves on or stays by a random bit of step and word. Strings a few
-edits apart walk in step again soon after each edit, so their embeddings agree in most places (a small Hamming distance).
-A repetition samples a few places of the embedding; items and windows that agree in all of them are candidates. Candidates
-are confirmed by the exact edit distance in characters between the item and the best part of the text around the window.
+Texts are words without white space and outer punctuation, A-Z lower-cased. Each gram (a few characters in a row) of an
+item that stands in a text too is a hit at a place of the text and one of the item; their difference is the hit's diagonal.
+An edit removes the grams it touches only and moves the diagonal by one at most, so a text that holds an item has many hits
+in a narrow band, wherever the edits stand. Bands with enough hits are candidates; they are confirmed by the exact edit
+distance in characters between the item and the best part of the text around the band.
 
-Windows start at the longest word of every few words of the first half of an item and are as long as the item allows, up
-to a limit; a document needs windows only where one of these words stands. Items are broadcast in blocks of bounded size.
+All places of items and texts count. Short items ask for as many hits as no edits can remove, so none is missed. Longer ones
+have longer grams and ask for a third of the hits that edits at random places leave on average (see `asked`).
+Items are broadcast in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,82 +16,149 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, constants, keyed, mix, texts, words_of
+from .common import keyed, texts, words_of
 
-#: Words of the longest window, and how many words each start stands for.
-WINDOW, SPACING = 32, 4
-#: Independent walks, samplings of each, and places in a sampling.
-WALKS, SAMPLINGS, PLACES = 2, 10, 5
+#: Characters of a gram at most, of one that edits at random places should leave at least, and hits to ask for in that case.
+GRAM, LEAST_GRAM, LEAST_HITS = 6, 5, 6
 #: Highest edit distance as a share of an item's characters.
 MAX_EDITS = 0.2
 #: Characters of benchmark text that are broadcast at once.
 BLOCK_CHARS = 16_000_000
+#: Items whose hits are counted together, characters of text that they are counted in at least, and hits at once.
+GROUP, PIECE, HITS = 256, 2**16, 2_000_000
+#: Characters of documents that are searched together.
+TOGETHER = 1_000_000
 #: Pairs, and pairs times characters, whose edit distances are found in step.
 LANES, CELLS = 2048, 2_000_000
 #: Characters of candidates that a task holds before it measures them.
 HELD_CHARS = 64_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-_SIZES = [2**i for i in range(WINDOW.bit_length())]
-_KEY_BITS = 22
-_PAD = np.uint64(0x5EED)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_NEVER = 2**62
 
 
 def tokens_of(text: bytes) -> list[bytes]:
-    return [w for w in (word.strip(_EDGES) for word in words_of(text)) if w]
+    return [w for word in words_of(text) if (w := word.strip(_EDGES))]
 
 
-def _samples() -> dict[int, np.ndarray]:
-    """Size -> [walk, sampling, place]: steps of the walk that are compared."""
-    out = {}
-    for size in _SIZES:
-        steps, rng = max(2 * size, 1), np.random.default_rng(size)
-        out[size] = np.stack([[np.sort(rng.choice(steps, min(PLACES, steps), replace=False)) for _ in range(SAMPLINGS)] for _ in range(WALKS)])
-    return out
-
-
-_SAMPLES = _samples()
-_PLACE_MIX = constants(PLACES, 23)
-
-
-class Walks:
-    """CGK walks over the words of some texts in a row, given as hashes."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.padded, self.bits = np.append(hashes, _PAD), []
-        for which in range(WALKS):
-            own = [mix(self.padded + np.uint64(977 * which + 1))]
-            while 64 * len(own) < 2 * WINDOW:
-                own.append(mix(own[-1]))
-            self.bits.append(own)
-
-    def embed(self, starts: np.ndarray, ends: np.ndarray, which: int, steps: int) -> np.ndarray:
-        """Embeddings [step, window] of the windows from starts to ends; after its end a window is padded."""
-        at, out, pad = starts.copy(), np.empty((steps, len(starts)), np.uint64), len(self.padded) - 1
-        for step in range(steps):
-            here = np.where(at < ends, at, pad)
-            out[step] = self.padded[here]
-            at += ((self.bits[which][step // 64][here] >> np.uint64(step % 64)) & np.uint64(1)).view(np.int64)
-        return out
-
+@lru_cache(maxsize=65536)
+def asked(length: int, edits: int) -> tuple[int, int]:
+    """(characters of a gram, hits to ask for) of an item of that length with so many edits at most.
 
-def _keys(embedded: np.ndarray, size: int, which: int) -> np.ndarray:
-    """[sampling, window]: a hash of the sampled places."""
-    places = _SAMPLES[size][which]
-    mixed = sum(embedded[places[:, j]] * _PLACE_MIX[j] for j in range(places.shape[1]))
-    label = (np.arange(SAMPLINGS, dtype=np.uint64) + np.uint64(1 + 1000 * which + 100_000 * size))[:, None]
-    return mix(mixed + label * np.uint64(0x9E3779B97F4A7C15))
+    The longest gram of which edits at random places leave enough on average; a third of that is asked for. If there is
+    none, the longest of which any edits leave one, and what they leave at least.
+    """
+    for gram in range(GRAM, LEAST_GRAM - 1, -1):
+        if length - gram >= edits > 0:
+            left = lgamma(length - gram + 1) + lgamma(length - edits + 1) - lgamma(length - gram - edits + 1) - lgamma(length + 1)
+            hits = int((length - gram + 1) * np.exp(left) / 3)
+            if hits >= LEAST_HITS:
+                return gram, hits
+    for gram in range(min(GRAM, length), 1, -1):
+        if length - gram + 1 - gram * edits >= 1:
+            return gram, length - gram + 1 - gram * edits
+    return 1, max(0, length - edits)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _grams(codes: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram at each place that has one."""
+    count = max(0, len(codes) - gram + 1)
+    out = np.zeros(count, np.uint64)
+    for i in range(gram):
+        out += codes[i : i + count]
+        out *= _ODD
+    out ^= out >> np.uint64(29)
+    out *= _ODD
+    return out
 
 
-def window_keys(walks: Walks, starts: np.ndarray, limits: np.ndarray, size: int) -> np.ndarray:
-    """[key, window] for all walks and samplings. limits: where the text of each window ends."""
-    ends = np.minimum(starts + size, limits)
-    return np.concatenate([_keys(walks.embed(starts, ends, which, 2 * size), size, which) for which in range(WALKS)])
+class Group:
+    """Some items with grams of one size: where each gram stands in them."""
+
+    def __init__(self, gram: int, items: list[tuple[int, np.ndarray, int, int]]):
+        """items: (index, codes, edits, hits to ask for)."""
+        self.gram, self.index = gram, np.array([i for i, *_ in items])
+        self.lengths, self.edits, self.hits = (np.array(x, np.int64) for x in zip(*((len(c), e, h) for _, c, e, h in items), strict=True))
+        # A band is as wide as two cells, and a cell wider than the edits can move the diagonal.
+        self.shifts = np.array([int(e).bit_length() for e in self.edits], np.int64)
+        self.longest, self.overlap = int(self.lengths.max()), int((self.lengths + self.edits).max())
+        keys = np.concatenate([_grams(c, gram) for _, c, _, _ in items])
+        self.bits = np.uint64(64 - min(24, max(8, len(keys).bit_length() + 4)))
+        # Grams of the same slot count as equal: that adds hits and takes none.
+        slots = (keys >> self.bits).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        self.first = np.append(0, np.cumsum(np.bincount(slots, minlength=2 ** (64 - int(self.bits))))).astype(np.int32)
+        counts = np.maximum(0, self.lengths - gram + 1)
+        self.owners = np.repeat(np.arange(len(items)), counts)[order]
+        places = np.concatenate([np.arange(n) for n in counts])[order]
+        self.places, self.moved_by = places, self.shifts[self.owners]
+
+    def _hits(self, at: np.ndarray, first: np.ndarray, counts: np.ndarray, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(cell, posting) of the hits of the places `at`, which have counts of postings from first on, some at a time."""
+        ends, low = np.cumsum(counts), 0
+        while low < len(at):
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + HITS, "right")))
+            n = counts[low:high]
+            posting = np.arange(int(n.sum())) + np.repeat(first[low:high] - (ends[low:high] - n - before), n)
+            moved = np.repeat(at[low:high] + self.longest, n) - self.places[posting]
+            yield base[posting] + (moved >> self.moved_by[posting]), posting
+            low = high
+
+    def bands(self, grams: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of parts of a text of size characters, with these grams, that may hold an item."""
+        step = max(PIECE, 4 * self.overlap)
+        for start in range(0, max(1, size - self.overlap), step):
+            piece = grams[start : start + step + self.overlap]
+            cells = ((min(size - start, step + self.overlap) + self.longest) >> self.shifts) + 3
+            base = np.append(0, np.cumsum(cells))
+            own = base[self.owners]
+            slots = (piece >> self.bits).view(np.int64)
+            first, counts = self.first[slots], self.first[slots + 1] - self.first[slots]
+            at = np.flatnonzero(counts)
+            first, counts = first[at].astype(np.int64), counts[at].astype(np.int64)
+            found = np.zeros(int(base[-1]), np.int64)
+            known = []
+            for cell, posting in self._hits(at, first, counts, own):
+                known = [(cell, posting)] if len(cell) == counts.sum() else []
+                found += np.bincount(cell, minlength=len(found))
+            needed = np.repeat(self.hits, cells)
+            needed[base[1:] - 1] = _NEVER
+            passed = found + np.append(found[1:], 0) >= needed
+            # A gram that text or item repeats makes many hits: of the bands left, count the item's places that are hit.
+            keys = []
+            for cell, posting in known or self._hits(at, first, counts, own):
+                for band in (cell, cell - 1):
+                    near = np.flatnonzero(passed[band])
+                    if len(near):
+                        keys.append(np.unique(band[near] * self.longest + self.places[posting[near]]))
+            if keys:
+                hit, places = np.unique(np.unique(np.concatenate(keys)) // self.longest, return_counts=True)
+                found[:] = 0
+                found[hit] = places
+                passed &= found >= needed
+            passed = np.flatnonzero(passed)
+            if not len(passed):
+                continue
+            breaks = np.flatnonzero(np.diff(passed) > 1)
+            firsts, lasts = passed[np.append(0, breaks + 1)], passed[np.append(breaks, len(passed) - 1)]
+            item = np.searchsorted(base, firsts, "right") - 1
+            edits, shift = self.edits[item], self.shifts[item]
+            begin = start - self.longest + ((firsts - base[item]) << shift) - edits
+            end = start - self.longest + ((lasts + 2 - base[item]) << shift) + self.lengths[item] + 2 * edits
+            yield from zip(self.index[item].tolist(), begin.tolist(), end.tolist(), strict=True)
 
 
 def distance_within(item: str, text: str) -> tuple[int, int]:
@@ -179,71 +247,46 @@ def distances_within(pairs: list[tuple[str, str]]) -> list[int]:
 
 @dataclass
 class Items:
-    """A block of benchmark items with their windows' keys."""
+    """A block of benchmark items with their grams."""
 
     texts: list[str] = field(default_factory=list)
     ids: list[int] = field(default_factory=list)
-    words: list[int] = field(default_factory=list)
-    starts: dict[int, np.ndarray] = field(default_factory=dict)
-    keys: np.ndarray | None = None
-    owners: np.ndarray | None = None
-    low: np.ndarray | None = None
-    low_keys: np.ndarray | None = None
+    groups: list[Group] = field(default_factory=list)
 
     @staticmethod
-    def of(rows: list[tuple[int, bytes]]) -> Items:
-        out, hashes, starts, keys = Items(), WordHashes(), defaultdict(set), defaultdict(set)
+    def of(rows: list[tuple[int, bytes]], max_edits: float = MAX_EDITS) -> Items:
+        out, by_gram = Items(), defaultdict(list)
         for number, text in rows:
-            words = tokens_of(text)
-            if not words:
-                continue
-            own, index = hashes.of(words), len(out.ids)
-            out.ids.append(number)
-            out.texts.append(b" ".join(words).decode())
-            out.words.append(len(words))
-            walks = Walks(own)
-            for i in range(0, (len(words) + 1) // 2, SPACING):
-                at = max(range(i, min(i + SPACING, (len(words) + 1) // 2)), key=lambda j: len(words[j]))
-                size = min(WINDOW, 1 << ((len(words) - at).bit_length() - 1))
-                starts[size].add(int(own[at]))
-                for key in window_keys(walks, np.array([at]), np.array([len(own)]), size)[:, 0].tolist():
-                    keys[key].add((index, at))
-        pairs = sorted((key, index, at) for key, found in keys.items() for index, at in found)
-        out.starts = {size: np.array(sorted(own), np.uint64) for size, own in sorted(starts.items())}
-        out.keys = np.array([k for k, _, _ in pairs], np.uint64)
-        out.owners = np.array([(i, a) for _, i, a in pairs], np.int64).reshape(-1, 2)
-        out.low = np.zeros(2**16, bool)
-        for own in out.starts.values():
-            out.low[own & np.uint64(0xFFFF)] = True
-        out.low_keys = np.zeros(2**_KEY_BITS, bool)
-        out.low_keys[out.keys & np.uint64(2**_KEY_BITS - 1)] = True
+            if words := tokens_of(text):
+                out.ids.append(number)
+                out.texts.append(b" ".join(words).decode())
+        for index in sorted(range(len(out.ids)), key=lambda i: len(out.texts[i])):
+            item = out.texts[index]
+            edits = int(max_edits * len(item))
+            gram, hits = asked(len(item), edits)
+            by_gram[gram].append((index, _codes(item), edits, hits))
+        out.groups = [Group(gram, own[i : i + GROUP]) for gram, own in sorted(by_gram.items()) for i in range(0, len(own), GROUP)]
         return out
 
-    def candidates(self, hashes: np.ndarray, ends: np.ndarray) -> dict[int, set[tuple[int, int]]]:
-        """Text -> (item, word where it would begin). hashes: of the words of all texts in a row; ends: of each text."""
-        near, walks = np.flatnonzero(self.low[hashes & np.uint64(0xFFFF)]), Walks(hashes)
-        blocks = []
-        for size, starts in self.starts.items():
-            own = near[starts[np.minimum(np.searchsorted(starts, hashes[near]), len(starts) - 1)] == hashes[near]]
-            blocks += [(size, own[i : i + 8192]) for i in range(0, len(own), 8192)]
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for size, at in blocks:
-            text = np.searchsorted(ends, at, "right")
-            keys = window_keys(walks, at, ends[text], size)
-            row, column = np.nonzero(self.low_keys[keys & np.uint64(2**_KEY_BITS - 1)])
-            keys = keys[row, column]
-            first, last = (np.searchsorted(self.keys, keys, side) for side in ("left", "right"))
-            hit = np.flatnonzero(first < last)
-            for j, end, c in zip(first[hit].tolist(), last[hit].tolist(), column[hit].tolist(), strict=True):
-                own = int(text[c])
-                begin = int(at[c]) - (int(ends[own - 1]) if own else 0)
-                while j < end:
-                    index, offset = self.owners[j].tolist()
-                    out[own].add((index, begin - offset))
-                    j += 1
+    def candidates(self, plain: list[str]) -> dict[int, set[tuple[int, int, int]]]:
+        """Text -> (item, start, end) of its parts that may hold an item. plain: normalised texts."""
+        # No item holds a line feed, so no gram reaches from one text into the next.
+        codes = _codes("\n".join(plain))
+        ends = np.cumsum([len(text) + 1 for text in plain])
+        out: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
+        grams: dict[int, np.ndarray] = {}
+        for group in self.groups:
+            if group.gram not in grams:
+                grams = {group.gram: _grams(codes, group.gram)}
+            for index, begin, end in group.bands(grams[group.gram], len(codes)):
+                own = int(np.searchsorted(ends, max(begin, 0), "right"))
+                while own < len(plain) and (low := int(ends[own]) - len(plain[own]) - 1) < end:
+                    if plain[own] and low + len(plain[own]) > begin:
+                        out[own].add((index, max(0, begin - low), min(len(plain[own]), end - low)))
+                    own += 1
         return out
 
-    def confirmed(self, documents: list[bytes], tried: dict[int, set[tuple[int, int]]], max_edits: float) -> dict[int, dict[int | None, int]]:
+    def confirmed(self, plain: list[str], tried: dict[int, set[tuple[int, int, int]]], max_edits: float) -> dict[int, dict[int | None, int]]:
         """Text -> item -> least edit distance, of the candidates that the text does hold."""
         out: dict[int, dict[int | None, int]] = {own: {} for own in tried}
         left: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
@@ -257,13 +300,11 @@ class Items:
             left.clear()
 
         for own, candidates in tried.items():
-            words = tokens_of(documents[own])
-            for index, begin in sorted(candidates):
-                item, count, number = self.texts[index], self.words[index], self.ids[index]
-                slack = int(max_edits * len(item)) // 2 + 1
+            for index, begin, end in sorted(candidates):
+                item, number = self.texts[index], self.ids[index]
                 if out[own].get(number) == 0:
                     continue
-                around = b" ".join(words[max(0, begin - slack) : max(0, begin + count + slack)]).decode()
+                around = plain[own][begin:end]
                 if item in around:
                     out[own][number] = 0
                 else:
@@ -276,29 +317,26 @@ class Items:
         return out
 
 
-class _Stripped(WordHashes):
-    """Hash of a word without its outer punctuation; 0 where nothing is left."""
-
-    def __missing__(self, word: bytes) -> int:
-        bare = word.strip(_EDGES)
-        if bare == word:
-            return super().__missing__(word)
-        value = self[word] = self[bare] if bare else 0
-        return value
+def _together_by_size(plain: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(first, texts): some texts in a row, of a bounded size together but for the last one."""
+    first, size = 0, 0
+    for i, text in enumerate(plain, 1):
+        size += len(text)
+        if size >= TOGETHER or i == len(plain):
+            yield first, plain[first:i]
+            first, size = i, 0
 
 
 def _checked(batches: Iterator[pa.RecordBatch], items: object, max_edits: float) -> Iterator[pa.RecordBatch]:
-    block, hashes = items.value, _Stripped({b"": 0})
+    block = items.value
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
     for batch, documents in texts(batches, "text"):
-        tried: dict[int, set[tuple[int, int]]] = {}
-        for i in range(0, len(documents), 500):
-            part = documents[i : i + 500]
-            own = [hashes.of(words_of(text)) for text in part]
-            own = [h[h != 0] for h in own]
-            if block.ids:
-                tried |= {i + j: found for j, found in block.candidates(np.concatenate(own), np.cumsum([len(h) for h in own])).items()}
-        held = block.confirmed(documents, tried, max_edits)
+        plain = [b" ".join(tokens_of(text)).decode() for text in documents]
+        tried: dict[int, set[tuple[int, int, int]]] = {}
+        if block.ids:
+            for first, part in _together_by_size(plain):
+                tried |= {first + j: found for j, found in block.candidates(part).items()}
+        held = block.confirmed(plain, tried, max_edits)
         rows = [[{"item_id": k, "edits": v} for k, v in sorted(held.get(j, {}).items(), key=lambda x: (x[0] is None, x[0] or 0))] for j in range(len(documents))]
         old = batch.column("items").to_pylist() if "items" in batch.schema.names else [[]] * len(rows)
         names = [n for n in batch.schema.names if n != "items"]
@@ -325,7 +363,7 @@ def find_items(
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema)
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).where("text is not null").orderBy("id", "text").collect()
-        items = spark.sparkContext.broadcast(Items.of([(r.id, r.text.encode()) for r in part]))
+        items = spark.sparkContext.broadcast(Items.of([(r.id, r.text.encode()) for r in part], max_edits))
         out = out.mapInArrow(lambda it, items=items: _checked(it, items, max_edits), schema + ", items array<struct<item_id: bigint, edits: bigint>>")
     back = {text_col: F.col("text")} | {c: F.col(f"_{i}") for i, c in enumerate(others)}
     return out.select(*(back[c].alias(c) for c in docs.columns if c in back), "items")
