@@ -72,3 +72,22 @@ def test_nothing_and_repeats(spark):
     pages = spark.createDataFrame([(None, "http://a.org/"), (1, "http://a.org/"), (1, "http://a.org/")], "page_id long, url string").selectExpr("*", "'x' host", "1 known")
     none = spark.createDataFrame([], "url string, bad int")
     assert u.judge(pages, none, RULES).count() == 3
+
+
+def test_hosts_without_labels_have_the_rate_of_the_level_above(spark):
+    hosts = {f"{c}.evil.org": (40, 40) for c in "abc"} | {f"{c}.good{i}.org": (40, 0) for c in "ab" for i in range(3)}
+    hosts |= {f"a.spam{i}.bad": (40, 40) for i in range(30)} | {f"{i}.0.0.7": (40, 40) for i in range(3)}
+    outcomes = [(f"http://{h}/{i}", int(i < bad)) for h, (n, bad) in hosts.items() for i in range(n)]
+    urls = ["http://new.evil.org/", "http://evil.org:80/", "http://new.good1.org/", "http://x.other.org/", "http://x.unseen.bad/", "http://x.com/", "http://9.0.0.7/", "nothing"]
+    out = judged(spark, urls, outcomes, [])
+    assert [out[i].verdict for i in range(len(urls))] == ["block", "block", "allow", "allow", "block", "allow", "allow", "allow"]
+    domains = added(hosts, lambda h: h.split(".", 1)[1] if h[0].isalpha() else "0.7")
+    suffixes = added(domains, lambda d: d.rsplit(".", 1)[-1])
+    n, bad = (sum(x) for x in zip(*suffixes.values(), strict=True))
+    s, d, w = (weight(list(g.values())) for g in (suffixes, domains, hosts))
+    top = {k: (v[1] + s * (bad + 1) / (n + 2)) / (v[0] + s) for k, v in suffixes.items()}
+    above = (domains["evil.org"][1] + d * top["org"]) / (domains["evil.org"][0] + d)
+    for i, mean, share in [(0, above, 1 / (w + 1)), (3, top["org"], 1 / (d + 1) + d / (d + 1) / (w + 1))]:
+        assert math.isclose(out[i].bad_rate, mean, rel_tol=1e-9)
+        assert math.isclose(out[i].bound, mean - u.BOUND * math.sqrt(mean * (1 - mean) * share), rel_tol=1e-9)
+    assert all(out[i].bad_rate is None and out[i].bound is None for i in (5, 6, 7))

@@ -3,7 +3,8 @@
 Labelled pages have an outcome, bad or not. The bad rate of a host is shrunk towards that of its registered domain, that
 towards the domain's suffix, and that towards all pages: each level has a beta prior whose mean is the level above and
 whose weight follows from how much the groups of the level differ beyond chance (moments of the beta-binomial). A page is
-blocked if its host's bad rate is high at the lower bound of the posterior.
+blocked if its host's bad rate is high at the lower bound of the posterior. A host without labelled pages has what its
+domain says of a host not seen yet, or else what its suffix says of one of a domain not seen yet.
 """
 
 from __future__ import annotations
@@ -61,8 +62,13 @@ def _weight(groups: DataFrame) -> float:
     return MOST_WEIGHT if alike <= 0 else min(MOST_WEIGHT, max(LEAST_WEIGHT, (1 - alike) / alike))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, bad, mean, bound): posterior mean of each labelled host's bad rate and its lower bound.
+def _bounded(mean: Column, deviation: Column) -> list[Column]:
+    return [mean.alias("mean"), (mean - BOUND * deviation).alias("bound")]
+
+
+def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Posterior means of bad rates and their lower bounds: (host, n, bad, mean, bound) of each labelled host, (domain,
+    mean, bound) of a host without labels of each labelled domain, (suffix, mean, bound) of one of a domain without labels.
 
     outcomes: a row per labelled page with host, domain, suffix (of with_parts) and bad (0 or 1; null is no label).
     """
@@ -76,20 +82,36 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     middle = domains.join(top, "suffix").select("domain", "suffix", ((F.col("bad") + d * F.col("above")) / (F.col("n") + d)).alias("above"))
     a, b = F.col("bad") + h * F.col("above"), F.col("n") - F.col("bad") + h * (1 - F.col("above"))
     rows = hosts.join(middle, ["domain", "suffix"]).select("host", "n", "bad", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
-    return rows.select("host", "n", "bad", "mean", (F.col("mean") - BOUND * F.col("deviation")).alias("bound"))
+    # Without labels the prior is the posterior; a domain's own rate is unknown too where it has no labels.
+    spread = F.col("above") * (1 - F.col("above"))
+    of_domain = middle.select("domain", *_bounded(F.col("above"), F.sqrt(spread / (h + 1))))
+    of_suffix = top.select("suffix", *_bounded(F.col("above"), F.sqrt(spread * (1 / (d + 1) + d / ((d + 1) * (h + 1))))))
+    return rows.select("host", "n", "bad", *_bounded(F.col("mean"), F.col("deviation"))), of_domain, of_suffix
+
+
+def reputation(outcomes: DataFrame) -> DataFrame:
+    """(host, n, bad, mean, bound): posterior mean of each labelled host's bad rate and its lower bound."""
+    return reputations(outcomes)[0]
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", max_bad: float = MAX_BAD) -> DataFrame:
     """(id, host, path, rule, verdict, bad_rate, bound) per page: the rule's verdict, else that of the host's reputation.
 
-    outcomes: (url, bad) of labelled pages. A host without labels is allowed, as nothing speaks against it beyond what is
-    usual; so are pages without a host and rule. Null ids and repeated rows give a row each.
+    outcomes: (url, bad) of labelled pages. A host without labels has the rate and bound of its domain, or else of its
+    suffix; of numeric addresses the parts tell nothing. Where the suffix has no labels either, the rate is null and the
+    page allowed, as nothing speaks against it beyond what is usual; so are pages without a host and rule. Null ids and
+    repeated rows give a row each.
     """
     labelled = with_parts(outcomes.select(F.col("url").cast("string").alias("url"), F.col("bad").cast("int").alias("bad")))
-    known = reputation(labelled).select(F.col("host").alias("known"), "mean", "bound")
+    levels = zip(("host", "domain", "suffix"), reputations(labelled), strict=True)
     parts = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")))
     name, verdict = rule_of(rules, F.col("host"), F.col("path"))
-    rows = parts.select("id", "host", "path", name.alias("rule"), verdict.alias("ruled"))
-    rows = rows.join(known, F.col("host") == F.col("known"), "left")
-    learnt = F.when((F.col("host") != "") & (F.col("bound") >= max_bad), "block").otherwise("allow")
-    return rows.select("id", "host", "path", "rule", F.coalesce("ruled", learnt).alias("verdict"), F.col("mean").alias("bad_rate"), "bound")
+    rows = parts.select("id", "host", "path", "domain", "suffix", name.alias("rule"), verdict.alias("ruled"))
+    named = F.col("suffix").rlike("[^0-9]")
+    for part, of in levels:
+        own = of.select(F.col(part).alias(f"_{part}"), F.col("mean").alias(f"_{part}_mean"), F.col("bound").alias(f"_{part}_bound"))
+        key = F.col(part) if part == "host" else F.when(named, F.col(part))
+        rows = rows.join(own, key == F.col(f"_{part}"), "left")
+    mean, bound = (F.coalesce(*(F.col(f"_{part}_{what}") for part in ("host", "domain", "suffix"))) for what in ("mean", "bound"))
+    learnt = F.when((F.col("host") != "") & (bound >= max_bad), "block").otherwise("allow")
+    return rows.select("id", "host", "path", "rule", F.coalesce("ruled", learnt).alias("verdict"), mean.alias("bad_rate"), bound.alias("bound"))
