@@ -64,3 +64,27 @@ def test_nulls_repeats_and_nothing(spark):
     assert alone.near_next == 1 and alone.n_chars == 23
     assert compared(spark, []) == []
     assert brute.words("A\x0bb") == ["a", "b"]
+
+
+def test_texts_of_five_or_six_words_have_anchors(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(5 + i % 2)) for i in range(40)]
+    rows = syncmers.fingerprints(spark.createDataFrame([(t,) for t in [*texts, "", " \n"]], "text string")).collect()
+    assert len({r.fingerprint for r in rows if r.text.strip()}) == 40
+    assert {r.fingerprint for r in rows if not r.text.strip()} == {""}
+    assert all(r.near_next == 0 for r in compared(spark, [*enumerate(texts), (99, "")]))
+    found = syncmers.anchors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert found.select("id").distinct().count() == 40
+
+
+def test_likeness_counts_all_anchors_of_long_texts(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(f"{c}{rng.randrange(10**9)}" for _ in range(20_000)) for c in "ab")
+    passage = " ".join(b.split()[7_000:7_060])
+    rows = [(1, a), (2, a + " " + passage), (3, b)]
+    found = syncmers._with_anchors(spark.createDataFrame(rows, "doc_id long, text string"), "text", "found").collect()
+    of = {r.doc_id: {x for x in r.found if x is not None} for r in found}
+    out = {r.id: r for r in compared(spark, rows)}
+    for i, j in [(1, 2), (2, 3), (3, 1)]:
+        assert abs(out[i].near_next - len(of[i] & of[j]) / len(of[i] | of[j])) < 1e-4
+    assert 0 < out[2].near_next < 0.01 and 0.99 < out[1].near_next < 1 and out[3].near_next == 0
+    assert all(len(r.fingerprint) == 8 * syncmers.HASHES for r in out.values())

@@ -2,7 +2,8 @@
 
 A k-mer is k words in a row; its inner substrings are pairs of adjacent words. It is chosen if the smallest hash of its
 inner pairs stands at its first or last place. The choice looks at nothing outside the k-mer, so a passage has the same
-anchors in every document. A fingerprint is the smallest distinct hashes of a document's anchors, a fixed number at most.
+anchors in every document. A text without a chosen k-mer has the hash of all its words as its one anchor. Documents are
+compared by all their distinct anchors. A fingerprint is a digest: the smallest of them, a fixed number at most.
 """
 
 from __future__ import annotations
@@ -32,36 +33,38 @@ def _with_anchors(df: DataFrame, text: str, to: str) -> DataFrame:
                   OR least(x, get(_s, i + 1), get(_s, i + 2)) >= get(_s, i + 3))
              THEN xxhash64(x, get(_s, i + 2), get(_h, i + 4)) END)"""
     )
-    short = F.when(F.size("_h") == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64("_h")))
-    return out.withColumn(to, F.when(F.size("_h") < K, short).otherwise(place)).drop("_h", "_s")
+    out = out.withColumn("_p", place)
+    none = F.array().cast("array<bigint>")
+    anchors = F.when(F.size("_h") == 0, none).when(F.exists("_p", lambda x: x.isNotNull()), F.col("_p")).otherwise(F.array(F.xxhash64("_h")))
+    return out.withColumn(to, anchors).drop("_h", "_s", "_p")
 
 
-def _with_sketch(df: DataFrame, text: str, to: str) -> DataFrame:
-    """df with the array `to`: the smallest distinct 32-bit hashes of the anchors of a text, ascending."""
+def _with_hashes(df: DataFrame, text: str, to: str) -> DataFrame:
+    """df with the array `to`: the distinct 32-bit hashes of all anchors of a text, less 2^31, ascending."""
     out = _with_anchors(df, text, "_a")
-    hashes = F.expr("array_distinct(transform(filter(_a, x -> x IS NOT NULL), x -> cast(x & 4294967295 AS bigint)))")
-    return out.withColumn(to, F.slice(F.sort_array(hashes), 1, HASHES)).drop("_a")
+    hashes = F.expr("array_distinct(transform(filter(_a, x -> x IS NOT NULL), x -> cast((x & 4294967295) - 2147483648 AS int)))")
+    return out.withColumn(to, F.sort_array(hashes)).drop("_a")
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, place, hash): the chosen k-mers with the place of their first word, for matching by position.
 
-    A text of fewer than K words has one anchor at place 0; null texts and texts without words have none.
+    A text without a chosen k-mer has one anchor at place 0; null texts and texts without words have none.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = _with_anchors(plain, "text", "_a").select("id", F.posexplode("_a").alias("place", "hash"))
     return found.where("hash IS NOT NULL")
 
 
-def _text(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 8, "0")), "")
+def _text(hashes: str) -> Column:
+    """The fingerprint."""
+    return F.array_join(F.transform(F.slice(hashes, 1, HASHES), lambda x: F.lpad(F.hex(x.cast("bigint") + 2147483648), 8, "0")), "")
 
 
 def _likeness(a: str, b: str) -> Column:
-    """Share of the smallest hashes of both sketches together that both hold; 1 of two empty ones."""
-    joint = F.expr(f"slice(sort_array(array_union({a}, {b})), 1, {HASHES})")
-    both = F.size(F.array_intersect(F.array_intersect(F.col(a), F.col(b)), joint))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(joint), F.lit(1)))
+    """Share of the hashes of both texts together that both hold; 1 of two texts without words."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", to: str = "fingerprint") -> DataFrame:
@@ -69,7 +72,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", to: str = "fingerprint
     empty one. A column of docs of that name is replaced."""
     others = [c for c in docs.columns if c != to]
     plain = docs.select(*(F.col(f"`{c}`").alias(f"_{i}_") for i, c in enumerate(others)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = _with_sketch(plain, "text", "_f")
+    out = _with_hashes(plain, "text", "_f")
     return out.select(*(F.col(f"_{i}_").alias(c) for i, c in enumerate(others)), _text("_f").alias(to))
 
 
@@ -82,7 +85,7 @@ def _bucket(limits: list[int], first: int = 0) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, sketch, next_text, next_sketch): each text beside that of the next id, the first one's beside the last.
+    """(id, text, hashes, next_text, next_hashes): each text beside that of the next id, the first one's beside the last.
 
     Ids are dealt to buckets of about equal size by their quantiles. Within a bucket the next row is the one below; the
     last one's next is the first row of the next bucket. Null ids come first, equal ids in the order of their texts.
@@ -100,23 +103,23 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     turns = [(firsts[i][0], firsts[(i + 1) % len(firsts)][1]) for i in range(len(firsts))]
     after = spark.createDataFrame(turns, "last_of long, key long")
     heads = rows.join(F.broadcast(after), "key").groupBy("last_of").agg(F.min("text").alias("head"))
-    heads = _with_sketch(heads, "head", "head_sketch").select(F.col("last_of").cast("int").alias("bucket"), "head", "head_sketch")
+    heads = _with_hashes(heads, "head", "head_hashes").select(F.col("last_of").cast("int").alias("bucket"), "head", "head_hashes")
     order = W.partitionBy("bucket").orderBy("key", "text")
-    beside = _with_sketch(rows, "text", "sketch").select("bucket", "id", "text", "sketch", F.lead("text").over(order).alias("below"), F.lead("sketch").over(order).alias("below_sketch"))
-    return beside.join(heads, "bucket", "left").select("id", "text", "sketch", F.coalesce("below", "head").alias("next_text"), F.coalesce("below_sketch", "head_sketch").alias("next_sketch"))
+    beside = _with_hashes(rows, "text", "hashes").select("bucket", "id", "text", "hashes", F.lead("text").over(order).alias("below"), F.lead("hashes").over(order).alias("below_hashes"))
+    return beside.join(heads, "bucket", "left").select("id", "text", "hashes", F.coalesce("below", "head").alias("next_text"), F.coalesce("below_hashes", "head_hashes").alias("next_hashes"))
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
     The edited text has the last half of the code points (rounded down) replaced by as many first ones of the next text.
-    Null texts count as empty; of two empty fingerprints the likeness is 1. One row alone is its own next one.
+    Null texts count as empty; the likeness is over all anchors, and 1 of two texts without words. One row alone is its own next one.
     """
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
-    rows = _with_sketch(rows.select("id", "n_chars", "sketch", "next_sketch", edited.alias("edited_text")), "edited_text", "edited_sketch")
+    rows = _with_hashes(rows.select("id", "n_chars", "hashes", "next_hashes", edited.alias("edited_text")), "edited_text", "edited_hashes")
     return rows.select(
-        "id", "n_chars", "edited_text", _text("sketch").alias("fingerprint"), _text("edited_sketch").alias("edited_fingerprint"),
-        _likeness("sketch", "edited_sketch").alias("near_edited"), _likeness("sketch", "next_sketch").alias("near_next"),
+        "id", "n_chars", "edited_text", _text("hashes").alias("fingerprint"), _text("edited_hashes").alias("edited_fingerprint"),
+        _likeness("hashes", "edited_hashes").alias("near_edited"), _likeness("hashes", "next_hashes").alias("near_next"),
     )
