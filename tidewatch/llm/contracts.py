@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, dac, decontaminate, line_dedup, near_dedup, packing, quality, syncmers, url_reputation
+from . import brown, chat, dac, decontaminate, line_dedup, merkle, near_dedup, packing, quality, secret_scan, syncmers, url_reputation, whitening
 from .common import read, shared_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -90,10 +90,45 @@ def op10_dac_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span of a match is that of the whole match; those that the lexer adds are of kind literal or constant."""
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s.kind.isin(*kinds))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    digest = F.sha2(joined(of("assign", "access", "hex")).cast("binary"), 256).alias("base_sha256")
+    added = F.size(of(secret_scan.LITERAL, secret_scan.CONSTANT)).cast("long").alias("n_added")
+    return found.select(F.col("id").alias("doc_id"), *counts, digest, joined(F.col("spans")).alias("spans"), added)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), scale=64, shift=1_000_000, components=32)
+    return out.withColumnRenamed("id", "vec_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered: where 7 divides the CRC of the id, one more in n_chars."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    n_chars = F.col("n_chars") + F.when(_crc(7) == 0, 1).otherwise(0)
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaves = docs.select(
+        "doc_id", "lang", merkle.digest(*map(F.col, fields)).alias("leaf"),
+        F.when(_crc(7) == 0, merkle.digest(*(n_chars if f == "n_chars" else F.col(f) for f in fields))).alias("claimed"),
+    )
+    manifest = merkle.build(leaves, id_col="doc_id", tree_col="lang", leaf_col="leaf", claimed_col="claimed", path=f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}")
+    out = merkle.verify(manifest)
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.col("siblings").cast("binary"), 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_minhash_near_dedup, op2_brown_lm, op3_line_dedup, op4_quality, op5_url_reputation, op6_chat_repair, op7_decontaminate,
-        op8_best_fit_packing, op9_syncmers, op10_dac_tokens,
+        op8_best_fit_packing, op9_syncmers, op10_dac_tokens, op11_secret_scan, op12_whitening, op13_merkle_manifest,
     )
     return {f.__name__: f for f in named}
 
