@@ -41,10 +41,11 @@ def test_recent_events(spark, sizes, count):
     parts = {r[7] for r in rows}
     share = n // len(parts) + 1
     last = [r for r in rows if r[8] >= max(0, sizes[r[7]] - share)]
-    got = [r.event_id for r in tail.recent_events(df, count).collect()]
+    rules = Rules(events_max_count=100)
+    got = [r.event_id for r in tail.recent_events(df, count, rules=rules).collect()]
     assert got == [r[0] for r in newest_first(last)[:n]]
     # The type filter comes after the tail.
-    got = [r.event_id for r in tail.recent_events(df, count, "LOG").collect()]
+    got = [r.event_id for r in tail.recent_events(df, count, "LOG", rules).collect()]
     assert got == [r[0] for r in newest_first(r for r in last if r[4])[:n]]
 
 
@@ -62,13 +63,13 @@ def test_unknown_type_is_refused(spark):
         tail.recent_events(df, 2, "source")
 
 
-def model_search(rows, sizes, pattern, count, severity=None, component=None):
+def model_search(rows, sizes, pattern, count, severity=None, component=None, depth=None):
     names = ["SEVERITY_UNSPECIFIED", "DEBUG", "INFO", "WARN", "ERROR", "FATAL"]
-    share = 500 // len(sizes)
-    scan = sorted((r for r in rows if r[8] >= max(0, sizes[r[7]] - share)), key=lambda r: (r[1], r[7], r[8]))[:500]
+    share = max(sizes) if depth is None else depth // len(sizes)
+    scan = sorted((r for r in rows if r[8] >= max(0, sizes[r[7]] - share)), key=lambda r: (r[1], r[7], r[8]))[:depth]
     found, scanned = [], 0
     for r in scan:
-        if len(found) >= count:
+        if count is not None and len(found) >= count:
             break
         scanned += 1
         log = r[4]
@@ -82,18 +83,61 @@ def model_search(rows, sizes, pattern, count, severity=None, component=None):
     return found, scanned
 
 
+@pytest.mark.parametrize("depth", [None, 500])
 @pytest.mark.parametrize(
     ("pattern", "count", "severity", "component"),
-    [("TIMEOUT", 20, None, None), ("50%", 5, "warn", None), ("", 300, None, "B"), ("_", 5, None, None), ("t", 0, None, None)],
+    [("TIMEOUT", 20, None, None), ("50%", 5, "warn", None), ("", 300, None, "B"), ("_", 5, None, None), ("t", 0, None, None), ("fine", None, None, None)],
 )
-def test_search(spark, pattern, count, severity, component):
+def test_search(spark, pattern, count, severity, component, depth):
     sizes = [400, 100, 300]
     df, rows = topic(spark, sizes, 1)
-    want, scanned = model_search(rows, sizes, pattern, min(count, 100), severity, component)
-    got = tail.search_logs(df, pattern, count, severity, component).collect()
+    rules = Rules(log_scan_depth=depth)
+    want, scanned = model_search(rows, sizes, pattern, count, severity, component, depth)
+    got = tail.search_logs(df, pattern, count, severity, component, rules).collect()
     assert [(r.partition, r.offset) for r in got] == want
-    one = tail.search_summary(df, pattern, count, severity, component).collect()[0]
-    assert (one.pattern, one.messages_scanned, one.match_count) == (pattern, scanned, len(want))
+    one = tail.search_summary(df, pattern, count, severity, component, rules).collect()[0]
+    stopped = count is not None and len(want) >= count
+    assert (one.pattern, one.messages_scanned, one.match_count, one.partial) == (pattern, scanned, len(want), stopped or depth is not None)
+
+
+def test_search_finds_a_match_long_before_the_end(spark):
+    log = F.struct(F.lit(2).alias("severity"), F.when(F.col("id") == 10, "needle").otherwise("hay").alias("message"), F.lit("c").alias("component"), F.lit("").alias("logger_name"), F.lit("").alias("stack_trace"), F.create_map().cast("map<string,string>").alias("context"))
+    events = spark.range(50_000).select(F.col("id").alias("timestamp_ms"), F.lit("s").alias("source"), log.alias("log"), (F.col("id") % 4).cast("int").alias("partition"), F.floor(F.col("id") / 4).alias("offset"))
+    assert [r.timestamp_ms for r in tail.search_logs(events, "needle").collect()] == [10]
+    one = tail.search_summary(events, "needle", 1).collect()[0]
+    assert (one.messages_scanned, one.match_count, one.partial) == (11, 1, True)
+    one = tail.search_summary(events, "needle", 2).collect()[0]
+    assert (one.messages_scanned, one.match_count, one.partial) == (50_000, 1, False)
+
+
+def test_search_of_an_empty_log(spark):
+    df = topic(spark, [3])[0].limit(0)
+    assert tail.search_logs(df, "x").collect() == []
+    assert tuple(tail.search_summary(df, "x").collect()[0]) == ("x", 0, 0, False)
+
+
+def test_tail_reads_the_log_twice(spark, tmp_path):
+    """A narrow scan for the watermarks, then only row groups that reach the tail."""
+    df, _ = topic(spark, [5000, 5000])
+    df.repartitionByRange(8, "offset").write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    out = tail.last_per_partition(log, 20, 1)
+    assert out.count() == 22
+    out.collect()
+
+    def scans(plan):
+        if plan.nodeName().startswith("Scan"):
+            yield plan.metrics().get("numOutputRows").get().value()
+        inner = [plan.children().apply(i) for i in range(plan.children().size())]
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            inner.append(plan.executedPlan())
+        elif "QueryStage" in kind:
+            inner.append(plan.plan())
+        for p in inner:
+            yield from scans(p)
+
+    assert max(scans(out._jdf.queryExecution().executedPlan())) < 10_000
 
 
 def test_lag_and_throughput(spark):

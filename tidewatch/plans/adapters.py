@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch import schema
+from tidewatch.functions.keys import severity_name
 from tidewatch.operators.tail import watermarks
+from tidewatch.sources.wire import encode_wire
 
 TOPIC = "stream-events"
 GROUP = "processor"
@@ -531,6 +533,30 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry(spark, sf_dir).select("partition", "offset", value.cast("binary").alias("value"))
 
 
+def wire_messages(spark: SparkSession, sf_dir: str, mixed: bool = False) -> DataFrame:
+    """The telemetry as binary messages: some truncated, empty, missing, or with a field nobody knows.
+
+    ``mixed`` sends every third one as JSON, with enum names and quoted numbers as that format allows.
+    """
+    events = telemetry(spark, sf_dir).withColumn("n", F.col("event_id")).withColumn("event_id", F.col("n").cast("string"))
+    log = F.col("log").withField("severity", severity_name(F.col("log.severity")))
+    text = F.to_json(F.struct("event_id", F.col("timestamp_ms").cast("string").alias("timestamp_ms"), "source", "metric", log.alias("log")))
+    keep = ["partition", "offset", "timestamp", "n"] + (["text"] if mixed else [])
+    sent = events.withColumn("timestamp", F.timestamp_millis("timestamp_ms"))
+    encoded = encode_wire(sent.withColumn("text", text) if mixed else sent, keep)
+    n, value = F.col("n"), F.col("value")
+    whole = F.when(n % 47 == 0, F.concat(value, F.unhex(F.lit("F80101")))).otherwise(value)
+    if mixed:
+        whole = F.when(n % 3 == 0, F.col("text").cast("binary")).otherwise(whole)
+    sick = (
+        F.when(n % 50 == 0, F.substring(value, F.lit(1), F.octet_length(value) - 1))
+        .when(n % 51 == 0, F.lit(b""))
+        .when(n % 53 == 0, F.lit(None).cast("binary"))
+        .otherwise(whole)
+    )
+    return encoded.select("partition", "offset", "timestamp", sick.alias("value"))
+
+
 def detection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free texts that should hold an anomaly: fenced, bare, incomplete, unclosed, or prose."""
     n = F.col("doc_id")

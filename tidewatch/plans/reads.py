@@ -25,6 +25,17 @@ def _flat_events(events: DataFrame) -> DataFrame:
     )
 
 
+def _wide_events(events: DataFrame) -> DataFrame:
+    """Also what the flat view leaves out: texts and map entries of the payloads."""
+    return events.select(
+        "partition", "offset", "timestamp_ms", "event_id", "source",
+        F.col("metric.metric_name").alias("metric_name"), F.col("metric.value").alias("value"),
+        F.col("metric.unit").alias("unit"), F.try_element_at("metric.tags", F.lit("source")).alias("tag"),
+        F.col("log.severity").alias("severity"), F.col("log.message").alias("message"),
+        F.col("log.logger_name").alias("logger_name"), F.try_element_at("log.context", F.lit("type")).alias("context"),
+    )
+
+
 def recent_events_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_events(tail.recent_events(a.telemetry(spark, sf_dir)))
 
@@ -47,6 +58,18 @@ def search_logs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tail.search_summary(a.telemetry(spark, sf_dir), "OutOfMemory", 10)
 
 
+def search_logs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match in the log, however far back."""
+    found = tail.search_logs(a.telemetry(spark, sf_dir), "OutOfMemory", None, severity="error", component="svc-3")
+    return found.select("partition", "offset", "timestamp_ms", "source", "severity", "message", "component")
+
+
+def search_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over raw messages, which scans those that don't decode as well."""
+    decoded = event_source.decode(a.wire_messages(spark, sf_dir), protobuf=True)
+    return tail.search_summary(event_source.messages(decoded), "poll timeout", 25)
+
+
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.offset_snapshots(spark, sf_dir)
 
@@ -112,6 +135,22 @@ def decode_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decode_protobuf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = event_source.decode(a.wire_messages(spark, sf_dir), protobuf=True)
+    return _wide_events(event_source.decoded_events(decoded, "decode_protobuf"))
+
+
+def decode_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = event_source.decode(a.wire_messages(spark, sf_dir, mixed=True), protobuf=True, fallback=True)
+    return _wide_events(event_source.decoded_events(decoded, "decode_fallback"))
+
+
+def decode_protobuf_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_source.decode(a.wire_messages(spark, sf_dir), protobuf=True).agg(
+        F.count("*").alias("records"), F.count_if(F.col("event").isNull()).alias("errors")
+    )
+
+
 def _tail_sql(total: int, extra: int) -> str:
     return f"""
 tail AS (
@@ -125,15 +164,20 @@ _FLAT += "CASE WHEN metric_name IS NOT NULL THEN value END AS value, severity, "
 _FLAT += "CASE WHEN severity IS NOT NULL THEN message END AS message"
 
 
-def _scan_sql(match: str, n: int) -> str:
-    return f"""{a.TELEMETRY_SQL},{_tail_sql(500, 0)},
+def _scan_sql(match: str, n: int | None) -> str:
+    """All events up to the n-th match, in the order of the log."""
+    return f"""{a.TELEMETRY_SQL},
 scanned AS (
   SELECT * FROM (
     SELECT *, sum(is_match) OVER (ORDER BY timestamp_ms, partition, "offset" ROWS BETWEEN UNBOUNDED PRECEDING
                                   AND 1 PRECEDING) AS seen
-    FROM (SELECT *, CASE WHEN severity IS NOT NULL AND {match} THEN 1 ELSE 0 END AS is_match
-          FROM tail ORDER BY timestamp_ms, partition, "offset" LIMIT 500))
-  WHERE coalesce(seen, 0) < {n})"""
+    FROM (SELECT *, CASE WHEN severity IS NOT NULL AND {match} THEN 1 ELSE 0 END AS is_match FROM telemetry))
+  WHERE {"true" if n is None else f"coalesce(seen, 0) < {n}"})"""
+
+
+def _summary_sql(pattern: str, n: int) -> str:
+    return f"""SELECT '{pattern}' AS pattern, count(*) AS messages_scanned, CAST(sum(is_match) AS BIGINT) AS match_count,
+        sum(is_match) >= {n} AS partial FROM scanned"""
 
 
 _ERROR_SQL = "event_id % 50 = 0 OR (event_id % 51 <> 0 AND event_id % 53 = 0)"
@@ -144,6 +188,8 @@ QUERIES = {
     "search_logs": search_logs,
     "search_logs_filtered": search_logs_filtered,
     "search_logs_summary": search_logs_summary,
+    "search_logs_all": search_logs_all,
+    "search_messages": search_messages,
     "consumer_lag": consumer_lag,
     "consumer_lag_total": consumer_lag_total,
     "topic_throughput": topic_throughput,
@@ -154,8 +200,27 @@ QUERIES = {
     "metric_errors": metric_errors,
     "decode_events": decode_events,
     "decode_errors": decode_errors,
+    "decode_protobuf": decode_protobuf,
+    "decode_protobuf_errors": decode_protobuf_errors,
+    "decode_fallback": decode_fallback,
 }
 
+_WIDE_SQL = f"""
+        SELECT partition, "offset", CASE WHEN empty THEN 0 ELSE timestamp_ms END AS timestamp_ms,
+               CASE WHEN empty THEN '' ELSE CAST(event_id AS VARCHAR) END AS event_id,
+               CASE WHEN empty THEN '' ELSE source END AS source,
+               CASE WHEN NOT empty THEN metric_name END AS metric_name,
+               CASE WHEN NOT empty AND metric_name IS NOT NULL THEN value END AS value,
+               CASE WHEN NOT empty THEN CASE metric_name WHEN 'latency_ms' THEN 'ms' WHEN 'heap_usage_percent' THEN 'percent' END
+                 END AS unit,
+               CASE WHEN NOT empty AND metric_name IS NOT NULL THEN source END AS tag,
+               CASE WHEN NOT empty THEN severity END AS severity,
+               CASE WHEN NOT empty AND severity IS NOT NULL THEN message END AS message,
+               CASE WHEN NOT empty AND severity IS NOT NULL THEN 'worker' END AS logger_name,
+               CASE WHEN NOT empty AND severity IS NOT NULL THEN event_type END AS context
+        FROM (SELECT *, event_id % 51 = 0 AS empty FROM telemetry JOIN (SELECT event_id, event_type FROM events) USING (event_id))
+        WHERE NOT ({_ERROR_SQL})"""
+
 _MATCH_COLUMNS = 'partition, "offset", timestamp_ms, source, severity, message, source AS component'
 _LAG_SQL = """
 lag AS (
@@ -174,8 +239,11 @@ ORACLES = {
     "search_logs_filtered": f"""WITH {_scan_sql("severity = 2 AND source = 'svc-3'", 100)}
         SELECT {_MATCH_COLUMNS} FROM scanned WHERE is_match = 1""",
     "search_logs_summary": f"""WITH {_scan_sql("contains(lower(message), 'outofmemory')", 10)}
-        SELECT 'OutOfMemory' AS pattern, count(*) AS messages_scanned, CAST(sum(is_match) AS BIGINT) AS match_count
-        FROM scanned""",
+        {_summary_sql("OutOfMemory", 10)}""",
+    "search_logs_all": f"""WITH {_scan_sql("contains(lower(message), 'outofmemory') AND severity = 4 AND source = 'svc-3'", None)}
+        SELECT {_MATCH_COLUMNS} FROM scanned WHERE is_match = 1""",
+    "search_messages": f"""WITH {_scan_sql(f"contains(lower(message), 'poll timeout') AND event_id % 51 <> 0 AND NOT ({_ERROR_SQL})", 25)}
+        {_summary_sql("poll timeout", 25)}""",
     "consumer_lag": f"WITH {a.TELEMETRY_SQL},{a.OFFSETS_SQL},{_LAG_SQL} SELECT * FROM lag",
     "consumer_lag_total": f"""WITH {a.TELEMETRY_SQL},{a.OFFSETS_SQL},{_LAG_SQL}
         SELECT "group", topic, CAST(sum(lag) AS BIGINT) AS total_lag, count(*) AS partitions FROM lag GROUP BY ALL""",
@@ -237,5 +305,8 @@ ORACLES = {
                CASE WHEN event_id % 51 <> 0 THEN severity END AS severity,
                CASE WHEN event_id % 51 <> 0 AND severity IS NOT NULL THEN message END AS message
         FROM telemetry WHERE NOT ({_ERROR_SQL})""",
+    "decode_protobuf": f"WITH {a.TELEMETRY_SQL} {_WIDE_SQL}",
+    "decode_fallback": f"WITH {a.TELEMETRY_SQL} {_WIDE_SQL}",
+    "decode_protobuf_errors": f"SELECT count(*) AS records, count(*) FILTER (WHERE {_ERROR_SQL}) AS errors FROM events",
     "decode_errors": f"SELECT count(*) AS records, count(*) FILTER (WHERE {_ERROR_SQL}) AS errors FROM events",
 }

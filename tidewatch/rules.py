@@ -26,10 +26,10 @@ class Rules:
     error_rate_min_events: int = 10
     error_severity: int = 3
 
-    # Read limits.
-    events_max_count: int = 100
+    # Read limits; None reads everything.
+    events_max_count: int | None = None
     events_default_count: int = 20
-    log_scan_depth: int = 500
+    log_scan_depth: int | None = None
     metric_max_series: int | None = None
     max_exceptions: int | None = None
     audit_limit: int | None = None
