@@ -8,11 +8,12 @@ many rows, never one growing group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import confidence_rank, is_low, short_id
 from tidewatch.functions.text import prefix
+from tidewatch.operators.numbering import numbered
 from tidewatch.operators.skew import salted_join
 from tidewatch.rules import Rules
 
@@ -179,20 +180,42 @@ def dangling_conflicts(conflicts: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def integrity_errors(
-    sources: DataFrame, claims: DataFrame, conflicts: DataFrame
+    sources: DataFrame, claims: DataFrame, conflicts: DataFrame | None = None, key: str = "diagnosis_id"
 ) -> DataFrame:
-    """First failed check per diagnosis: 1, 2 duplicate source or claim ids, 3 claim without
-    its source, 4 conflict without its claim. Diagnoses without a row are sound."""
+    """First failed check per record: 1, 2 duplicate source or claim ids, 3 claim without
+    its source, 4 conflict without its claim. Records without a row are sound.
 
-    def failed(df: DataFrame, check: int) -> DataFrame:
-        return df.select("diagnosis_id", F.lit(check).alias("check"))
+    Each row marks the ids that it defines and those that it cites. The marks of
+    one id of one record are added up, so each table is read once, and a record
+    with very many rows is spread by its ids.
+    """
+
+    def marked(df: DataFrame, *marks: Column) -> DataFrame:
+        return df.select(key, F.inline(F.filter(F.array(*marks), lambda m: m["counts"])))
+
+    def mark(kind: str, id_column: str, defines: bool, counts: Column | None = None) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            F.col(id_column).alias("id"),
+            F.lit(int(defines)).alias("defined"),
+            (F.lit(True) if counts is None else counts).alias("counts"),
+        )
 
+    sourced = F.coalesce(F.col("confidence") != "UNSOURCED", F.lit(False))
+    marks = marked(sources, mark("source", "source_id", True)).unionByName(
+        marked(claims, mark("claim", "claim_id", True), mark("source", "source_id", False, sourced))
+    )
+    if conflicts is not None:
+        sides = [mark("claim", c, False) for c in ("claim_a_id", "claim_b_id")]
+        marks = marks.unionByName(marked(conflicts, *sides))
+    copies, is_source = F.col("copies"), F.col("kind") == "source"
+    check = F.when(copies > 1, F.when(is_source, 1).otherwise(2)).when(copies == 0, F.when(is_source, 3).otherwise(4))
     return (
-        failed(duplicate_ids(sources, "source_id"), 1)
-        .union(failed(duplicate_ids(claims, "claim_id"), 2))
-        .union(failed(dangling_claims(claims, sources), 3))
-        .union(failed(dangling_conflicts(conflicts, claims), 4))
-        .groupBy("diagnosis_id")
+        marks.groupBy(key, "kind", "id")
+        .agg(F.sum("defined").alias("copies"))
+        .select(key, check.alias("check"))
+        .filter(F.col("check").isNotNull())
+        .groupBy(key)
         .agg(F.min("check").alias("check"))
     )
 
@@ -250,12 +273,9 @@ def report_gate(diagnoses: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def number_survivors(diagnoses: DataFrame) -> DataFrame:
-    """Renumber the forks of each incident 0, 1, ... after some have failed.
-
-    An incident has no more forks than the fork limit it was diagnosed with.
-    """
-    order = Window.partitionBy("incident_id").orderBy("fork")
-    return diagnoses.withColumn("fork", F.row_number().over(order) - 1)
+    """Renumber the forks of each incident 0, 1, ... after some have failed."""
+    kept = [c for c in diagnoses.columns if c != "fork"]
+    return numbered(diagnoses, "incident_id", "fork", "_fork").select(*kept, F.col("_fork").alias("fork"))
 
 
 def representative_claims(claims: DataFrame) -> DataFrame:
@@ -288,11 +308,9 @@ def forks(diagnoses: DataFrame, claims: DataFrame) -> DataFrame:
             F.col("summary").alias("summary"),
         )
     )
-    # As many rows per incident as it has forks, which the fork limit bounds.
-    incident = Window.partitionBy("incident_id")
-    return ranked.withColumn("primary", best.over(incident)).withColumn(
-        "fork_count", F.count("*").over(incident)
-    )
+    # Reduced before the shuffle, and joined back with frequent incidents salted: no task holds a whole one.
+    primaries = ranked.groupBy("incident_id").agg(best.alias("primary"), F.count("*").alias("fork_count"))
+    return salted_join(ranked, primaries, ["incident_id"], "inner")
 
 
 def fork_prefix() -> Column:

@@ -26,8 +26,9 @@ def route_incidents(
     """Where each incident goes, and which human gate it waits at.
 
     ``incidents`` is (incident_id, diagnosis_id, severity, ...), ``conflicts``
-    the conflicts of the diagnoses, ``decisions`` (incident_id, answer). A
-    CRITICAL incident has one gate, for approval; below that, unresolved
+    the conflicts of the diagnoses, ``decisions`` (incident_id, answer), of
+    which the latest by ``decided_at`` counts. Short incident ids may collide:
+    decisions that carry a diagnosis_id are matched by that instead. A CRITICAL incident has one gate, for approval; below that, unresolved
     conflicts call for their own acknowledgement.
     """
     out = incidents
@@ -43,7 +44,10 @@ def route_incidents(
     if decisions is None:
         out = out.withColumn("answer", F.lit(None).cast("string"))
     else:
-        out = out.join(decisions.select("incident_id", "answer"), "incident_id", "left")
+        key = "diagnosis_id" if "diagnosis_id" in decisions.columns else "incident_id"
+        when = "decided_at" if "decided_at" in decisions.columns else "answer"
+        last = decisions.groupBy(key).agg(F.max_by("answer", F.struct(when, "answer")).alias("answer"))
+        out = out.join(last, key, "left")
     severity = F.col("severity")
     critical = severity == "CRITICAL"
     route = (

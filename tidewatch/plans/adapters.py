@@ -8,11 +8,12 @@ four partitions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import schema
 from tidewatch.functions.keys import severity_name
+from tidewatch.operators.numbering import numbered
 from tidewatch.operators.tail import watermarks
 from tidewatch.sources.wire import encode_wire
 
@@ -218,16 +219,12 @@ headers AS (
 
 def fork_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All diagnoses of each incident, numbered as its forks."""
-    order = Window.partitionBy("incident_id").orderBy("diagnosis_id")
-    return (
-        diagnosis_headers(spark, sf_dir)
-        .withColumn("fork", F.row_number().over(order) - 1)
-    )
+    return numbered(diagnosis_headers(spark, sf_dir), "incident_id", "diagnosis_id", "fork")
 
 
 FORKS_SQL = """
 fork_headers AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY diagnosis_id) - 1 AS INTEGER) AS fork FROM headers)"""
+  SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY diagnosis_id) - 1 AS fork FROM headers)"""
 
 
 def diagnosis_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,26 +285,88 @@ claims AS (
 
 
 def diagnosis_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First against seventh claim in every seventh diagnosis; the seventh may be missing."""
-    key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter(key % 7 == 0).select(
+    """First against some later claim in every diagnosis; the later one may be missing."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select(
         key.alias("diagnosis_id"),
         F.lit(0).alias("pos"),
         F.concat(F.lit("conf-"), key.cast("string")).alias("conflict_id"),
-        F.lit("first against last").alias("topic"),
+        F.concat(F.lit("first against later, "), "o_orderpriority").alias("topic"),
         F.lit("C1").alias("claim_a_id"),
-        F.lit("C7").alias("claim_b_id"),
-        F.when(F.col("o_orderstatus").isin("O", "P"), "unresolved").otherwise("resolved_a").alias("resolution"),
-        F.lit("").alias("notes"),
+        F.concat(F.lit("C"), (F.col("o_custkey") % 7 + 1).cast("string")).alias("claim_b_id"),
+        F.when(status == "O", "unresolved").when(status == "P", "resolved_b").otherwise("resolved_a").alias("resolution"),
+        F.concat(F.lit("seen "), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("notes"),
     )
 
 
 CONFLICTS_SQL = """
 conflicts AS (
-  SELECT o_orderkey AS diagnosis_id, 0 AS pos, 'conf-' || o_orderkey AS conflict_id, 'first against last' AS topic,
-         'C1' AS claim_a_id, 'C7' AS claim_b_id,
-         CASE WHEN o_orderstatus IN ('O', 'P') THEN 'unresolved' ELSE 'resolved_a' END AS resolution, '' AS notes
-  FROM orders WHERE o_orderkey % 7 = 0)"""
+  SELECT o_orderkey AS diagnosis_id, 0 AS pos, 'conf-' || o_orderkey AS conflict_id,
+         'first against later, ' || o_orderpriority AS topic, 'C1' AS claim_a_id, 'C' || (o_custkey % 7 + 1) AS claim_b_id,
+         CASE o_orderstatus WHEN 'O' THEN 'unresolved' WHEN 'P' THEN 'resolved_b' ELSE 'resolved_a' END AS resolution,
+         'seen ' || strftime(o_orderdate, '%Y-%m-%d') AS notes
+  FROM orders)"""
+
+
+def diagnosis_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A component per line item: the supplier, with the state of the item as evidence."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("diagnosis_id"),
+        (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("pos"),
+        F.concat(F.lit("svc-"), F.col("l_suppkey").cast("string")).alias("name"),
+        F.when(F.col("l_linenumber") == 1, "source").otherwise("sink").alias("role"),
+        F.when(F.col("l_linestatus") == "F", "failed").otherwise("degraded").alias("status"),
+        F.concat(F.lit("shipped "), F.date_format("l_shipdate", "yyyy-MM-dd")).alias("evidence"),
+    )
+
+
+COMPONENTS_SQL = """
+components AS (
+  SELECT l_orderkey AS diagnosis_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS pos, 'svc-' || l_suppkey AS name,
+         CASE l_linenumber WHEN 1 THEN 'source' ELSE 'sink' END AS role,
+         CASE l_linestatus WHEN 'F' THEN 'failed' ELSE 'degraded' END AS status,
+         'shipped ' || strftime(l_shipdate, '%Y-%m-%d') AS evidence
+  FROM lineitem)"""
+
+
+def diagnosis_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two key data points per diagnosis."""
+    orders = table(spark, sf_dir, "orders")
+    points = F.array(
+        F.concat(F.lit("status "), "o_orderstatus"), F.concat(F.lit("priority "), "o_orderpriority")
+    )
+    return orders.select(F.col("o_orderkey").alias("diagnosis_id"), F.posexplode(points).alias("pos", "evidence"))
+
+
+EVIDENCE_SQL = """
+evidence AS (
+  SELECT o_orderkey AS diagnosis_id, 0 AS pos, 'status ' || o_orderstatus AS evidence FROM orders
+  UNION ALL SELECT o_orderkey, 1, 'priority ' || o_orderpriority FROM orders)"""
+
+
+def incident_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources that incident reports carry: those of closed orders lost their second one."""
+    kept = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("diagnosis_id"), (F.col("o_orderstatus") == "F").alias("closed")
+    )
+    sources = diagnosis_sources(spark, sf_dir).join(kept, "diagnosis_id")
+    return sources.filter(~(F.col("closed") & (F.col("source_id") == "src-1"))).select(
+        F.concat(F.lit("inc-"), F.col("diagnosis_id").cast("string")).alias("incident_id"), "pos", "source_id", "tool_name"
+    )
+
+
+def incident_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = diagnosis_claims(spark, sf_dir)
+    return claims.withColumn(
+        "incident_id", F.concat(F.lit("inc-"), F.col("diagnosis_id").cast("string"))
+    ).drop("diagnosis_id")
+
+
+INCIDENT_SQL = f"""{SOURCES_SQL},{CLAIMS_SQL},
+incident_sources AS (
+  SELECT 'inc-' || diagnosis_id AS incident_id, source_id FROM sources JOIN orders ON o_orderkey = diagnosis_id
+  WHERE NOT (o_orderstatus = 'F' AND source_id = 'src-1')),
+incident_claims AS (SELECT 'inc-' || diagnosis_id AS incident_id, claim_id, source_id, confidence FROM claims)"""
 
 
 def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,17 +404,23 @@ reports AS (
 
 
 def human_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers for every second incident: yes, yes in other words, or no."""
+    """An answer to every incident: yes, yes in other words, no, or something else; some answer twice."""
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").filter(key % 2 == 0).select(
-        F.concat(F.lit("inc-"), key.cast("string")).alias("incident_id"),
-        F.element_at(F.array(F.lit("y"), F.lit(" YES "), F.lit("no")), (key % 3 + 1).cast("int")).alias("answer"),
+    answers = F.array(F.lit("y"), F.lit(" YES "), F.lit("no"), F.lit("later"))
+    first = F.struct(
+        F.lit("2024-01-01T00:00:00Z").alias("decided_at"),
+        F.element_at(answers, (F.col("o_custkey") % 4 + 1).cast("int")).alias("answer"),
+    )
+    second = F.struct(F.lit("2024-01-02T00:00:00Z").alias("decided_at"), F.lit("yes").alias("answer"))
+    given = F.when(F.col("o_totalprice") > 300000, F.array(first, second)).otherwise(F.array(first))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("inc-"), key.cast("string")).alias("incident_id"), F.inline(given)
     )
 
 
 DECISIONS_SQL = """
 decisions AS (
-  SELECT 'inc-' || o_orderkey AS incident_id, o_orderkey % 3 <> 2 AS accepted FROM orders WHERE o_orderkey % 2 = 0)"""
+  SELECT 'inc-' || o_orderkey AS incident_id, o_totalprice > 300000 OR o_custkey % 4 < 2 AS accepted FROM orders)"""
 
 
 # JSON snapshots: one document per order.

@@ -31,6 +31,10 @@ def integrity_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def incident_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.integrity_errors(a.incident_sources(spark, sf_dir), a.incident_claims(spark, sf_dir), key="incident_id")
+
+
 def confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.confidence_distribution(a.diagnosis_headers(spark, sf_dir), a.diagnosis_claims(spark, sf_dir))
 
@@ -78,6 +82,14 @@ def fork_merge_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.merged_conflicts(_forks(spark, sf_dir), a.diagnosis_conflicts(spark, sf_dir))
 
 
+def fork_merge_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.merged_children(_forks(spark, sf_dir), a.diagnosis_components(spark, sf_dir), [])
+
+
+def fork_merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.merged_children(_forks(spark, sf_dir), a.diagnosis_evidence(spark, sf_dir), [])
+
+
 def fallback_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = a.diagnosis_headers(spark, sf_dir).withColumn(
         "root_cause", F.struct(F.col("summary").alias("summary"))
@@ -149,6 +161,7 @@ QUERIES = {
     "dangling_claims": dangling_claims,
     "dangling_conflicts": dangling_conflicts,
     "integrity_errors": integrity_errors,
+    "incident_integrity": incident_integrity,
     "confidence_distribution": confidence_distribution,
     "low_conf_claims": low_conf_claims,
     "report_gate": report_gate,
@@ -159,6 +172,8 @@ QUERIES = {
     "fork_merge_sources": fork_merge_sources,
     "fork_merge_claims": fork_merge_claims,
     "fork_merge_conflicts": fork_merge_conflicts,
+    "fork_merge_components": fork_merge_components,
+    "fork_merge_evidence": fork_merge_evidence,
     "fallback_incidents": fallback_incidents,
     "unresolved_conflicts": unresolved_conflicts,
     "route_incidents": route_incidents,
@@ -248,6 +263,13 @@ ORACLES = {
           SELECT diagnosis_id, CASE kind WHEN 'source' THEN 1 ELSE 2 END AS check_no FROM duplicates
           UNION ALL SELECT diagnosis_id, 3 FROM dangling_claims
           UNION ALL SELECT diagnosis_id, 4 FROM dangling_conflicts) GROUP BY diagnosis_id""",
+    "incident_integrity": f"""WITH {a.INCIDENT_SQL}
+        SELECT incident_id, CAST(min(check_no) AS INTEGER) AS "check" FROM (
+          SELECT incident_id, 1 AS check_no FROM incident_sources GROUP BY incident_id, source_id HAVING count(*) > 1
+          UNION ALL SELECT incident_id, 2 FROM incident_claims GROUP BY incident_id, claim_id HAVING count(*) > 1
+          UNION ALL SELECT incident_id, 3 FROM incident_claims WHERE confidence <> 'UNSOURCED'
+            AND (incident_id, source_id) NOT IN (SELECT incident_id, source_id FROM incident_sources))
+        GROUP BY incident_id""",
     "confidence_distribution": f"""WITH {_RECORDS},{_STATS_SQL}
         SELECT diagnosis_id, high, medium, low, unsourced FROM stats""",
     "low_conf_claims": f"""WITH {_RECORDS}
@@ -284,6 +306,11 @@ ORACLES = {
         UNION ALL
         SELECT incident_id, fork, 0 AS pos, conflict_id, topic, claim_a_id, claim_b_id, resolution, notes, true
         FROM cross_conflicts""",
+    "fork_merge_components": f"""WITH {_FORKS_SQL},{a.COMPONENTS_SQL}
+        SELECT incident_id, fork, pos, name, role, status, c.evidence
+        FROM components c JOIN forks f ON f.diagnosis_id = c.diagnosis_id""",
+    "fork_merge_evidence": f"""WITH {_FORKS_SQL},{a.EVIDENCE_SQL}
+        SELECT incident_id, fork, pos, evidence FROM evidence e JOIN forks f ON f.diagnosis_id = e.diagnosis_id""",
     "fallback_incidents": f"""WITH {a.HEADERS_SQL}
         SELECT substr(sha256(diagnosis_id || chr(31) || detected_at), 1, 8) AS incident_id, diagnosis_id,
                'Anomaly: ' || anomaly_type || ' (report agent unavailable)' AS title, 'MEDIUM' AS severity, summary,
