@@ -296,3 +296,18 @@ def test_rules_are_checked():
         Rules(ema_alpha=1.5)
     with pytest.raises(ValueError):
         Rules(hypothesis_mode="dice")
+
+
+def test_rate_of_a_range_reads_that_range(spark, tmp_path):
+    """The time reaches the scan; of what came before, one row per series is ordered."""
+    rng = random.Random(8)
+    rows = [("c", {"s": rng.choice("ab")}, t, float(rng.randint(0, 50))) for t in range(0, 200_000, 500)]
+    samples(spark, rows).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    whole = metrics.metric_rate(metrics.counter_increase(stored), 100_000, 150_000, 10, 30)
+    part = metrics.metric_rate(metrics.counter_increase(stored, None, 70_000, 150_000), 100_000, 150_000, 10, 30)
+    assert sorted(map(str, part.collect())) == sorted(map(str, whole.collect())) and part.count() > 5
+    kept = metrics.counter_increase(stored, None, 70_000, 150_000)
+    assert {r.ts_ms for r in kept.collect()} == set(range(70_500, 150_001, 500))
+    empty = metrics.counter_increase(stored, None, 900_000, 950_000)
+    assert empty.collect() == []

@@ -11,7 +11,7 @@ from tidewatch.rules import Rules
 from tidewatch.schema import AUDIT
 from tidewatch.sources import audit
 from tidewatch.sources.events import decode, decoded_events
-from tidewatch.streaming import detector, sinks
+from tidewatch.streaming import detector, reorder, sinks
 from tidewatch.streaming.incidents import track_incidents_stream
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -186,3 +186,67 @@ def test_audit_keeps_entries_over_new_checkpoints_and_writers(spark, tmp_path):
     back = audit.read_audit(spark, log)
     assert back.columns == AUDIT.names
     assert sorted(r.incident_id for r in back.collect()) == ["i0", "i1", "i2"]
+
+
+def _written(stream, folder):
+    query = sinks.write_alert_files(stream, f"{folder}/out", f"{folder}/state", once=True)
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out"), query
+
+
+def test_reordered_rows_give_the_alerts_of_the_batch(spark):
+    """Rows late within the delay are put in order; what is later than that is dropped and counted."""
+    rules = Rules(warmup_samples=5)
+    rng = random.Random(3)
+    rows = [(i, (i + 60) * 1000, 100.0 + rng.choice([-1, 0, 1]) if i % 17 else 500.0) for i in range(120)]
+    shuffled = sorted(rows, key=lambda r: r[0] + rng.random() * 25)
+    parts = [_plain(spark, shuffled[i : i + 30]) for i in range(0, 120, 30)]
+    # The first one is later than the delay when it comes, the second one moves the watermark on.
+    parts += [_plain(spark, [(998, 1, 900.0)]), _plain(spark, [(999, 10_000_000, 100.0)]), _plain(spark, [(1000, 20_000_000, 100.0)])]
+    folder = fresh()
+    found = reorder.detect_alerts_in_order(stream_of(spark, parts, parts[0].schema, f"{folder}/in"), "30 seconds", rules)
+    got, query = _written(found, folder)
+    want = detect.detect_alerts(_plain(spark, rows), rules)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 3
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+    assert dropped == 1
+    # In arrival order the same files give other alerts.
+    folder = fresh()
+    other, _ = _written(detector.detect_alerts_stream(stream_of(spark, parts, parts[0].schema, f"{folder}/in"), rules), folder)
+    assert sorted(map(key, other.collect())) != sorted(map(key, want.collect()))
+
+
+def test_reordered_log_rows_keep_their_severity(spark):
+    telemetry = adapters.as_telemetry(spark.read.parquet(EVENTS), "log").filter("event_id < 400")
+    far = telemetry.limit(1).withColumn("timestamp_ms", F.col("timestamp_ms") + 10**10).withColumn("source", F.lit("tick"))
+    parts = [telemetry.filter(f"event_id % 2 = {i}") for i in (1, 0)] + [far]
+    folder = fresh()
+    found = reorder.detect_alerts_in_order(stream_of(spark, parts, telemetry.schema, f"{folder}/in"), "40 days")
+    got, _ = _written(found, folder)
+    want = detect.detect_alerts(telemetry)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 3
+
+
+def test_waiting_rows_survive_a_restart(spark):
+    rules = Rules(warmup_samples=5)
+    folder = fresh()
+    rows = [(i, (i + 1) * 1000, 100.0 + i % 3) for i in range(40)] + [(40, 41_000, 900.0), (41, 10_000_000, 100.0)]
+    for i, part in enumerate((rows[20:41], rows[:20], rows[41:])):
+        _plain(spark, part).coalesce(1).write.parquet(f"{folder}/in/{i}")
+        stream = spark.readStream.schema(_plain(spark, rows).schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        got, _ = _written(reorder.detect_alerts_in_order(stream, "1 hour", rules), folder)
+    assert [r.event_id for r in got.collect()] == [40]
+
+
+def test_repeated_alert_lines_are_read_once(spark):
+    def line(ts, actual, rule="r"):
+        return (f'{{"rule":"{rule}","component":"c","threshold":1.00,"actual":{actual},"timestamp_ms":{ts},"severity":"WARNING"}}',)
+
+    first = [line(1000, "2.00"), line(1000, "3.00"), line(2000, "2.00"), ("{broken",), (None,), line(1500, "null")]
+    parts = [spark.createDataFrame(rows, "value string") for rows in (first, first, [*first[:2], line(1000, "2.00", "q")], first[::-1])]
+    folder = fresh()
+    found = sinks.read_alerts_once(stream_of(spark, parts, parts[0].schema, f"{folder}/in"), "1 hour")
+    got, _ = _written(found, folder)
+    assert sorted((r.timestamp_ms, r.rule, str(r.actual)) for r in got.collect()) == [
+        (1000, "q", "2.0"), (1000, "r", "2.0"), (1000, "r", "3.0"), (1500, "r", "None"), (2000, "r", "2.0"),
+    ]

@@ -77,9 +77,10 @@ def threshold_alerts(events: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def keyed_rows(events: DataFrame, key: Column | None = None) -> DataFrame:
+def keyed_rows(events: DataFrame, key: Column | None = None, keep: list[str] = ()) -> DataFrame:
     """The flat rows the baselines read: metric and log events, other payloads dropped."""
     return events.filter(has_metric() | has_log()).select(
+        *keep,
         (series_key() if key is None else key).alias("series_key"),
         "timestamp_ms",
         "event_id",

@@ -44,3 +44,14 @@ def topic_throughput(watermarks: DataFrame, seconds: int = 60) -> DataFrame:
         rate.alias("estimated_rate_per_second"),
         F.lit(seconds).cast("long").alias("sample_window_seconds"),
     )
+
+
+def topic_partitions(watermarks: DataFrame) -> DataFrame:
+    """Retained messages of each partition of a topic."""
+    return watermarks.select(
+        "topic",
+        "partition",
+        F.col("low").alias("low_watermark"),
+        F.col("high").alias("high_watermark"),
+        (F.col("high") - F.col("low")).alias("message_count"),
+    )

@@ -108,18 +108,36 @@ def metric_range(
     )
 
 
-def counter_increase(samples: DataFrame, order: list[str] | None = None) -> DataFrame:
+def counter_increase(
+    samples: DataFrame, order: list[str] | None = None, after_ms: int | None = None, until_ms: int | None = None
+) -> DataFrame:
     """Increase of each counter sample over the previous one of its series.
 
     A value below the previous one means the counter restarted from zero.
     ``order`` must end in a unique column for a series to be split over tasks.
+    With ``after_ms`` and ``until_ms`` only samples in between are ordered: the
+    time reaches the scan, and of what came before only the last sample of each
+    series is kept, by an aggregate.
     """
     columns = order or ["ts_ms"]
     key = F.concat_ws("\u001f", F.col("name"), label_key(F.col("labels")))
-    rows = samples.filter(F.col("value").isNotNull()).select(
-        key.alias("_series"), "name", label_key(F.col("labels")).alias("series"), "value", *columns
-    )
-    return ordered_scan(rows, "_series", columns, CounterKernel(), ["name", "series", *columns, "value"])
+    known = samples.filter(F.col("value").isNotNull())
+    if until_ms is not None:
+        known = known.filter(F.col("ts_ms") <= until_ms)
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select(key.alias("_series"), "name", label_key(F.col("labels")).alias("series"), "value", *columns)
+
+    if after_ms is None:
+        needed = rows(known)
+    else:
+        before = rows(known.filter(F.col("ts_ms") <= after_ms))
+        place = F.struct(*columns)
+        last = before.groupBy("_series", "name", "series").agg(F.max(F.struct(place.alias("at"), "value")).alias("b"))
+        last = last.select("_series", "name", "series", "b.value", "b.at.*")
+        needed = rows(known.filter(F.col("ts_ms") > after_ms)).unionByName(last)
+    out = ordered_scan(needed, "_series", columns, CounterKernel(), ["name", "series", *columns, "value"])
+    return out if after_ms is None else out.filter(F.col("ts_ms") > after_ms)
 
 
 def metric_rate(
@@ -129,6 +147,8 @@ def metric_rate(
 
     A point without a sample in its window has no row. Each increase counts
     towards the at most ``window / step + 1`` points whose window holds it.
+    Samples that serve the same points are added up first, so what is spread
+    over the points depends on the grid, not on the number of samples.
     """
     step, window = step_seconds * 1000, window_seconds * 1000
     first = _first_point(F.col("ts_ms"), start_ms, step)
@@ -139,8 +159,8 @@ def metric_rate(
     ).cast("long")
     return (
         increases.filter((F.col("ts_ms") <= end_ms) & (F.col("ts_ms") > start_ms - window))
-        .withColumn("_first", first)
-        .withColumn("_last", last)
+        .groupBy("name", "series", first.alias("_first"), last.alias("_last"))
+        .agg(F.sum("increase").alias("increase"))
         .filter(F.col("_first") <= F.col("_last"))
         .select("name", "series", "increase", F.explode(F.sequence("_first", "_last")).alias("point"))
         .groupBy("name", "series", "point")

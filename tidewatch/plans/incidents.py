@@ -20,7 +20,7 @@ def _anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.anomalies_from_alerts(detect.detect_alerts(telemetry(spark, sf_dir), RULES), RULES)
 
 
-def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _anomalies(spark, sf_dir).withColumn("delivered", F.col("cycle") % 5 != 0)
 
 
@@ -35,17 +35,17 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.track_incidents(_detections(spark, sf_dir), RULES).select(
+    return incidents.track_incidents(detections(spark, sf_dir), RULES).select(
         "cycle", "fingerprint", "observed_value", "value", "status", "occurrences", "should_report"
     )
 
 
 def incident_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.resolved_incidents(_detections(spark, sf_dir), RULES, _all_clear(spark, sf_dir))
+    return incidents.resolved_incidents(detections(spark, sf_dir), RULES, _all_clear(spark, sf_dir))
 
 
 def incident_carryover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.carried_over(_detections(spark, sf_dir), RULES)
+    return incidents.carried_over(detections(spark, sf_dir), RULES)
 
 
 def hypothesis_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,9 @@ _END = a.RANGE_END_MS
 _START = _END - int(duration_seconds(_RANGE) * 1000)
 _STEP = step_seconds(_RANGE)
 _RATE_STEP = step_seconds("720h")
+_DAY_START = _START + 10 * 86_400_000
+_DAY_END = _DAY_START + 86_400_000
+_DAY_STEP, _DAY_WINDOW = step_seconds("1d"), 3600
 
 
 def metric_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +55,15 @@ def metric_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.withColumn("rate", a.six_digits("rate"))
 
 
+def metric_rate_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day in the middle of the log, in overlapping windows of an hour."""
+    increases = metrics.counter_increase(
+        a.counter_samples(spark, sf_dir), ["ts_ms", "event_id"], _DAY_START - _DAY_WINDOW * 1000, _DAY_END
+    )
+    rates = metrics.metric_rate(increases, _DAY_START, _DAY_END, _DAY_STEP, _DAY_WINDOW)
+    return rates.withColumn("rate", a.six_digits("rate"))
+
+
 def series_minus_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = metric_range(spark, sf_dir)
     out = metrics.series_minus(
@@ -90,6 +102,7 @@ QUERIES = {
     "metric_range": metric_range,
     "counter_increase": counter_increase,
     "metric_rate": metric_rate,
+    "metric_rate_day": metric_rate_day,
     "series_minus_series": series_minus_series,
 }
 
@@ -122,6 +135,12 @@ ORACLES = {
         FROM increases JOIN range(0, {(_END - _START) // (_RATE_STEP * 1000) + 1}) r(p)
           ON ts_ms <= {_START} + {_RATE_STEP * 1000} * p AND ts_ms > {_START} + {_RATE_STEP * 1000} * p - 60000
         GROUP BY ALL""",
+    "metric_rate_day": f"""WITH {_INCREASE_SQL}
+        SELECT name, series, CAST({_DAY_START} + {_DAY_STEP * 1000} * p AS BIGINT) AS ts_ms,
+               {a.sql_six_digits(f"sum(increase) / {_DAY_WINDOW}")} AS rate
+        FROM increases JOIN range(0, {(_DAY_END - _DAY_START) // (_DAY_STEP * 1000) + 1}) r(p)
+          ON ts_ms <= {_DAY_START} + {_DAY_STEP * 1000} * p AND ts_ms > {_DAY_START - _DAY_WINDOW * 1000} + {_DAY_STEP * 1000} * p
+        GROUP BY ALL""",
     "series_minus_series": f"""WITH {_GRID_SQL}
         SELECT h.series, h.ts_ms, {a.sql_six_digits("h.value - l.value")} AS value
         FROM grid h JOIN grid l ON h.series = l.series AND h.ts_ms = l.ts_ms

@@ -87,6 +87,10 @@ def topic_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lag.topic_throughput(_offsets(spark, sf_dir), 64)
 
 
+def topic_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lag.topic_partitions(_offsets(spark, sf_dir))
+
+
 def job_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = snapshots.job_overview(a.job_snapshots(spark, sf_dir))
     return jobs.select(
@@ -193,6 +197,7 @@ QUERIES = {
     "consumer_lag": consumer_lag,
     "consumer_lag_total": consumer_lag_total,
     "topic_throughput": topic_throughput,
+    "topic_partitions": topic_partitions,
     "job_overview": job_overview,
     "checkpoint_stats": checkpoint_stats,
     "job_exceptions": job_exceptions,
@@ -252,6 +257,8 @@ ORACLES = {
                round_even(sum(high - low) / 64e0, 2) AS estimated_rate_per_second,
                CAST(64 AS BIGINT) AS sample_window_seconds
         FROM offsets GROUP BY topic""",
+    "topic_partitions": f"""WITH {a.TELEMETRY_SQL},{a.OFFSETS_SQL}
+        SELECT topic, partition, low AS low_watermark, high AS high_watermark, high - low AS message_count FROM offsets""",
     "job_overview": """
         SELECT 'job-' || o_orderkey AS job_id, o_orderpriority AS name,
                CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'FINISHED' ELSE 'FAILED' END AS state,

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidewatch.operators.baseline import AlertKernel
 from tidewatch.operators.detect import keyed_rows, scan_order
 from tidewatch.rules import Rules
-from tidewatch.schema import record
+from tidewatch.schema import ALERT, record
 from tidewatch.session import STREAM_STATE_PROVIDER
 
 STATE = record("seeded double, mean double, variance double, count double, errors double")
@@ -88,6 +88,10 @@ def use_spilling_state(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STREAM_STATE_PROVIDER)
 
 
+def alert_schema(events: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("event_id", events.schema["event_id"].dataType), *ALERT.fields])
+
+
 def detect_alerts_stream(
     events: DataFrame, rules: Rules = Rules(), by_offset: bool = False, ttl_ms: int | None = None
 ) -> DataFrame:
@@ -99,17 +103,9 @@ def detect_alerts_stream(
     """
     use_spilling_state(events)
     rows = keyed_rows(events)
-    out = T.StructType(
-        [T.StructField("event_id", events.schema["event_id"].dataType)]
-        + list(
-            record(
-                "rule string, component string, threshold double, actual double, timestamp_ms long, severity string"
-            ).fields
-        )
-    )
     return rows.groupBy("series_key").transformWithStateInPandas(
         statefulProcessor=AlertProcessor(rules, scan_order(rows, by_offset), ttl_ms),
-        outputStructType=out,
+        outputStructType=alert_schema(events),
         outputMode="append",
         timeMode="none" if ttl_ms is None else "processingTime",
     )

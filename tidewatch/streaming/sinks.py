@@ -6,9 +6,11 @@ import json
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from tidewatch.operators.detect import alert_json
+from tidewatch.schema import ALERT
 from tidewatch.sources.audit import audit_batch_writer
 
 CHECKPOINT_SECONDS = 30
@@ -44,6 +46,19 @@ def write_alert_topic(
     return _writer(alert_json(alerts), name, checkpoint, once).format("kafka").options(**options).start()
 
 
+def read_alerts_once(lines: DataFrame, delay: str) -> DataFrame:
+    """Alerts from lines of six-field JSON, each once, however often an at-least-once sink has sent it.
+
+    ``lines`` is a stream of (value). A repeated line is one that agrees in all
+    six fields; what is known of earlier lines is kept until the watermark, which
+    ``delay`` holds back, has passed them. A line that is no alert is left out.
+    """
+    alert = F.from_json("value", ALERT)
+    parsed = lines.select("value", alert.alias("a")).filter(F.col("a.rule").isNotNull() & F.col("a.timestamp_ms").isNotNull())
+    timed = parsed.select("value", "a.*", F.timestamp_millis("a.timestamp_ms").alias("event_time"))
+    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(ALERT.names).drop("event_time")
+
+
 def write_audit_stream(
     entries: DataFrame, path: str, checkpoint: str, name: str = "audit", once: bool = False
 ) -> StreamingQuery:
