@@ -190,6 +190,22 @@ def test_exceptions(spark):
     assert (got[0].root_exception, got[0].root_timestamp, got[12].root_exception) == ("r", 5, None)
 
 
+def test_snapshots_that_do_not_parse_are_listed(spark):
+    bad = ["{broken", "", '{"counts": 5}', '{"counts": {"completed": "x"}}', "[]"]
+    frame = docs(spark, "job_id", *bad, {"counts": {"completed": 1}}, {}).union(spark.createDataFrame([("none", None)], "job_id string, value string"))
+    found = {r.key: (r.kind, r.error, r.value) for r in snapshots.snapshot_errors(frame, "checkpoints", "job_id").collect()}
+    read = {r.job_id: r.completed for r in snapshots.checkpoint_stats(frame).collect()}
+    assert found["none"] == ("checkpoints", "missing", None) and found["k0"] == ("checkpoints", "malformed", "{broken")
+    # Each document is either read or listed.
+    assert set(found) | set(read) == {f"k{i}" for i in range(7)} | {"none"} and not set(found) & set(read)
+    assert {"k0", "k2", "k3", "none"} <= set(found) and read["k5"] == 1 and read["k6"] == 0
+    broken = docs(spark, "job_id", "{broken", {"all-exceptions": "x"}, {})
+    assert [r.job_id for r in snapshots.job_exceptions(broken).collect()] == ["k2"]
+    assert sorted(r.key for r in snapshots.snapshot_errors(broken, "exceptions", "job_id").collect()) == ["k0", "k1"]
+    jobs = snapshots.snapshot_errors(docs(spark, "k", "{", {"jobs": []}), "jobs").collect()
+    assert [tuple(r) for r in jobs] == [("jobs", None, "malformed", "{")]
+
+
 def test_metric_results(spark):
     vector = {"status": "success", "data": {"resultType": "vector", "result": [
         {"metric": {"a": "b"}, "value": [1718000000, "42.5"]}]}}

@@ -80,8 +80,9 @@ def leading_number(c: Column) -> Column:
     return F.nullif(found, F.lit("")).try_cast("double")
 
 
-def prefix(c: Column, n: int) -> Column:
-    return F.substring(c, 1, n)
+def prefix(c: Column, n: int | None) -> Column:
+    """The first n characters; the whole text where no length is given."""
+    return c if n is None else F.substring(c, 1, n)
 
 
 def source_trust(kind: Column) -> Column:
@@ -90,8 +91,8 @@ def source_trust(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(table, kind), F.lit("untrusted"))
 
 
-def sanitize(c: Column, max_chars: int, trust: Column | str = "untrusted") -> Column:
-    """Redact injection patterns in untrusted text, then cut any text to ``max_chars``."""
+def sanitize(c: Column, max_chars: int | None = None, trust: Column | str = "untrusted") -> Column:
+    """Redact injection patterns in untrusted text; ``max_chars`` cuts any text after that."""
     level = F.lit(trust) if isinstance(trust, str) else trust
     redacted = c
     for pattern in INJECTION_PATTERNS:
@@ -141,14 +142,8 @@ def front_matter(c: Column) -> Column:
     )
 
 
-def front_matter_keys(head: Column) -> Column:
-    """Map of the 'key: value' lines of a front matter block."""
-    lines = F.filter(F.split(head, "\r?\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(
-        lines,
-        lambda x: F.struct(
-            F.btrim(F.substring_index(x, ":", 1)).alias("key"),
-            F.btrim(F.btrim(x.substr(F.locate(":", x) + 1, F.length(x))), F.lit("\"'")).alias("value"),
-        ),
-    )
-    return F.map_from_entries(pairs)
+def front_matter_value(head: Column, key: str) -> Column:
+    """Value of a 'key: value' line of a front matter block; the last one of a repeated key, null without any."""
+    lines = F.filter(F.split(head, "\r?\n"), lambda x: F.btrim(F.substring_index(x, ":", 1)) == key)
+    line = F.try_element_at(F.filter(lines, lambda x: F.contains(x, F.lit(":"))), F.lit(-1))
+    return F.btrim(F.btrim(line.substr(F.locate(":", line) + 1, F.length(line))), F.lit("\"'"))

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.keys import confidence_rank, is_low, short_id
 from tidewatch.functions.text import prefix
 from tidewatch.operators.numbering import numbered
 from tidewatch.operators.skew import salted_join
 from tidewatch.rules import Rules
+from tidewatch.schema import DIAGNOSIS, INCIDENT
 
 CONFIDENCES = ["HIGH", "MEDIUM", "LOW", "UNSOURCED"]
 
@@ -81,13 +83,26 @@ def diagnosis_from_anomaly(anomalies: DataFrame) -> DataFrame:
 
 
 def fallback_incidents(diagnoses: DataFrame, parse_failure: bool = False) -> DataFrame:
-    """MEDIUM incident for a diagnosis whose report is missing or did not parse."""
+    """MEDIUM incident for a diagnosis whose report is missing or did not parse.
+
+    ``diagnoses`` are flat headers (diagnosis_id, anomaly_type, detected_at,
+    root_cause), or rows of DIAGNOSIS, whose components, sources and claims the
+    incident then carries along.
+    """
+    # The wording of a report that nobody wrote.
     suffix = "" if parse_failure else " (report agent unavailable)"
     notes = (
         "Monitor after remediation"
         if parse_failure
         else "Report agent was unavailable; review diagnosis data directly"
     )
+
+    def own(name: str, kind: T.DataType, value: Column | None = None) -> Column:
+        there = name in diagnoses.columns
+        return F.coalesce((F.col(name) if value is None else value), F.array().cast(kind)) if there else F.array().cast(kind)
+
+    names = F.transform("affected_components", lambda c: c["name"]) if "affected_components" in diagnoses.columns else None
+    claims = own("claims", INCIDENT["supporting_claims"].dataType)
     return diagnoses.select(
         short_id(F.col("diagnosis_id"), F.col("detected_at")).alias("incident_id"),
         "diagnosis_id",
@@ -96,12 +111,50 @@ def fallback_incidents(diagnoses: DataFrame, parse_failure: bool = False) -> Dat
         F.col("root_cause.summary").alias("summary"),
         "anomaly_type",
         F.col("root_cause.summary").alias("root_cause"),
+        own("affected_components", INCIDENT["affected_components"].dataType, names).alias("affected_components"),
         F.array(F.concat(F.lit("Detected at "), "detected_at")).alias("timeline"),
-        F.array()
-        .cast("array<struct<action:string,rationale:string,risk:string,requires_downtime:boolean>>")
-        .alias("recommended_actions"),
+        F.array().cast(INCIDENT["recommended_actions"].dataType).alias("recommended_actions"),
+        low_claim_texts(claims).alias("low_confidence_claims"),
         F.lit(True).alias("requires_human_approval"),
         F.lit(notes).alias("monitoring_notes"),
+        own("sources", INCIDENT["sources"].dataType).alias("sources"),
+        claims.alias("supporting_claims"),
+    )
+
+
+def low_claim_texts(claims: Column) -> Column:
+    """Texts of the LOW and UNSOURCED claims of an array."""
+    return F.transform(F.filter(claims, lambda c: is_low(c["confidence"])), lambda c: c["text"])
+
+
+def with_fallback(reports: DataFrame, diagnoses: DataFrame) -> DataFrame:
+    """(diagnosis_id, parsed, INCIDENT columns): the report on each diagnosis, or the fallback on it.
+
+    ``reports`` is (diagnosis_id, incident), null where a report did not parse;
+    ``diagnoses`` is (diagnosis_id, DIAGNOSIS columns). Either way sources and
+    claims are those of the diagnosis.
+    """
+    spare = fallback_incidents(diagnoses, parse_failure=True)
+    given = F.struct(*[F.col(f"incident.{n}").alias(n) for n in INCIDENT.names])
+    both = reports.select("diagnosis_id", F.when(F.col("incident").isNotNull(), given).alias("_given")).join(
+        spare.select("diagnosis_id", F.struct(*INCIDENT.names).alias("_spare")), "diagnosis_id"
+    )
+    chosen = both.select(
+        "diagnosis_id",
+        F.col("_given").isNotNull().alias("parsed"),
+        F.coalesce("_given", "_spare").alias("i"),
+        F.col("_spare.sources").alias("sources"),
+        F.col("_spare.supporting_claims").alias("supporting_claims"),
+        F.col("_spare.low_confidence_claims").alias("low"),
+    )
+    own = F.col("i.low_confidence_claims")
+    replaced = {
+        "sources": F.col("sources"),
+        "supporting_claims": F.col("supporting_claims"),
+        "low_confidence_claims": F.when(F.size(own) > 0, own).otherwise(F.col("low")),
+    }
+    return chosen.select(
+        "diagnosis_id", "parsed", *[replaced.get(n, F.col(f"i.{n}")).alias(n) for n in INCIDENT.names]
     )
 
 
@@ -115,9 +168,7 @@ def attach_attribution(incidents: DataFrame, diagnoses: DataFrame) -> DataFrame:
         F.col("diagnosis.sources").alias("sources"),
         F.col("diagnosis.claims").alias("supporting_claims"),
     )
-    low = F.transform(
-        F.filter("supporting_claims", lambda c: is_low(c["confidence"])), lambda c: c["text"]
-    )
+    low = low_claim_texts(F.col("supporting_claims"))
     own = F.col("low_confidence_claims")
     return (
         incidents.drop("sources", "supporting_claims")
@@ -127,20 +178,55 @@ def attach_attribution(incidents: DataFrame, diagnoses: DataFrame) -> DataFrame:
 
 
 def cut_summaries(anomalies: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    return anomalies.withColumn("summary", prefix(F.col("summary"), rules.handoff_max_chars))
+    """Summaries as they are, or no longer than ``rules.summary_max_chars``."""
+    return anomalies.withColumn("summary", prefix(F.col("summary"), rules.summary_max_chars))
 
 
 def size_check(diagnoses: DataFrame, rules: Rules = Rules(), column: str = "diagnosis_json") -> DataFrame:
     """Length of each serialised diagnosis, and a reason where it is over the limit."""
-    size = F.length(column)
+    return _with_reason(diagnoses.withColumn("chars", F.length(column).cast("long")), rules)
+
+
+def _with_reason(sized: DataFrame, rules: Rules) -> DataFrame:
     reason = F.concat(
         F.lit("DiagnosisReport JSON exceeds max handoff size ("),
-        size.cast("string"),
+        F.col("chars").cast("string"),
         F.lit(f" > {rules.handoff_max_chars} chars)"),
     )
-    return diagnoses.withColumn("chars", size.cast("long")).withColumn(
-        "reject_reason", F.when(size > rules.handoff_max_chars, reason)
+    return sized.withColumn("reject_reason", F.when(F.col("chars") > rules.handoff_max_chars, reason))
+
+
+def diagnosis_size(headers: DataFrame, children: dict[str, DataFrame], rules: Rules = Rules()) -> DataFrame:
+    """(diagnosis_id, chars, reject_reason): length of each diagnosis as one compact JSON text.
+
+    ``headers`` is (diagnosis_id, anomaly_type, detected_at, root_cause,
+    tools_used); ``children`` holds the flat tables sources, claims, conflicts,
+    affected_components, with the fields of DIAGNOSIS, and raw_evidence, with
+    ``evidence``. The text is never made: each row adds its own length and a
+    comma, so a diagnosis with very many claims is summed up like any other.
+    """
+    texts = {"ignoreNullFields": "false"}
+    empty = [F.array().cast(DIAGNOSIS[n].dataType).alias(n) for n in children]
+    given = {"root_cause", "tools_used", "anomaly_type", "detected_at"}
+    by_name = {n: F.col(n) for n in given} | dict(zip(children, empty, strict=True))
+    head = F.struct(*[by_name[n].alias(n) for n in DIAGNOSIS.names if n in by_name])
+    parts = headers.select("diagnosis_id", F.lit("").alias("kind"), (F.length(F.to_json(head, texts)) + 1).alias("chars"))
+    for name, table in children.items():
+        kind = DIAGNOSIS[name].dataType.elementType
+        if isinstance(kind, T.StructType):
+            row = F.length(F.to_json(F.struct(*[F.col(f) for f in kind.names]), texts))
+        else:
+            # Quotes around a text, whose escapes show in an object that holds it.
+            row = F.length(F.to_json(F.struct(F.col("evidence").alias("e")), texts)) - len('{"e":}')
+        parts = parts.unionByName(table.select("diagnosis_id", F.lit(name).alias("kind"), (row + 1).alias("chars")))
+    # The first row of each list has no comma before it, and neither has the header.
+    sized = (
+        parts.groupBy("diagnosis_id", "kind")
+        .agg((F.sum("chars") - 1).alias("chars"))
+        .groupBy("diagnosis_id")
+        .agg(F.sum("chars").alias("chars"))
     )
+    return _with_reason(sized, rules)
 
 
 # Integrity.

@@ -423,7 +423,14 @@ decisions AS (
   SELECT 'inc-' || o_orderkey AS incident_id, o_totalprice > 300000 OR o_custkey % 4 < 2 AS accepted FROM orders)"""
 
 
-# JSON snapshots: one document per order.
+# JSON snapshots: one document per order; some are cut off or missing.
+
+SNAPSHOT_ERROR_SQL = "(o_orderkey % 19 = 0 OR o_orderkey % 23 = 0)"
+
+
+def _with_errors(key: Column, document: Column) -> Column:
+    cut = F.substring(document, F.lit(1), F.length(document) - 1)
+    return F.when(key % 19 == 0, cut).when(key % 23 == 0, F.lit(None).cast("string")).otherwise(document)
 
 
 def job_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -439,7 +446,8 @@ def job_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(key % 7 != 0, tasks).alias("tasks"),
     )
     doc = F.to_json(F.struct(F.array(job).alias("jobs")))
-    return orders.select(F.when(key % 10 == 0, F.lit('{"jobs":[]}')).otherwise(doc).alias("value"))
+    some = F.when(key % 10 == 0, F.lit('{"jobs":[]}')).otherwise(doc)
+    return orders.select(_with_errors(key, some).alias("value"))
 
 
 def checkpoint_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,7 +479,7 @@ def checkpoint_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     doc = F.struct(counts.alias("counts"), latest.alias("latest"), summary.alias("summary"))
     return orders.select(
-        F.concat(F.lit("job-"), key.cast("string")).alias("job_id"), F.to_json(doc).alias("value")
+        F.concat(F.lit("job-"), key.cast("string")).alias("job_id"), _with_errors(key, F.to_json(doc)).alias("value")
     )
 
 
@@ -496,7 +504,7 @@ def exception_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         errors.alias("all-exceptions"),
     )
     return orders.select(
-        F.concat(F.lit("job-"), key.cast("string")).alias("job_id"), F.to_json(doc).alias("value")
+        F.concat(F.lit("job-"), key.cast("string")).alias("job_id"), _with_errors(key, F.to_json(doc)).alias("value")
     )
 
 
@@ -623,30 +631,37 @@ def wire_messages(spark: SparkSession, sf_dir: str, mixed: bool = False) -> Data
 
 
 def detection_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free texts that should hold an anomaly: fenced, bare, incomplete, unclosed, or prose."""
-    n = F.col("doc_id")
+    """Free texts that should hold an anomaly: fenced, bare, incomplete, unclosed, or prose.
+
+    Each carries the whole text of its document, as the summary of a record or as it is.
+    """
+    n, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     record = F.to_json(
         F.struct(
             F.lit("latency_spike").alias("anomaly_type"),
-            F.concat(F.lit("seen in document "), n.cast("string")).alias("summary"),
+            text.alias("summary"),
             F.lit("2024-01-01T00:00:00Z").alias("detected_at"),
             F.lit("latency_ms").alias("metric"),
             F.concat(n.cast("string"), F.lit("ms")).alias("observed_value"),
         )
     )
-    text = (
+    incomplete = F.to_json(F.struct(F.lit("latency_spike").alias("anomaly_type"), text.alias("summary")))
+    answer = (
         F.when(n % 5 == 0, F.concat(F.lit("Found:\n```json\n"), record, F.lit("\n```\n")))
         .when(n % 5 == 1, F.concat(F.lit("Found "), record, F.lit(" today")))
-        .when(n % 5 == 2, F.lit('{"anomaly_type": "latency_spike"}'))
-        .when(n % 5 == 3, F.concat(F.lit("```json "), record))
-        .otherwise(F.coalesce("text", F.lit("")))
+        .when(n % 5 == 2, incomplete)
+        .when(n % 5 == 3, F.concat(F.lit("```json "), text))
+        .otherwise(text)
     )
-    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", answer.alias("text"))
 
 
 def diagnosis_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free texts that should hold a diagnosis: fenced, incomplete, with a bad level, or prose."""
-    n = F.col("doc_id")
+    """Free texts that should hold a diagnosis: fenced, incomplete, with a bad level, or prose.
+
+    The whole text of the document is the claim of the record, or stands for itself.
+    """
+    n, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
 
     def record(confidence: str, cause: Column) -> Column:
         return F.to_json(
@@ -661,13 +676,16 @@ def diagnosis_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
                 ).alias("sources"),
                 F.array(
                     F.struct(
-                        F.lit("c1").alias("claim_id"), F.concat(F.lit("claim of "), n.cast("string")).alias("text"),
+                        F.lit("c1").alias("claim_id"), whole.alias("text"),
                         F.lit("s1").alias("source_id"), F.lit(confidence).alias("confidence"),
                     )
                 ).alias("claims"),
-                F.array().cast("array<struct<name:string,role:string,status:string,evidence:string>>").alias(
-                    "affected_components"
-                ),
+                F.array(
+                    F.struct(
+                        F.concat(F.lit("svc-"), (n % 8).cast("string")).alias("name"), F.lit("sink").alias("role"),
+                        F.lit("slow").alias("status"), F.lit("lag").alias("evidence"),
+                    )
+                ).alias("affected_components"),
                 cause.alias("root_cause"),
                 F.array(F.lit("query_metrics")).alias("tools_used"),
             )
@@ -679,9 +697,38 @@ def diagnosis_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("seen").alias("reasoning"),
     )
     text = (
-        F.when(n % 4 == 0, F.concat(F.lit("```json\n"), record("HIGH", cause), F.lit("\n```")))
+        F.when(n % 8 == 0, F.concat(F.lit("```json\n"), record("HIGH", cause), F.lit("\n```")))
+        .when(n % 8 == 4, F.concat(F.lit("```json\n"), record("LOW", cause), F.lit("\n```")))
         .when(n % 4 == 1, record("CERTAIN", cause))
         .when(n % 4 == 2, record("LOW", F.lit(None).cast("struct<summary:string>")))
-        .otherwise(F.coalesce("text", F.lit("")))
+        .otherwise(whole)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+def report_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free texts that should hold an incident report on the diagnosis of the same document."""
+    n, whole = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    action = F.struct(
+        F.lit("restart").alias("action"), F.lit("stuck").alias("rationale"), F.lit("low").alias("risk"),
+        F.lit(True).alias("requires_downtime"),
+    )
+
+    def report(severity: Column, **more: Column) -> Column:
+        fields = {
+            "incident_id": F.concat(F.lit("inc-"), n.cast("string")), "title": F.concat(F.lit("Incident "), n.cast("string")),
+            "severity": severity, "summary": whole, "anomaly_type": F.lit("backpressure"), "root_cause": F.lit("slow sink"),
+            "affected_components": F.array(F.lit("a"), F.lit("b")), "timeline": F.array(F.lit("first"), F.lit("then")),
+            "recommended_actions": F.array(action), "monitoring_notes": F.lit("watch"),
+        }
+        return F.to_json(F.struct(*[c.alias(name) for name, c in (fields | more).items() if c is not None]))
+
+    text = (
+        F.when(n % 6 == 0, F.concat(F.lit("```json\n"), report(F.lit("HIGH")), F.lit("\n```")))
+        .when(n % 6 == 1, report(F.lit("CRITICAL"), requires_human_approval=F.lit(False), low_confidence_claims=F.array(F.lit("own"))))
+        .when(n % 6 == 2, report(F.lit("SEVERE")))
+        .when(n % 6 == 3, report(F.lit("LOW"), monitoring_notes=None))
+        .when(n % 6 == 4, report(F.lit("LOW"), recommended_actions=F.array(action.dropFields("risk"))))
+        .otherwise(whole)
     )
     return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))

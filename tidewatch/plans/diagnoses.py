@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import diagnosis as d
 from tidewatch.operators import routing
 from tidewatch.plans import adapters as a
+from tidewatch.rules import Rules
 
 
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +91,27 @@ def fork_merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.merged_children(_forks(spark, sf_dir), a.diagnosis_evidence(spark, sf_dir), [])
 
 
+_SIZE_RULES = Rules(handoff_max_chars=1_500)
+
+
+def diagnosis_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every diagnosis with all its children, against a limit that some are over."""
+    cause = F.struct(
+        "summary", F.lit("medium").alias("confidence"), F.lit("seen").alias("reasoning"),
+        F.array("anomaly_type").alias("supporting_metrics"),
+    )
+    headers = a.diagnosis_headers(spark, sf_dir).withColumn("root_cause", cause)
+    output = F.concat_ws(" ", "tool_name", "retrieved_at")
+    children = {
+        "sources": a.diagnosis_sources(spark, sf_dir).withColumn("raw_output", output),
+        "claims": a.diagnosis_claims(spark, sf_dir),
+        "conflicts": a.diagnosis_conflicts(spark, sf_dir),
+        "affected_components": a.diagnosis_components(spark, sf_dir),
+        "raw_evidence": a.diagnosis_evidence(spark, sf_dir),
+    }
+    return d.diagnosis_size(headers, children, _SIZE_RULES)
+
+
 def fallback_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = a.diagnosis_headers(spark, sf_dir).withColumn(
         "root_cause", F.struct(F.col("summary").alias("summary"))
@@ -174,6 +196,7 @@ QUERIES = {
     "fork_merge_conflicts": fork_merge_conflicts,
     "fork_merge_components": fork_merge_components,
     "fork_merge_evidence": fork_merge_evidence,
+    "diagnosis_size": diagnosis_size,
     "fallback_incidents": fallback_incidents,
     "unresolved_conflicts": unresolved_conflicts,
     "route_incidents": route_incidents,
@@ -311,6 +334,27 @@ ORACLES = {
         FROM components c JOIN forks f ON f.diagnosis_id = c.diagnosis_id""",
     "fork_merge_evidence": f"""WITH {_FORKS_SQL},{a.EVIDENCE_SQL}
         SELECT incident_id, fork, pos, evidence FROM evidence e JOIN forks f ON f.diagnosis_id = e.diagnosis_id""",
+    "diagnosis_size": f"""WITH {_RECORDS},{a.COMPONENTS_SQL},{a.EVIDENCE_SQL},
+        s AS (SELECT diagnosis_id, list({{source_id: source_id, tool_name: tool_name, retrieved_at: retrieved_at,
+                     raw_output: tool_name || ' ' || retrieved_at}}) AS l FROM sources GROUP BY ALL),
+        c AS (SELECT diagnosis_id, list({{claim_id: claim_id, text: text, source_id: source_id, confidence: confidence}}) AS l
+              FROM claims GROUP BY ALL),
+        k AS (SELECT diagnosis_id, list({{conflict_id: conflict_id, topic: topic, claim_a_id: claim_a_id, claim_b_id: claim_b_id,
+                     resolution: resolution, notes: notes}}) AS l FROM conflicts GROUP BY ALL),
+        p AS (SELECT diagnosis_id, list({{name: name, role: role, status: status, evidence: evidence}}) AS l
+              FROM components GROUP BY ALL),
+        e AS (SELECT diagnosis_id, list(evidence) AS l FROM evidence GROUP BY ALL),
+        sized AS (
+          SELECT h.diagnosis_id, CAST(length(CAST(to_json({{
+                   anomaly_type: anomaly_type, detected_at: detected_at, sources: coalesce(s.l, []), claims: coalesce(c.l, []),
+                   conflicts: coalesce(k.l, []), affected_components: coalesce(p.l, []),
+                   root_cause: {{summary: summary, confidence: 'medium', reasoning: 'seen', supporting_metrics: [anomaly_type]}},
+                   tools_used: tools_used, raw_evidence: coalesce(e.l, [])}}) AS VARCHAR)) AS BIGINT) AS chars
+          FROM headers h LEFT JOIN s USING (diagnosis_id) LEFT JOIN c USING (diagnosis_id) LEFT JOIN k USING (diagnosis_id)
+          LEFT JOIN p USING (diagnosis_id) LEFT JOIN e USING (diagnosis_id))
+        SELECT diagnosis_id, chars, CASE WHEN chars > 1500 THEN 'DiagnosisReport JSON exceeds max handoff size (' || chars
+                 || ' > 1500 chars)' END AS reject_reason
+        FROM sized""",
     "fallback_incidents": f"""WITH {a.HEADERS_SQL}
         SELECT substr(sha256(diagnosis_id || chr(31) || detected_at), 1, 8) AS incident_id, diagnosis_id,
                'Anomaly: ' || anomaly_type || ' (report agent unavailable)' AS title, 'MEDIUM' AS severity, summary,

@@ -119,6 +119,15 @@ def job_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.job_exceptions(a.exception_snapshots(spark, sf_dir))
 
 
+def snapshot_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = snapshots.snapshot_errors(a.job_snapshots(spark, sf_dir), "jobs")
+    for kind, documents in (("checkpoints", a.checkpoint_snapshots), ("exceptions", a.exception_snapshots)):
+        found = found.unionByName(snapshots.snapshot_errors(documents(spark, sf_dir), kind, "job_id"))
+    # Whole documents, in short: how they begin, and their length (of jobs, whose text the SQL repeats).
+    chars = F.when(F.col("kind") == "jobs", F.length("value"))
+    return found.select("kind", "key", "error", chars.alias("chars"), F.substring("value", 1, 2).alias("start"))
+
+
 def metric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = snapshots.metric_results(a.metric_snapshots(spark, sf_dir))
     return points.withColumn("task", F.try_element_at("labels", F.lit("task"))).drop("labels")
@@ -201,6 +210,7 @@ QUERIES = {
     "job_overview": job_overview,
     "checkpoint_stats": checkpoint_stats,
     "job_exceptions": job_exceptions,
+    "snapshot_errors": snapshot_errors,
     "metric_results": metric_results,
     "metric_errors": metric_errors,
     "decode_events": decode_events,
@@ -265,7 +275,7 @@ ORACLES = {
                epoch_ms(o_orderdate) AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration_ms,
                CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 5 END AS running,
                CAST(CASE WHEN o_orderkey % 7 <> 0 THEN 2 ELSE 0 END AS INTEGER) AS task_states
-        FROM orders WHERE o_orderkey % 10 <> 0""",
+        FROM orders WHERE o_orderkey % 10 <> 0 AND NOT """ + a.SNAPSHOT_ERROR_SQL,
     "checkpoint_stats": """
         SELECT 'job-' || o_orderkey AS job_id, o_orderkey % 50 AS completed,
                CASE WHEN o_orderkey % 4 <> 0 THEN o_custkey % 3 ELSE 0 END AS failed,
@@ -280,7 +290,7 @@ ORACLES = {
                CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) - 1 END AS size_min,
                CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) + 1 END AS size_max,
                CASE WHEN o_orderkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS size_avg
-        FROM orders""",
+        FROM orders WHERE NOT """ + a.SNAPSHOT_ERROR_SQL,
     "job_exceptions": """
         SELECT 'job-' || o_orderkey AS job_id,
                CASE WHEN o_orderkey % 13 > 0 THEN 'java.lang.OutOfMemoryError: Java heap space' END AS root_exception,
@@ -288,7 +298,26 @@ ORACLES = {
                CAST(i - 1 AS INTEGER) AS pos, 'error ' || i AS exception,
                CASE WHEN i IS NOT NULL THEN 'task-' || (o_orderkey % 4) END AS task,
                CASE WHEN i IS NOT NULL THEN 'host:1' END AS location, o_orderkey * 100 + i AS timestamp
-        FROM orders LEFT JOIN range(1, 13) r(i) ON i <= o_orderkey % 13""",
+        FROM orders LEFT JOIN range(1, 13) r(i) ON i <= o_orderkey % 13 WHERE NOT """ + a.SNAPSHOT_ERROR_SQL,
+    "snapshot_errors": f"""
+        WITH jobs AS (
+          SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 = 0 THEN '{{"jobs":[]}}' ELSE to_json({{jobs: [struct_pack(
+              jid := 'job-' || o_orderkey, name := o_orderpriority,
+              state := CASE o_orderstatus WHEN 'O' THEN 'RUNNING' WHEN 'F' THEN 'FINISHED' ELSE 'FAILED' END,
+              "start-time" := epoch_ms(o_orderdate), duration := CAST(floor(o_totalprice) AS BIGINT),
+              tasks := {{running: o_custkey % 5, finished: o_orderkey % 3}})]}}) END AS doc, o_orderkey % 7 = 0 AS bare
+          FROM orders),
+        broken AS (
+          SELECT 'jobs' AS kind, CAST(NULL AS VARCHAR) AS "key", k,
+                 CASE WHEN bare AND k % 10 <> 0 THEN regexp_replace(doc, ',"tasks":[{{][^}}]*[}}]', '') ELSE doc END AS doc FROM jobs
+          UNION ALL
+          SELECT 'checkpoints', 'job-' || o_orderkey, o_orderkey, NULL FROM orders
+          UNION ALL
+          SELECT 'exceptions', 'job-' || o_orderkey, o_orderkey, NULL FROM orders)
+        SELECT b.kind, b."key", CASE WHEN k % 19 = 0 THEN 'malformed' ELSE 'missing' END AS error,
+               CASE WHEN k % 19 = 0 THEN CAST(length(doc) - 1 AS INTEGER) END AS chars,
+               CASE WHEN k % 19 = 0 THEN '{{"' END AS start
+        FROM broken b WHERE k % 19 = 0 OR k % 23 = 0""",
     "metric_results": """
         WITH counted AS (
           SELECT o_orderkey AS k, CASE WHEN o_orderkey % 1000 = 0 THEN 55 ELSE o_orderkey % 3 END AS n

@@ -85,8 +85,9 @@ def parse_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "diagnosis.anomaly_type", "diagnosis.detected_at",
         F.size("diagnosis.sources").alias("sources"), F.size("diagnosis.claims").alias("claims"),
         F.col("diagnosis.root_cause.summary").alias("root_cause"),
-        F.col("diagnosis.root_cause.reasoning").alias("reasoning"),
+        F.md5("diagnosis.root_cause.reasoning").alias("reasoning"),
         F.array_join("diagnosis.tools_used", ",").alias("tools_used"),
+        F.md5(F.array_join(F.transform("diagnosis.claims", lambda c: c["text"]), ",")).alias("claim_texts"),
     )
 
 
@@ -105,6 +106,19 @@ def attach_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def incident_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report texts as incidents, with the fallback where one does not parse."""
+    diagnoses = _diagnoses(spark, sf_dir).select(F.col("doc_id").alias("diagnosis_id"), "diagnosis.*")
+    reports = responses.parse_incidents(a.report_responses(spark, sf_dir)).withColumnRenamed("doc_id", "diagnosis_id")
+    return diagnosis.with_fallback(reports, diagnoses).select(
+        "diagnosis_id", "parsed", "incident_id", "title", "severity", F.md5("summary").alias("summary"), "anomaly_type",
+        "root_cause", F.array_join("affected_components", ",").alias("components"),
+        F.array_join("timeline", ",").alias("timeline"), F.size("recommended_actions").alias("actions"),
+        F.md5(F.array_join("low_confidence_claims", ",")).alias("low_confidence_claims"), "requires_human_approval",
+        "monitoring_notes", F.size("sources").alias("sources"), F.size("supporting_claims").alias("claims"),
+    )
+
+
 def size_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = a.texts(spark, sf_dir).select("doc_id", F.col("text").alias("diagnosis_json"))
     return diagnosis.size_check(named, RULES).select("doc_id", "chars", "reject_reason")
@@ -122,6 +136,7 @@ QUERIES = {
     "detection_diagnoses": detection_diagnoses,
     "parse_diagnoses": parse_diagnoses,
     "attach_attribution": attach_attribution,
+    "incident_records": incident_records,
     "size_check": size_check,
 }
 
@@ -145,18 +160,15 @@ _REDACTED_SQL = "text"
 for _pattern in t.INJECTION_PATTERNS:
     _REDACTED_SQL = f"regexp_replace({_REDACTED_SQL}, '{_pattern}', '{t.REDACTED}', 'gi')"
 
-_FOUND = "'seen in document ' || doc_id"
 _DETECTED_SQL = f"""
 detected AS (
-  SELECT doc_id, doc_id % 5 IN (0, 1) AS sound,
-         CASE doc_id % 5 WHEN 2 THEN '{{"anomaly_type": "latency_spike"}}'
-              WHEN 3 THEN '```json {{"anomaly_type":"latency_spike","summary":"seen in document ' || doc_id
-                || '","detected_at":"2024-01-01T00:00:00Z","metric":"latency_ms","observed_value":"' || doc_id || 'ms"}}'
-              ELSE coalesce(text, '') END AS quoted
+  SELECT doc_id, doc_id % 5 IN (0, 1) AS sound, coalesce(text, '') AS whole,
+         CASE doc_id % 5 WHEN 2 THEN '{{"anomaly_type":"latency_spike","summary":' || to_json(coalesce(text, '')) || '}}'
+              WHEN 3 THEN '```json ' || coalesce(text, '') ELSE coalesce(text, '') END AS quoted
   FROM documents),
 anomalies AS (
   SELECT doc_id, CASE WHEN sound THEN 'latency_spike' ELSE 'unknown' END AS anomaly_type,
-         CASE WHEN sound THEN {_FOUND} ELSE substr(quoted, 1, 1000) END AS summary,
+         CASE WHEN sound THEN whole ELSE quoted END AS summary,
          CASE WHEN sound THEN '2024-01-01T00:00:00Z' ELSE '{_NOW}' END AS detected_at,
          CASE WHEN sound THEN 'latency_ms' END AS metric, CASE WHEN sound THEN doc_id || 'ms' END AS observed_value,
          CAST(NULL AS VARCHAR) AS affected_component
@@ -165,7 +177,8 @@ anomalies AS (
 _RECORD = (
     '{"anomaly_type":"backpressure","detected_at":"2024-01-01T00:00:00Z","sources":[{"source_id":"s1",'
     '"tool_name":"query_metrics","retrieved_at":"2024-01-01","raw_output":"x"}],"claims":[{"claim_id":"c1",'
-    '"text":"claim of \' || doc_id || \'","source_id":"s1","confidence":"LEVEL"}],"affected_components":[],'
+    '"text":\' || to_json(coalesce(text, \'\')) || \',"source_id":"s1","confidence":"LEVEL"}],'
+    '"affected_components":[{"name":"svc-\' || (doc_id % 8) || \'","role":"sink","status":"slow","evidence":"lag"}],'
 )
 _CERTAIN = (
     _RECORD.replace("LEVEL", "CERTAIN")
@@ -175,9 +188,10 @@ _CERTAIN = (
 _NO_CAUSE = _RECORD.replace("LEVEL", "LOW") + '"tools_used":["query_metrics"]}'
 _DIAGNOSED_SQL = f"""
 diagnosed AS (
-  SELECT doc_id, doc_id % 4 = 0 AS sound,
-         substr(CASE doc_id % 4 WHEN 1 THEN '{_CERTAIN}' WHEN 2 THEN '{_NO_CAUSE}' ELSE coalesce(text, '') END, 1, 500)
-           AS quoted
+  SELECT doc_id, doc_id % 4 = 0 AS sound, coalesce(text, '') AS whole,
+         CASE doc_id % 4 WHEN 1 THEN '{_CERTAIN}' WHEN 2 THEN '{_NO_CAUSE}' ELSE coalesce(text, '') END AS quoted,
+         CASE WHEN doc_id % 4 = 0 THEN 'slow sink ' || doc_id
+              ELSE 'Agent response could not be parsed as structured output' END AS cause
   FROM documents)"""
 
 _BLOCK_SQL = """
@@ -198,7 +212,7 @@ ORACLES = {
     "sanitize_text": f"""WITH {a.TEXTS_SQL},
         cleaned AS (
           SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN 'semi-trusted' WHEN 2 THEN 'trusted' ELSE 'untrusted' END AS trust,
-                 substr(CASE WHEN doc_id % 4 IN (0, 3) THEN {_REDACTED_SQL} ELSE text END, 1, 20000) AS clean
+                 CASE WHEN doc_id % 4 IN (0, 3) THEN {_REDACTED_SQL} ELSE text END AS clean
           FROM texts)
         SELECT doc_id, trust, md5(clean) AS clean, CAST(length(clean) AS INTEGER) AS clean_chars FROM cleaned""",
     "leading_number": f"""WITH {a.TEXTS_SQL}
@@ -222,15 +236,35 @@ ORACLES = {
         SELECT doc_id, CASE WHEN sound THEN 'backpressure' ELSE 'parse_error' END AS anomaly_type,
                CASE WHEN sound THEN '2024-01-01T00:00:00Z' ELSE '{_NOW}' END AS detected_at,
                CAST(sound AS INTEGER) AS sources, CAST(sound AS INTEGER) AS claims,
-               CASE WHEN sound THEN 'slow sink ' || doc_id
-                    ELSE 'Agent response could not be parsed as structured output' END AS root_cause,
-               CASE WHEN sound THEN 'seen' ELSE quoted END AS reasoning,
-               CASE WHEN sound THEN 'query_metrics' ELSE '' END AS tools_used
+               cause AS root_cause, md5(CASE WHEN sound THEN 'seen' ELSE quoted END) AS reasoning,
+               CASE WHEN sound THEN 'query_metrics' ELSE '' END AS tools_used,
+               md5(CASE WHEN sound THEN whole ELSE '' END) AS claim_texts
         FROM diagnosed""",
     "attach_attribution": """
         SELECT doc_id AS diagnosis_id, CAST(doc_id % 4 = 0 AS INTEGER) AS sources, CAST(doc_id % 4 = 0 AS INTEGER) AS claims,
-               CASE WHEN doc_id % 8 = 2 THEN 'known' ELSE '' END AS low_confidence_claims
+               CASE WHEN doc_id % 8 = 2 THEN 'known' WHEN doc_id % 8 = 4 THEN coalesce(text, '') ELSE '' END
+                 AS low_confidence_claims
         FROM documents""",
+    "incident_records": f"""WITH {_DIAGNOSED_SQL},
+        reports AS (
+          SELECT *, doc_id % 6 < 2 AS parsed, CASE WHEN sound THEN '2024-01-01T00:00:00Z' ELSE '{_NOW}' END AS detected_at,
+                 CASE WHEN doc_id % 8 = 4 THEN whole ELSE '' END AS low FROM diagnosed)
+        SELECT doc_id AS diagnosis_id, parsed,
+               CASE WHEN parsed THEN 'inc-' || doc_id ELSE substr(sha256(doc_id || chr(31) || detected_at), 1, 8) END AS incident_id,
+               CASE WHEN parsed THEN 'Incident ' || doc_id WHEN sound THEN 'Anomaly: backpressure' ELSE 'Anomaly: parse_error' END
+                 AS title,
+               CASE WHEN NOT parsed THEN 'MEDIUM' WHEN doc_id % 6 = 0 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
+               md5(CASE WHEN parsed THEN whole ELSE cause END) AS summary,
+               CASE WHEN parsed OR sound THEN 'backpressure' ELSE 'parse_error' END AS anomaly_type,
+               CASE WHEN parsed THEN 'slow sink' ELSE cause END AS root_cause,
+               CASE WHEN parsed THEN 'a,b' WHEN sound THEN 'svc-' || (doc_id % 8) ELSE '' END AS components,
+               CASE WHEN parsed THEN 'first,then' ELSE 'Detected at ' || detected_at END AS timeline,
+               CAST(parsed AS INTEGER) AS actions,
+               md5(CASE WHEN doc_id % 6 = 1 THEN 'own' ELSE low END) AS low_confidence_claims,
+               NOT parsed OR doc_id % 6 <> 1 AS requires_human_approval,
+               CASE WHEN parsed THEN 'watch' ELSE 'Monitor after remediation' END AS monitoring_notes,
+               CAST(sound AS INTEGER) AS sources, CAST(sound AS INTEGER) AS claims
+        FROM reports""",
     "size_check": f"""WITH {a.TEXTS_SQL}
         SELECT doc_id, length(text) AS chars,
                CASE WHEN length(text) > 50000 THEN 'DiagnosisReport JSON exceeds max handoff size (' || length(text)

@@ -41,8 +41,10 @@ class Rules:
     dedup: bool = True
     diagnostic_forks: int = 1
     hypothesis_mode: str = "map"
+    # A larger diagnosis is rejected, never cut. The others cut texts where they are set.
     handoff_max_chars: int = 50_000
-    sanitize_max_chars: int = 20_000
+    summary_max_chars: int | None = None
+    sanitize_max_chars: int | None = None
 
     def __post_init__(self) -> None:
         if not 0.0 <= self.ema_alpha <= 1.0:

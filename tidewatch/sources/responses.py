@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from tidewatch.functions.keys import utc_now_iso
 from tidewatch.functions.text import json_block, prefix
-from tidewatch.schema import ANOMALY, DIAGNOSIS
+from tidewatch.schema import ANOMALY, DIAGNOSIS, INCIDENT
 
+# What a record says that could not be parsed, and the levels of confidence and severity.
 _UNPARSED_SUMMARY = "Agent response could not be parsed as structured output"
 _CONFIDENCES = ["HIGH", "MEDIUM", "LOW", "UNSOURCED"]
+_SEVERITIES = ["LOW", "MEDIUM", "HIGH", "CRITICAL"]
 
 
 def _parsed(texts: DataFrame, text: str, schema: T.StructType) -> DataFrame:
@@ -31,15 +33,20 @@ def _all_set(items: Column, fields: list[str]) -> Column:
     return F.coalesce(F.forall(items, whole), F.lit(True))
 
 
-def parse_anomalies(texts: DataFrame, text: str = "text", now: Column | None = None) -> DataFrame:
-    """Add ``anomaly``: the ANOMALY in each text, or one of type unknown that quotes the text."""
+def parse_anomalies(
+    texts: DataFrame, text: str = "text", now: Column | None = None, quote_chars: int | None = None
+) -> DataFrame:
+    """Add ``anomaly``: the ANOMALY in each text, or one of type unknown that quotes the text.
+
+    The whole text is quoted unless ``quote_chars`` cuts it.
+    """
     c = F.col(text)
     a = F.col("_r")
     sound = a["_bad"].isNull() & a["anomaly_type"].isNotNull() & a["summary"].isNotNull() & a["detected_at"].isNotNull()
     blank = {f.name: F.lit(None).cast(f.dataType) for f in ANOMALY.fields}
     blank |= {
         "anomaly_type": F.lit("unknown"),
-        "summary": prefix(c, 1000),
+        "summary": prefix(c, quote_chars),
         "detected_at": utc_now_iso() if now is None else now,
         "source_signal_ids": F.array().cast("array<string>"),
     }
@@ -50,7 +57,9 @@ def parse_anomalies(texts: DataFrame, text: str = "text", now: Column | None = N
     return _parsed(texts, text, ANOMALY).withColumn("anomaly", chosen).drop("_r")
 
 
-def parse_diagnoses(texts: DataFrame, text: str = "text", now: Column | None = None) -> DataFrame:
+def parse_diagnoses(
+    texts: DataFrame, text: str = "text", now: Column | None = None, quote_chars: int | None = None
+) -> DataFrame:
     """Add ``diagnosis``: the DIAGNOSIS in each text, or a parse_error one that quotes the text.
 
     A record is taken only with all its required fields; ids that do not refer
@@ -98,11 +107,40 @@ def parse_diagnoses(texts: DataFrame, text: str = "text", now: Column | None = N
         F.struct(
             F.lit(_UNPARSED_SUMMARY).alias("summary"),
             F.lit("low").alias("confidence"),
-            prefix(c, 500).alias("reasoning"),
+            prefix(c, quote_chars).alias("reasoning"),
             F.array().cast("array<string>").alias("supporting_metrics"),
         ).alias("root_cause"),
         empty("tools_used").alias("tools_used"),
-        F.array(prefix(c, 500)).alias("raw_evidence"),
+        F.array(prefix(c, quote_chars)).alias("raw_evidence"),
     )
     chosen = F.when(sound, kept).otherwise(fallback)
     return _parsed(texts, text, DIAGNOSIS).withColumn("diagnosis", chosen).drop("_r")
+
+
+def parse_incidents(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``incident``: the INCIDENT in each report text, null where there is no whole one.
+
+    Without approval, claims or sources of its own a report gets the defaults:
+    approval is required, the lists are empty. ``with_fallback`` of the
+    diagnosis operators fills the gaps.
+    """
+    i = F.col("_r")
+    required = [
+        "incident_id", "title", "severity", "summary", "anomaly_type", "root_cause", "affected_components", "timeline",
+        "recommended_actions", "monitoring_notes",
+    ]
+    sound = i.isNotNull() & i["_bad"].isNull() & i["severity"].isin(*_SEVERITIES)
+    for f in required:
+        sound = sound & i[f].isNotNull()
+    sound = (
+        sound
+        & _all_set(i["recommended_actions"], ["action", "rationale", "risk", "requires_downtime"])
+        & _all_set(i["sources"], ["source_id", "tool_name", "retrieved_at", "raw_output"])
+        & _all_set(i["supporting_claims"], ["claim_id", "text", "source_id", "confidence"])
+    )
+    changed = {"requires_human_approval": F.coalesce(i["requires_human_approval"], F.lit(True))} | {
+        n: F.coalesce(i[n], F.array().cast(INCIDENT[n].dataType))
+        for n in ("low_confidence_claims", "sources", "supporting_claims")
+    }
+    record = F.struct(*[changed.get(n, i[n]).alias(n) for n in INCIDENT.names])
+    return _parsed(texts, text, INCIDENT).withColumn("incident", F.when(sound, record)).drop("_r")

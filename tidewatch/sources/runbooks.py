@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import front_matter, front_matter_keys
+from tidewatch.functions.text import front_matter, front_matter_value
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,19 +17,17 @@ def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
 def runbook_index(files: DataFrame) -> DataFrame:
     """(anomaly_type, title, body, path) of (path, content) rows; the last path of a type wins.
 
-    Each task passes on one winner per type, so many files of a type cost no more than a scan.
+    The winners are found by type and path alone, so no text is shuffled but theirs. Paths are unique.
     """
-    parsed = files.select("path", front_matter(F.col("content")).alias("f")).select(
-        "path", front_matter_keys(F.col("f.head")).alias("keys"), F.col("f.body").alias("body")
-    )
+    parsed = files.select("path", front_matter(F.col("content")).alias("f"))
     typed = parsed.select(
         "path",
-        F.try_element_at("keys", F.lit("anomaly_type")).alias("anomaly_type"),
-        F.try_element_at("keys", F.lit("title")).alias("title"),
-        "body",
+        front_matter_value(F.col("f.head"), "anomaly_type").alias("anomaly_type"),
+        front_matter_value(F.col("f.head"), "title").alias("title"),
+        F.col("f.body").alias("body"),
     ).filter(F.col("anomaly_type").isNotNull() & (F.col("anomaly_type") != ""))
-    winner = F.max(F.struct("path", "title", "body")).alias("w")
-    return typed.groupBy("anomaly_type").agg(winner).select("anomaly_type", "w.title", "w.body", "w.path")
+    winners = typed.groupBy("anomaly_type").agg(F.max("path").alias("path"))
+    return typed.join(winners, ["anomaly_type", "path"]).select("anomaly_type", "title", "body", "path")
 
 
 def list_runbooks(index: DataFrame) -> DataFrame:

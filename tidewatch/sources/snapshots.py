@@ -46,9 +46,43 @@ def _first(items: Column, most: int | None) -> Column:
     return items if most is None else F.slice(items, 1, most)
 
 
+_BAD = "_bad"
+#: Document kinds and their schemas.
+DOCUMENTS = {"jobs": _JOBS, "checkpoints": _CHECKPOINTS, "exceptions": _EXCEPTIONS}
+
+
+def _documents(snapshots: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """(keep..., d): each document parsed in a projection of its own; null where it is missing or malformed."""
+    options = {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"}
+    parsed = F.from_json("value", f"{DOCUMENTS[kind]}, {_BAD} string", options)
+    read = snapshots.select(*keep, parsed.alias("d"))
+    return read.withColumn("d", F.when(F.col(f"d.{_BAD}").isNull(), F.col("d")))
+
+
+def _sound(snapshots: DataFrame, kind: str, *keep: str) -> DataFrame:
+    return _documents(snapshots, kind, *keep).filter(F.col("d").isNotNull())
+
+
+def snapshot_errors(snapshots: DataFrame, kind: str, key: str | None = None) -> DataFrame:
+    """(kind, key, error, value) of the documents that the readers below leave out.
+
+    A document that is missing, no JSON, or of other types than its kind is
+    never read as an empty one: it is listed here instead, whole.
+    """
+    keep = [key] if key else []
+    bad = _documents(snapshots, kind, *keep, "value").filter(F.col("d").isNull())
+    return bad.select(
+        F.lit(kind).alias("kind"),
+        (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
+        F.when(F.col("value").isNull(), "missing").otherwise("malformed").alias("error"),
+        "value",
+    )
+
+
 def job_overview(snapshots: DataFrame) -> DataFrame:
-    job = F.inline(F.from_json("value", _JOBS)["jobs"])
-    return snapshots.select(job).select(
+    """Jobs of the documents that parse; see ``snapshot_errors`` for the others."""
+    job = F.inline("d.jobs")
+    return _sound(snapshots, "jobs").select(job).select(
         F.col("jid").alias("job_id"),
         "name",
         "state",
@@ -59,8 +93,11 @@ def job_overview(snapshots: DataFrame) -> DataFrame:
 
 
 def checkpoint_stats(snapshots: DataFrame) -> DataFrame:
-    """Counters default to 0; the other blocks are null where the document has none."""
-    doc = snapshots.select("job_id", F.from_json("value", _CHECKPOINTS).alias("d"))
+    """Counters default to 0; the other blocks are null where the document has none.
+
+    A document that does not parse has no row; see ``snapshot_errors``.
+    """
+    doc = _sound(snapshots, "checkpoints", "job_id")
 
     def block(struct: str, fields: dict[str, str]) -> Column:
         body = F.struct(*[F.col(f"{struct}.{f}").alias(name) for f, name in fields.items()])
@@ -90,9 +127,10 @@ def checkpoint_stats(snapshots: DataFrame) -> DataFrame:
 def job_exceptions(snapshots: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The exceptions of each job in given order; a job without any keeps one row.
 
-    ``rules.max_exceptions`` keeps only the first ones.
+    ``rules.max_exceptions`` keeps only the first ones. A document that does not
+    parse has no row; see ``snapshot_errors``.
     """
-    doc = snapshots.select("job_id", F.from_json("value", _EXCEPTIONS).alias("d"))
+    doc = _sound(snapshots, "exceptions", "job_id")
     first = _first(F.coalesce(F.col("d.all-exceptions"), F.array()), rules.max_exceptions)
     return doc.select(
         "job_id",
