@@ -23,11 +23,12 @@ def test_entry(spark):
 
 
 def test_each_query_has_its_sql():
+    """Queries of llm without SQL are held against brute force in their own tests, not here."""
     assert set(catalog.queries()) == set(catalog.oracles())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_agrees_with_sql(spark, duck, name):
     rows, problems = check.compare(spark, duck, SF, name)
     assert problems == []

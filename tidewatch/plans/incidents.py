@@ -53,6 +53,13 @@ def hypothesis_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("cycle", "anomaly_type", "affected_component", "fork", "cause")
 
 
+def hypothesis_plan_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same generic causes for every type, more forks than there are causes."""
+    rules = replace(RULES, diagnostic_forks=9, hypothesis_mode="static")
+    planned = guidance.hypothesis_plan(_anomalies(spark, sf_dir), rules)
+    return planned.select("cycle", "anomaly_type", "affected_component", "fork", "cause")
+
+
 ANOMALIES_SQL = f"""{ALL_ALERTS_SQL},
 measured AS (
   SELECT *, timestamp_ms // 3600000 AS cycle, regexp_replace(rule, '_(threshold|baseline_deviation)$', '') AS metric,
@@ -93,12 +100,15 @@ _CAUSES_SQL = "(VALUES " + ", ".join(
     f"('{kind}', {i}, '{cause}')" for kind, causes in guidance.CAUSES.items() for i, cause in enumerate(causes)
 ) + ") c(kind, fork, cause)"
 
+_GENERIC_SQL = "(VALUES " + ", ".join(f"({i}, '{cause}')" for i, cause in enumerate(guidance.GENERIC_CAUSES)) + ") c(fork, cause)"
+
 QUERIES = {
     "anomalies_from_alerts": anomalies,
     "incident_lifecycle": incident_lifecycle,
     "incident_resolved": incident_resolved,
     "incident_carryover": incident_carryover,
     "hypothesis_plan": hypothesis_plan,
+    "hypothesis_plan_static": hypothesis_plan_static,
 }
 
 ORACLES = {
@@ -129,4 +139,7 @@ ORACLES = {
     "hypothesis_plan": f"""WITH RECURSIVE {ANOMALIES_SQL}
         SELECT cycle, anomaly_type, affected_component, CAST(fork AS INTEGER) AS fork, cause
         FROM anomalies JOIN {_CAUSES_SQL} ON kind = anomaly_type""",
+    "hypothesis_plan_static": f"""WITH RECURSIVE {ANOMALIES_SQL}
+        SELECT cycle, anomaly_type, affected_component, CAST(fork AS INTEGER) AS fork, cause
+        FROM anomalies, {_GENERIC_SQL}""",
 }

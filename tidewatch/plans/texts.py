@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as t
-from tidewatch.operators import diagnosis, guidance
+from tidewatch.operators import diagnosis, guidance, routing
+from tidewatch.operators.ordered import checkpoint_dir
 from tidewatch.plans import adapters as a
 from tidewatch.rules import Rules
-from tidewatch.sources import responses, runbooks
+from tidewatch.sources import audit, responses, runbooks
 
 RULES = Rules()
 _NOW = "1970-01-01T00:00:00Z"
@@ -106,11 +109,33 @@ def attach_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def incident_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report texts as incidents, with the fallback where one does not parse."""
+def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     diagnoses = _diagnoses(spark, sf_dir).select(F.col("doc_id").alias("diagnosis_id"), "diagnosis.*")
     reports = responses.parse_incidents(a.report_responses(spark, sf_dir)).withColumnRenamed("doc_id", "diagnosis_id")
-    return diagnosis.with_fallback(reports, diagnoses).select(
+    return diagnosis.with_fallback(reports, diagnoses)
+
+
+def audit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents and their diagnoses, routed, written to an audit trail with all fields, and read back."""
+    whole = _diagnoses(spark, sf_dir).select(F.col("doc_id").alias("diagnosis_id"), "diagnosis")
+    routed = routing.route_incidents(_incidents(spark, sf_dir).join(whole, "diagnosis_id"))
+    path = f"{checkpoint_dir(spark)}/audit-{uuid.uuid4().hex}"
+    audit.append_audit(routing.audit_entries(routed, F.lit(_NOW)), path)
+    return audit.read_audit(spark, path).select(
+        "timestamp", "incident_id", "title", "severity", "anomaly_type", "root_cause", F.md5("summary").alias("summary"),
+        F.array_join("affected_components", ",").alias("components"),
+        F.array_join(F.transform("recommended_actions", lambda x: F.concat_ws("/", x.action, x.risk, x.requires_downtime.cast("string"))), ",").alias("actions"),
+        F.md5(F.array_join("low_confidence_claims", ",")).alias("low_confidence_claims"), "requires_human_approval",
+        "human_approved", "unresolved_conflict_count", "conflicts_acknowledged",
+        F.array_join("diagnosis.sources_consulted", ",").alias("sources_consulted"),
+        F.col("diagnosis.claim_count").alias("claim_count"), F.col("diagnosis.conflict_count").alias("conflict_count"),
+        F.array_join("diagnosis.tools_used", ",").alias("tools_used"),
+    )
+
+
+def incident_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report texts as incidents, with the fallback where one does not parse."""
+    return _incidents(spark, sf_dir).select(
         "diagnosis_id", "parsed", "incident_id", "title", "severity", F.md5("summary").alias("summary"), "anomaly_type",
         "root_cause", F.array_join("affected_components", ",").alias("components"),
         F.array_join("timeline", ",").alias("timeline"), F.size("recommended_actions").alias("actions"),
@@ -137,6 +162,7 @@ QUERIES = {
     "parse_diagnoses": parse_diagnoses,
     "attach_attribution": attach_attribution,
     "incident_records": incident_records,
+    "audit_round_trip": audit_round_trip,
     "size_check": size_check,
 }
 
@@ -194,6 +220,26 @@ diagnosed AS (
               ELSE 'Agent response could not be parsed as structured output' END AS cause
   FROM documents)"""
 
+_INCIDENTS_SQL = f"""{_DIAGNOSED_SQL},
+reports AS (
+  SELECT *, doc_id % 6 < 2 AS parsed, CASE WHEN sound THEN '2024-01-01T00:00:00Z' ELSE '{_NOW}' END AS detected_at,
+         CASE WHEN doc_id % 8 = 4 THEN whole ELSE '' END AS low FROM diagnosed),
+incidents AS (
+  SELECT doc_id AS diagnosis_id, parsed, sound,
+         CASE WHEN parsed THEN 'inc-' || doc_id ELSE substr(sha256(doc_id || chr(31) || detected_at), 1, 8) END AS incident_id,
+         CASE WHEN parsed THEN 'Incident ' || doc_id WHEN sound THEN 'Anomaly: backpressure' ELSE 'Anomaly: parse_error' END
+           AS title,
+         CASE WHEN NOT parsed THEN 'MEDIUM' WHEN doc_id % 6 = 0 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
+         md5(CASE WHEN parsed THEN whole ELSE cause END) AS summary,
+         CASE WHEN parsed OR sound THEN 'backpressure' ELSE 'parse_error' END AS anomaly_type,
+         CASE WHEN parsed THEN 'slow sink' ELSE cause END AS root_cause,
+         CASE WHEN parsed THEN 'a,b' WHEN sound THEN 'svc-' || (doc_id % 8) ELSE '' END AS components,
+         CASE WHEN parsed THEN 'first,then' ELSE 'Detected at ' || detected_at END AS timeline,
+         md5(CASE WHEN doc_id % 6 = 1 THEN 'own' ELSE low END) AS low_confidence_claims,
+         NOT parsed OR doc_id % 6 <> 1 AS requires_human_approval,
+         CASE WHEN parsed THEN 'watch' ELSE 'Monitor after remediation' END AS monitoring_notes
+  FROM reports)"""
+
 _BLOCK_SQL = """
 fenced AS (
   SELECT doc_id, text, contains(text, '```') AS fence,
@@ -245,26 +291,19 @@ ORACLES = {
                CASE WHEN doc_id % 8 = 2 THEN 'known' WHEN doc_id % 8 = 4 THEN coalesce(text, '') ELSE '' END
                  AS low_confidence_claims
         FROM documents""",
-    "incident_records": f"""WITH {_DIAGNOSED_SQL},
-        reports AS (
-          SELECT *, doc_id % 6 < 2 AS parsed, CASE WHEN sound THEN '2024-01-01T00:00:00Z' ELSE '{_NOW}' END AS detected_at,
-                 CASE WHEN doc_id % 8 = 4 THEN whole ELSE '' END AS low FROM diagnosed)
-        SELECT doc_id AS diagnosis_id, parsed,
-               CASE WHEN parsed THEN 'inc-' || doc_id ELSE substr(sha256(doc_id || chr(31) || detected_at), 1, 8) END AS incident_id,
-               CASE WHEN parsed THEN 'Incident ' || doc_id WHEN sound THEN 'Anomaly: backpressure' ELSE 'Anomaly: parse_error' END
-                 AS title,
-               CASE WHEN NOT parsed THEN 'MEDIUM' WHEN doc_id % 6 = 0 THEN 'HIGH' ELSE 'CRITICAL' END AS severity,
-               md5(CASE WHEN parsed THEN whole ELSE cause END) AS summary,
-               CASE WHEN parsed OR sound THEN 'backpressure' ELSE 'parse_error' END AS anomaly_type,
-               CASE WHEN parsed THEN 'slow sink' ELSE cause END AS root_cause,
-               CASE WHEN parsed THEN 'a,b' WHEN sound THEN 'svc-' || (doc_id % 8) ELSE '' END AS components,
-               CASE WHEN parsed THEN 'first,then' ELSE 'Detected at ' || detected_at END AS timeline,
-               CAST(parsed AS INTEGER) AS actions,
-               md5(CASE WHEN doc_id % 6 = 1 THEN 'own' ELSE low END) AS low_confidence_claims,
-               NOT parsed OR doc_id % 6 <> 1 AS requires_human_approval,
-               CASE WHEN parsed THEN 'watch' ELSE 'Monitor after remediation' END AS monitoring_notes,
+    "incident_records": f"""WITH {_INCIDENTS_SQL}
+        SELECT diagnosis_id, parsed, incident_id, title, severity, summary, anomaly_type, root_cause, components, timeline,
+               CAST(parsed AS INTEGER) AS actions, low_confidence_claims, requires_human_approval, monitoring_notes,
                CAST(sound AS INTEGER) AS sources, CAST(sound AS INTEGER) AS claims
-        FROM reports""",
+        FROM incidents""",
+    "audit_round_trip": f"""WITH {_INCIDENTS_SQL}
+        SELECT '{_NOW}' AS timestamp, incident_id, title, severity, anomaly_type, root_cause, summary, components,
+               CASE WHEN parsed THEN 'restart/low/true' ELSE '' END AS actions, low_confidence_claims, requires_human_approval,
+               CAST(NULL AS BOOLEAN) AS human_approved, CAST(0 AS BIGINT) AS unresolved_conflict_count,
+               CAST(NULL AS BOOLEAN) AS conflicts_acknowledged,
+               CASE WHEN sound THEN 'query_metrics' ELSE '' END AS sources_consulted, CAST(sound AS INTEGER) AS claim_count,
+               CAST(0 AS INTEGER) AS conflict_count, CASE WHEN sound THEN 'query_metrics' ELSE '' END AS tools_used
+        FROM incidents""",
     "size_check": f"""WITH {a.TEXTS_SQL}
         SELECT doc_id, length(text) AS chars,
                CASE WHEN length(text) > 50000 THEN 'DiagnosisReport JSON exceeds max handoff size (' || length(text)
