@@ -104,6 +104,7 @@ def test_forks_of_one_incident_are_spread(spark, monkeypatch):
         F.when(F.col("id") == 4500, "HIGH").otherwise("LOW").alias("confidence"),
     )
     monkeypatch.setattr("tidewatch.operators.numbering.numbered.__defaults__", (8,))
+    monkeypatch.setattr("tidewatch.operators.diagnosis.FORK_BLOCK_BITS", 8)
     made = []
     assert _jobs(spark, lambda: made.append(diagnosis.forks(numbered(heads, "incident_id", "diagnosis_id", "fork"), claims))) == 0
     spark.conf.set("spark.sql.adaptive.enabled", "false")

@@ -19,6 +19,8 @@ from tidewatch.operators.skew import salted_join
 from tidewatch.rules import Rules
 from tidewatch.schema import DIAGNOSIS, INCIDENT
 
+#: Forks of one incident that are joined with its primary fork in one task, as a power of two.
+FORK_BLOCK_BITS = 16
 CONFIDENCES = ["HIGH", "MEDIUM", "LOW", "UNSOURCED"]
 
 
@@ -276,28 +278,23 @@ def integrity_errors(
     with very many rows is spread by its ids.
     """
 
-    def marked(df: DataFrame, *marks: Column) -> DataFrame:
-        return df.select(key, F.inline(F.filter(F.array(*marks), lambda m: m["counts"])))
+    def defined(df: DataFrame, is_source: bool, id_column: str) -> DataFrame:
+        return df.select(key, F.lit(is_source).alias("is_source"), F.col(id_column).alias("id"), F.lit(1).alias("defined"))
 
-    def mark(kind: str, id_column: str, defines: bool, counts: Column | None = None) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.col(id_column).alias("id"),
-            F.lit(int(defines)).alias("defined"),
-            (F.lit(True) if counts is None else counts).alias("counts"),
-        )
+    def cited(is_source: bool, id_column: str) -> Column:
+        return F.struct(F.lit(is_source).alias("is_source"), F.col(id_column).alias("id"), F.lit(0).alias("defined"))
 
-    sourced = F.coalesce(F.col("confidence") != "UNSOURCED", F.lit(False))
-    marks = marked(sources, mark("source", "source_id", True)).unionByName(
-        marked(claims, mark("claim", "claim_id", True), mark("source", "source_id", False, sourced))
-    )
+    own = F.struct(F.lit(False).alias("is_source"), F.col("claim_id").alias("id"), F.lit(1).alias("defined"))
+    both = F.array(own, cited(True, "source_id"))
+    each = F.when(F.col("confidence") != "UNSOURCED", both).otherwise(F.array(own))
+    marks = defined(sources, True, "source_id").unionByName(claims.select(key, F.inline(each)))
     if conflicts is not None:
-        sides = [mark("claim", c, False) for c in ("claim_a_id", "claim_b_id")]
-        marks = marks.unionByName(marked(conflicts, *sides))
-    copies, is_source = F.col("copies"), F.col("kind") == "source"
+        sides = F.array(cited(False, "claim_a_id"), cited(False, "claim_b_id"))
+        marks = marks.unionByName(conflicts.select(key, F.inline(sides)))
+    copies, is_source = F.col("copies"), F.col("is_source")
     check = F.when(copies > 1, F.when(is_source, 1).otherwise(2)).when(copies == 0, F.when(is_source, 3).otherwise(4))
     return (
-        marks.groupBy(key, "kind", "id")
+        marks.groupBy(key, "is_source", "id")
         .agg(F.sum("defined").alias("copies"))
         .select(key, check.alias("check"))
         .filter(F.col("check").isNotNull())
@@ -394,9 +391,14 @@ def forks(diagnoses: DataFrame, claims: DataFrame) -> DataFrame:
             F.col("summary").alias("summary"),
         )
     )
-    # Reduced before the shuffle, and joined back with frequent incidents salted: no task holds a whole one.
-    primaries = ranked.groupBy("incident_id").agg(best.alias("primary"), F.count("*").alias("fork_count"))
-    return salted_join(ranked, primaries, ["incident_id"], "inner")
+    # Reduced before the shuffle, and joined back by blocks of forks: no task holds a whole incident.
+    block = F.shiftright("fork", FORK_BLOCK_BITS)
+    partial = ranked.groupBy("incident_id", block.alias("_block")).agg(best.alias("best"), F.count("*").alias("n"))
+    primaries = partial.groupBy("incident_id").agg(
+        F.max("best").alias("primary"), F.sum("n").alias("fork_count"), F.collect_set("_block").alias("_blocks")
+    )
+    spread = primaries.select("incident_id", "primary", "fork_count", F.explode("_blocks").alias("_block"))
+    return ranked.withColumn("_block", block).join(spread, ["incident_id", "_block"]).drop("_block")
 
 
 def fork_prefix() -> Column:

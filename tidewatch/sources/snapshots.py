@@ -51,16 +51,19 @@ _BAD = "_bad"
 DOCUMENTS = {"jobs": _JOBS, "checkpoints": _CHECKPOINTS, "exceptions": _EXCEPTIONS}
 
 
-def _documents(snapshots: DataFrame, kind: str, *keep: str) -> DataFrame:
-    """(keep..., d): each document parsed in a projection of its own; null where it is missing or malformed."""
+def _parsed(kind: str) -> Column:
+    """The document of a value, in an array: a generator that reads it parses it once."""
     options = {"columnNameOfCorruptRecord": _BAD, "mode": "PERMISSIVE"}
-    parsed = F.from_json("value", f"{DOCUMENTS[kind]}, {_BAD} string", options)
-    read = snapshots.select(*keep, parsed.alias("d"))
-    return read.withColumn("d", F.when(F.col(f"d.{_BAD}").isNull(), F.col("d")))
+    return F.array(F.from_json("value", f"{DOCUMENTS[kind]}, {_BAD} string", options))
+
+
+def _is_sound(d: Column) -> Column:
+    return d.isNotNull() & d[_BAD].isNull()
 
 
 def _sound(snapshots: DataFrame, kind: str, *keep: str) -> DataFrame:
-    return _documents(snapshots, kind, *keep).filter(F.col("d").isNotNull())
+    """(keep..., d) of the documents that parse."""
+    return snapshots.select(*keep, F.explode(F.filter(_parsed(kind), _is_sound)).alias("d"))
 
 
 def snapshot_errors(snapshots: DataFrame, kind: str, key: str | None = None) -> DataFrame:
@@ -70,7 +73,7 @@ def snapshot_errors(snapshots: DataFrame, kind: str, key: str | None = None) ->
     never read as an empty one: it is listed here instead, whole.
     """
     keep = [key] if key else []
-    bad = _documents(snapshots, kind, *keep, "value").filter(F.col("d").isNull())
+    bad = snapshots.select(*keep, "value", F.explode(F.filter(_parsed(kind), lambda d: ~_is_sound(d))).alias("d"))
     return bad.select(
         F.lit(kind).alias("kind"),
         (F.col(key).cast("string") if key else F.lit(None).cast("string")).alias("key"),
