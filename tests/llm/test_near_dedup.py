@@ -78,3 +78,35 @@ def test_components_of_a_long_path(spark):
     links = spark.range(1, 200).selectExpr("id a", "id - 1 b")
     assert {(r.node, r.component) for r in components(links).collect()} == {(i, 0) for i in range(1, 200)}
     assert components(links.limit(0)).collect() == []
+
+
+def test_prefix_filter_loses_no_pair(spark, tmp_path):
+    """All pairs of a set of groups, at and around the wished similarity; sizes differ, some rows are repeated."""
+    rng, docs = random.Random(11), {}
+    for g in range(6):
+        base = [f"{g}w{i}" for i in range(rng.choice([8, 30, 80]))]
+        for _ in range(30):
+            kept = base[: rng.randrange(len(base) * 7 // 10, len(base) + 1)] if rng.random() < 0.5 else base
+            docs[len(docs)] = " ".join(w if rng.random() > 0.03 else f"x{rng.randrange(40)}" for w in kept)
+    truth = set()
+    sets = {i: brute.shingles(t, 4) for i, t in docs.items()}
+    for a in docs:
+        for b in docs:
+            common = len(sets[a] & sets[b])
+            if a < b and sets[a] != sets[b] and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                truth.add((a, b))
+    frame = spark.createDataFrame([*docs.items(), (3, docs[3])], "id long, text string").repartition(4)
+    # One bucket that holds everything, each document a component of its own.
+    apart = spark.createDataFrame([(1, i, i) for i in docs], "band long, id long, component long")
+    found = {tuple(r) for r in near_dedup._by_prefix(apart, frame, 4, 80, near_dedup.Scratch(spark)).collect()}
+    assert truth <= found and len(truth) > 100
+    assert len(found) < len(docs) * (len(docs) - 1) / 2 / 3
+
+
+def test_copies_of_a_missing_original(spark):
+    """Many copies, each edited too much to be near any other: no pair is near, and few are even looked at."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    docs = {i: " ".join(w if rng.random() > 0.03 else f"x{rng.random()}" for w in base) for i in range(150)}
+    expected = brute.near(docs, 4, 80)
+    assert rows(spark, [(i, t, "a", 1, 2, "b") for i, t in docs.items()]) == expected

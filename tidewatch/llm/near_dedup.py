@@ -8,7 +8,9 @@ estimated from the registers, corrected for chance collisions, then confirmed on
 
 Documents with equal sets are one class; only its smallest id goes on. Within a band's bucket all pairs are never made:
 first every member meets the smallest one, links join into components, then members still apart meet the smallest member
-of another component, and only then what is left apart meets pairwise. Members of one component need no more pairs.
+of another component. What is left apart after that is searched by an exact prefix filter: the members' shingles are put
+in order from the rarest on, and two sets that are similar enough share one of their first few; where those stand bounds
+what the sets can still have in common. Members of one component need no more pairs.
 """
 
 from __future__ import annotations
@@ -154,6 +156,68 @@ def _labelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(mixed, "band")
 
 
+def least_common(x: int, y: int, percent: int) -> int:
+    """Least number of common members that makes sets of these sizes as similar as percent."""
+    return -(-percent * (x + y) // (100 + percent))
+
+
+def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch, documents in texts(batches, "text"):
+        for key, text in zip(batch.column("id").to_pylist(), documents, strict=True):
+            found = shingle_set(hashes.of(words_of(text)), k)
+            whole = np.int64(xxhash.xxh3_64_intdigest(found.tobytes()) >> 1)
+            columns = [as_signed(found), *(pa.array(np.full(len(found), v, np.int64)) for v in (key, whole, len(found)))]
+            yield pa.record_batch(columns, ["shingle", "id", "whole", "n"])
+
+
+def _prefix(rows: pa.Table, percent: int) -> pa.Table:
+    """The first shingles of one set, from the rarest on, with their places.
+
+    rows lacks the shingles that no other set has. They stand first, and meet nothing.
+    """
+    size, kept = rows["n"][0].as_py(), ["id", "n", "component", "minor"]
+    shingle, at = np.unique(rows["shingle"].to_numpy(), return_index=True)
+    order = at[np.argsort(rows["sets"].to_numpy()[at], kind="stable")]
+    place = size - len(order) + np.arange(len(order))
+    first = place <= size - -(-percent * size // 100)
+    place, order = place[first], pa.array(order[first])
+    indexed = place <= size - least_common(size, size, percent)
+    columns = [rows["shingle"].take(order), pa.array(place), pa.array(indexed), *(rows[c].take(order) for c in kept)]
+    return pa.table(columns, names=["shingle", "place", "indexed", *kept])
+
+
+def _by_prefix(apart: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b) of all members in different components that may be similar enough, by an exact filter.
+
+    Of two components in a bucket one is not its largest, so one side of a pair is always such a minor member.
+    """
+    weights = apart.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "component")).alias("top"))
+    members = apart.join(weights, "band").groupBy("id", "component").agg(F.max(F.col("component") != F.col("top.component")).alias("minor"))
+    members = scratch.table(members, passing=True)
+    ids = members.select("id")
+    chosen = docs.join(F.broadcast(ids) if ids.count() <= SMALL_IDS else ids, "id", "left_semi")
+    # A repeated row counts twice here, which changes the order for all sets alike.
+    rows = scratch.table(chosen.mapInArrow(lambda it: _shingles(it, k), "shingle long, id long, whole long, n long"), passing=True)
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    known = rows.join(shared, "shingle").join(members, "id")
+    kind = "shingle long, place long, indexed boolean, id long, n long, component long, minor boolean"
+    prefixes = scratch.table(known.groupBy("id", "whole").applyInArrow(lambda t: _prefix(t, percent), kind), passing=True)
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Probing sets x with the indexed sets y, which are no larger."""
+        x, y = (side.select("shingle", *(F.col(c).alias(f"{name}_{c}") for c in ("place", "id", "n", "component"))) for side, name in ((x, "x"), (y, "y")))
+        larger = (F.col("x_n") > F.col("y_n")) | ((F.col("x_n") == F.col("y_n")) & (F.col("x_id") > F.col("y_id")))
+        # From the first shingle that both have, the rest of either set is all they can have in common.
+        rest = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
+        enough = rest * (100 + percent) >= (F.col("x_n") + F.col("y_n")) * percent
+        near = x.join(y, (x["shingle"] == y["shingle"]) & (F.col("x_component") != F.col("y_component")) & larger & enough)
+        return near.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
+    indexed = prefixes.where("indexed")
+    return met(prefixes.where("minor"), indexed).union(met(prefixes.where("not minor"), indexed.where("minor"))).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component, kept) per row: the size of its shingle set, the smallest id reachable over links of
     documents with a Jaccard similarity of at least percent / 100, and whether that is the row itself.
@@ -179,8 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for last in (False, True):
         apart = scratch.table(_labelled(buckets.select("band", "id"), links), passing=True)
         if last:
-            left, right = apart.select("band", F.col("id").alias("a"), F.col("component").alias("c")), apart.select("band", F.col("id").alias("b"), "component")
-            pairs = left.join(right, "band").where("c < component").select("a", "b")
+            pairs = _by_prefix(apart, confirm.docs, k, percent, scratch)
         else:
             pivot = apart.where("component > low").groupBy("band").agg(F.min(F.struct("component", "id")).alias("pivot"))
             pairs = apart.join(pivot, "band").where("component <> pivot.component").select(F.col("pivot.id").alias("a"), F.col("id").alias("b"))
