@@ -109,3 +109,23 @@ def test_best_fit_equals_one_by_one(counts, capacity):
                 assert used.get(s, 0) == o
                 used[s] = o + length
     assert sorted(capacity - u for u in used.values()) == sorted(bins)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aZé'ÿßÞ×·-.!~<|sStTreEmMlLdD09 \n\t\x1f\x7f\x85µ", max_size=40))
+def test_pieces_equal_the_library(text):
+    if not hasattr(test_pieces_equal_the_library, "own"):
+        test_pieces_equal_the_library.own = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    own, library = test_pieces_equal_the_library.own
+    assert own.cuts
+    assert np.frombuffer(own.ids([text.encode()])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_not_cut_by_the_rule(tmp_path):
+    import json
+
+    settings_ = json.loads(Tokenizer.from_file(PATH).to_str())
+    settings_["normalizer"] = None
+    path = tmp_path / "t.json"
+    path.write_text(json.dumps(settings_))
+    assert not WordTokenizer(str(path)).cuts

@@ -7,6 +7,7 @@ the other. Words are looked up in a table of words met before in the task; new o
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -14,9 +15,23 @@ import numpy as np
 
 from .common import WORD_CACHE
 
+#: Anything but white space, printable ASCII and the letters of Latin-1 that have both cases there.
+_UNUSUAL = re.compile("[^\\t-\\r\x20-~À-ÖØ-öø-þ]")
+#: How the tokenizer cuts lower-cased texts of such characters; its own rule is the value below, for all characters.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-þ]+|[0-9]|[^\\sa-zß-öø-þ0-9]+")
+_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
 
+def _cuts_like_that(tokenizer) -> bool:
+    """The tokenizer lower-cases, and cuts texts by the rule above."""
+    normalizer, cutter = (json.loads(part.__getstate__()) if part else {} for part in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    steps = [n["type"] for n in normalizer.get("normalizers", [])]
+    rules = [p["pattern"].get("Regex") for p in cutter.get("pretokenizers", []) if p["type"] == "Split"]
+    return steps == _NORMALIZERS and rules == [_RULE]
+
+
 class WordTokenizer:
     """ids(text) for UTF-8 texts, as little-endian 16-bit numbers; equal to the library's on the whole text."""
 
@@ -29,8 +44,8 @@ class WordTokenizer:
         if max(vocabulary.values()) >= 2**16:
             raise ValueError("ids of this tokenizer need more than 16 bits")
         self.ends = np.zeros(2**16, bool)
-        for token, number in vocabulary.items():
-            self.ends[number] = token.endswith("</w>")
+        self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
+        self.cuts = _cuts_like_that(self.tokenizer)
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -61,9 +76,31 @@ class WordTokenizer:
         self.words.update(zip(other, self._encode([w.decode() for w in other]), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        out = []
+        out: list[bytes] = []
         for i in range(0, len(texts), 200):
-            parted = [text.split() for text in texts[i : i + 200]]
+            some = texts[i : i + 200]
+            strings = [text.decode("utf-8", "replace") for text in some] if self.cuts else []
+            usual = [not ("<|" in string or _UNUSUAL.search(string)) for string in strings] or [False] * len(some)
+            by_piece = iter(self._by_piece([s for s, u in zip(strings, usual, strict=False) if u]))
+            by_word = iter(self._by_word([t for t, u in zip(some, usual, strict=True) if not u]))
+            out += [next(by_piece if u else by_word) for u in usual]
+        return out
+
+    def _by_piece(self, strings: list[str]) -> list[bytes]:
+        cut = [_PIECES.findall(string.lower()) for string in strings]
+        distinct = set().union(*cut)
+        new = distinct - self.parts.keys()
+        if len(self.parts) + len(new) > WORD_CACHE:
+            self.words.clear()
+            self.parts.clear()
+            new = distinct
+        self._encode_parts(list(new))
+        return [b"".join(map(self.parts.__getitem__, pieces)) for pieces in cut]
+
+    def _by_word(self, texts: list[bytes]) -> list[bytes]:
+        out = []
+        if texts:
+            parted = [text.split() for text in texts]
             distinct = {word for words in parted for word in words}
             new = distinct - self.words.keys()
             if len(self.words) + len(new) > WORD_CACHE:
