@@ -59,7 +59,7 @@ def _set_bits(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.
         at, seen = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
         block = at >> BLOCK_BITS
         starts = np.flatnonzero(np.diff(block, prepend=-1))
-        ends = np.append(starts[1:], len(at))
+        ends = np.append(starts[1:], len(at))[: len(starts)]
         low = (at & (2**BLOCK_BITS - 1)).astype(np.uint16)
         rows = [(low[i:j].tobytes(), low[i:j][seen[i:j] > 1].tobytes()) for i, j in zip(starts, ends, strict=True)]
         yield pa.record_batch([pa.array(block[starts], pa.int64()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["block", "once", "twice"])
