@@ -238,7 +238,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch.table(bands.join(hubs, "band").select("band", "id", "hub"), passing=True)
     confirm = _Confirm(base.where("id is not null"), classes, k, percent, scratch)
     star = buckets.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirm(star)
+    # Rows of one id that differ are one document: their classes are linked.
+    several = known.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
+    same = known.join(several, "id").join(classes.select("digest", F.col("id").alias("b")), "digest").where("id <> b")
+    links = settle(confirm(star).union(same.select(F.col("id").alias("a"), "b").distinct()))
     tested = star
     for last in (False, True):
         apart = scratch.table(_labelled(buckets.select("band", "id"), links), passing=True)
