@@ -93,3 +93,33 @@ def test_packing_is_whole_and_tight(steps):
 def test_run_equals_the_stages(spark, steps):
     out = pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in out.collect()) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in steps["packing"][1])
+
+
+def _docs(spark, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], schema)
+
+
+def test_near_stage_keeps_rows_without_ids_and_one_row_of_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, text), (None, other), (None, None), (5, text), (5, text), (9, text), (9, other), (12, other), (20, None), (21, ""), (22, None)]
+    rows += [(30, "a text of its own, " + other[:20]), (30, "another text of its own, " + text[:20])]
+    kept = [(r.doc_id, r.text) for r in pipeline.near_stage(spark, _docs(spark, rows), SF).collect()]
+    # 9 is near 5 by one of its texts, and 12 near 9 by the other.
+    assert sorted(kept, key=str) == sorted([(None, text), (None, other), (None, None), (5, text), (20, None), (21, ""), (22, None), (30, "a text of its own, " + other[:20])], key=str)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in pipeline.STAGES])
+def test_stages_take_odd_rows(spark, name):
+    """Null ids and texts, empty and very long texts, repeated rows; and an empty table."""
+    stage, long = dict(pipeline.STAGES)[name], "A sentence of many words that goes on. " * 5000
+    rows = [(None, "no id here, but a text"), (None, None), (1, None), (2, ""), (3, "\n\n"), (4, long), (4, long), (7, "short text"), (7, "short text")]
+    out = stage(spark, _docs(spark, rows), SF)
+    assert out.count() <= (len(rows) if name != "packing" else 10_000)
+    if name in ("line_dedup", "decontaminate"):
+        assert out.count() == len(rows)
+    if name == "near_dedup":
+        assert out.count() == 7
+    empty = stage(spark, _docs(spark, rows).limit(0), SF)
+    assert empty.columns == out.columns and empty.count() == 0
