@@ -87,4 +87,7 @@ def test_likeness_counts_all_anchors_of_long_texts(spark):
     for i, j in [(1, 2), (2, 3), (3, 1)]:
         assert abs(out[i].near_next - len(of[i] & of[j]) / len(of[i] | of[j])) < 1e-4
     assert 0 < out[2].near_next < 0.01 and 0.99 < out[1].near_next < 1 and out[3].near_next == 0
-    assert all(len(r.fingerprint) == 8 * syncmers.HASHES for r in out.values())
+    # The likeness can be worked out from the fingerprints alone.
+    held = {i: {r.fingerprint[n : n + 8] for n in range(0, len(r.fingerprint), 8)} for i, r in out.items()}
+    for i, j in [(1, 2), (2, 3), (3, 1)]:
+        assert out[i].near_next == len(held[i] & held[j]) / len(held[i] | held[j])

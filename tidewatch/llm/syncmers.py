@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Words of a k-mer, and hashes of a fingerprint at most.
-K, HASHES = 5, 128
+#: Words of a k-mer.
+K = 5
 _SPACE = "[\\x20\\x09-\\x0D]+"
 #: Buckets of ids that neighbours are sought in, at most; their limits are the leaves of one expression.
 MAX_BUCKETS = 1024
@@ -57,8 +57,8 @@ def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def _text(hashes: str) -> Column:
-    """The fingerprint."""
-    return F.array_join(F.transform(F.slice(hashes, 1, HASHES), lambda x: F.lpad(F.hex(x.cast("bigint") + 2147483648), 8, "0")), "")
+    """The fingerprint: eight hex digits per hash, ascending."""
+    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x.cast("bigint") + 2147483648), 8, "0")), "")
 
 
 def _likeness(a: str, b: str) -> Column:
@@ -113,7 +113,7 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) per row.
 
     The edited text has the last half of the code points (rounded down) replaced by as many first ones of the next text.
-    Null texts count as empty; the likeness is over all anchors, and 1 of two texts without words. One row alone is its own next one.
+    Null texts count as empty; the likeness is that of the fingerprints, and 1 of two texts without words. One row alone is its own next one.
     """
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
