@@ -11,7 +11,7 @@ from tidewatch.rules import Rules
 from tidewatch.schema import AUDIT
 from tidewatch.sources import audit
 from tidewatch.sources.events import decode, decoded_events
-from tidewatch.streaming import detector, reorder, sinks
+from tidewatch.streaming import detector, packs, reorder, sinks
 from tidewatch.streaming.incidents import track_incidents_stream
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -250,3 +250,43 @@ def test_repeated_alert_lines_are_read_once(spark):
     assert sorted((r.timestamp_ms, r.rule, str(r.actual)) for r in got.collect()) == [
         (1000, "q", "2.0"), (1000, "r", "2.0"), (1000, "r", "3.0"), (1500, "r", "None"), (2000, "r", "2.0"),
     ]
+
+
+def test_waiting_rows_are_kept_in_packs(spark):
+    """State holds packs of rows, so neither it nor the engine handles single rows."""
+    rules = Rules(warmup_samples=5)
+    rows = [(i, (i + 60) * 1000, 100.0 + i % 3 if i % 17 else 500.0) for i in range(5000)]
+    ends = [(9000, 10**8, 100.0), (9001, 2 * 10**8, 100.0)]
+    parts = [_plain(spark, part) for part in (rows[2500:], rows[:2500], *([end] for end in ends))]
+    folder = fresh()
+    found = reorder.detect_alerts_in_order(stream_of(spark, parts, parts[0].schema, f"{folder}/in"), "2 hours", rules)
+    got, query = _written(found, folder)
+    want = detect.detect_alerts(_plain(spark, rows + ends), rules)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 3
+    assert 0 < max(s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]) < 200
+
+
+def test_rows_behind_the_scan_in_a_pack_in_time_are_counted(spark):
+    rules = Rules(warmup_samples=5)
+    rows = [(i, (i + 1) * 1000, 100.0 + i % 3) for i in range(40)]
+    late = (1000, 9_965_000, 900.0)
+    later = [[(999, 10_000_000, 100.0)], [(1001, 10_000_001, 100.0)], [late, (1002, 9_990_000, 100.0)], [(1003, 20_000_000, 100.0)], [(1004, 30_000_000, 900.0)]]
+    parts = [_plain(spark, part) for part in (rows, *later, [(1005, 40_000_000, 100.0)], [(1006, 50_000_000, 100.0)])]
+    folder, dropped = fresh(), spark.sparkContext.accumulator(0)
+    found = reorder.detect_alerts_in_order(stream_of(spark, parts, parts[0].schema, f"{folder}/in"), "30 seconds", rules, dropped)
+    got, _ = _written(found, folder)
+    want = detect.detect_alerts(_plain(spark, [*rows, *(r for part in later for r in part if r != late)]), rules)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect())) and got.count() > 0
+    assert dropped.value == 1
+
+
+def test_packs_hold_the_rows_of_one_series_and_cell(spark):
+    """The engine hands a state processor packs, not single rows."""
+    rows = detect.keyed_rows(_plain(spark, [(i, i * 500, float(i)) for i in range(20_000)])).coalesce(2)
+    got = packs.pack(rows, 600_000).collect()
+    assert len(got) <= 2 * 18
+    read = [(r, packs.read_rows([bytes(r.rows)]).to_pylist()) for r in got]
+    assert all({x["timestamp_ms"] // 600_000 for x in inner} == {r.from_ms // 600_000} for r, inner in read)
+    assert all((inner[0]["timestamp_ms"], inner[-1]["timestamp_ms"]) == (r.from_ms, r.to_ms) for r, inner in read)
+    back = sorted((x | {"series_key": r.series_key} for r, inner in read for x in inner), key=lambda x: x["event_id"])
+    assert back == [r.asDict() for r in rows.orderBy("event_id").collect()]

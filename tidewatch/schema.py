@@ -12,6 +12,7 @@ _TYPES = {
     "double": T.DoubleType(),
     "boolean": T.BooleanType(),
     "timestamp": T.TimestampType(),
+    "binary": T.BinaryType(),
     "strings": T.ArrayType(T.StringType()),
     "labels": T.MapType(T.StringType(), T.StringType()),
 }

@@ -3,8 +3,8 @@
 The arithmetic is that of the batch scan. Rows of a series are taken in order
 within a micro-batch and in arrival order across batches; nothing is dropped
 for being late, so the detector runs without a watermark and without timers.
-The rows of one series in one micro-batch are held in memory: bound the
-micro-batch at the source (``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
+Rows come in packs (``streaming.packs``), and those of one series in one
+micro-batch are held in memory: bound the micro-batch at the source (``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -23,6 +24,7 @@ from tidewatch.operators.detect import keyed_rows, scan_order
 from tidewatch.rules import Rules
 from tidewatch.schema import ALERT, record
 from tidewatch.session import STREAM_STATE_PROVIDER
+from tidewatch.streaming.packs import pack, read_rows
 
 STATE = record("seeded double, mean double, variance double, count double, errors double")
 STATE_NAME = "baseline_v1"
@@ -43,7 +45,11 @@ class AlertProcessor(StatefulProcessor):
             self.state = handle.getValueState(STATE_NAME, STATE, self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        yield self._scan(read_rows([bytes(p) for packs in rows for p in packs["rows"]]))
+
+    def _scan(self, rows: pa.Table) -> pd.DataFrame:
+        """The alerts of rows of the series, which move its state on."""
+        batch = rows.to_pandas().sort_values(self.order, kind="stable", ignore_index=True)
         before = list(self.state.get()) if self.state.exists() else None
         columns = {c: batch[c].to_numpy() for c in self.kernel.columns}
         columns["severity"] = batch["severity"].to_numpy(dtype=float, na_value=np.nan)
@@ -62,7 +68,7 @@ class AlertProcessor(StatefulProcessor):
                 "severity": np.where(deviates, "WARNING", "CRITICAL"),
             }
         )
-        yield pd.concat([self._over_limit(batch), alerts], ignore_index=True)
+        return pd.concat([self._over_limit(batch), alerts], ignore_index=True)
 
     def _over_limit(self, batch: pd.DataFrame) -> pd.DataFrame:
         limit = batch["metric_name"].map(self.kernel.rules.limits).to_numpy(dtype=float)
@@ -95,7 +101,7 @@ def alert_schema(events: DataFrame) -> T.StructType:
 def detect_alerts_stream(
     events: DataFrame, rules: Rules = Rules(), by_offset: bool = False, ttl_ms: int | None = None
 ) -> DataFrame:
-    """Alerts of a stream of EVENT records: one shuffle by series, one stateful operator.
+    """Alerts of a stream of EVENT records: one shuffle of packs by series, one stateful operator.
 
     A series without rows for ``ttl_ms`` starts anew; by default state is kept for good.
     With a time to live the stream follows the clock and has no end, so a trigger that
@@ -103,7 +109,7 @@ def detect_alerts_stream(
     """
     use_spilling_state(events)
     rows = keyed_rows(events)
-    return rows.groupBy("series_key").transformWithStateInPandas(
+    return pack(rows).groupBy("series_key").transformWithStateInPandas(
         statefulProcessor=AlertProcessor(rules, scan_order(rows, by_offset), ttl_ms),
         outputStructType=alert_schema(events),
         outputMode="append",
