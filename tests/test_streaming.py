@@ -290,3 +290,14 @@ def test_packs_hold_the_rows_of_one_series_and_cell(spark):
     assert all((inner[0]["timestamp_ms"], inner[-1]["timestamp_ms"]) == (r.from_ms, r.to_ms) for r, inner in read)
     back = sorted((x | {"series_key": r.series_key} for r, inner in read for x in inner), key=lambda x: x["event_id"])
     assert back == [r.asDict() for r in rows.orderBy("event_id").collect()]
+
+
+def test_state_has_no_more_partitions_than_cores_can_use(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        _, query = alerts_of(spark, [_plain(spark, [(1, 1, 1.0)])], _plain(spark, []).schema)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert query.lastProgress["stateOperators"][0]["numShufflePartitions"] <= 2 * spark.sparkContext.defaultParallelism
