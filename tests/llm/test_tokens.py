@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,3 +130,24 @@ def test_other_tokenizers_are_not_cut_by_the_rule(tmp_path):
     path = tmp_path / "t.json"
     path.write_text(json.dumps(settings_))
     assert not WordTokenizer(str(path)).cuts
+
+
+def test_texts_come_in_slices_of_bounded_size():
+    """A batch of many or long texts is worked on in parts, each row once and in order."""
+    from tidewatch.llm import common
+
+    documents = [None, "", "x" * common.SLICE_BYTES, "é" * common.SLICE_BYTES, *(["word " * 1000] * 1000), None]
+    batch = pa.record_batch([pa.array(range(len(documents))), pa.array(documents)], ["id", "text"])
+    got = list(common.texts(iter([batch, batch.slice(0, 0)]), "text"))
+    assert len(got) > 4 and got[-1] == (batch.slice(0, 0), [])
+    assert [k for rows, _ in got for k in rows.column("id").to_pylist()] == list(range(len(documents)))
+    assert [t for _, part in got for t in part] == [(t or "").encode() for t in documents]
+    assert all(sum(map(len, part[:-1])) <= common.SLICE_BYTES for _, part in got)
+
+
+def test_pieces_are_encoded_as_the_library_does():
+    tokenizer = WordTokenizer(PATH)
+    texts = ["Don't ''s 12ab!? Ärger-ÿ x's'tail (#) é'll", "a" * 300, "'s 't '''re", "!'s?'", "½"]
+    want = [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in tokenizer.ids([t.encode() for t in texts])] == want
+    assert tokenizer.cuts

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, texts
+from .common import Scratch, keyed, texts
 from .tokens import WordTokenizer
 
 CHUNK_BITS, RANK_STEP = 8, 512
@@ -112,10 +112,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1, id_co
     their ids. An empty table gives a dataset without segments.
     """
     spark = docs.sparkSession
-    # Texts are dealt by range before they are tokenized: the sampling of a range reads its input once more.
-    ordered = keyed(docs, id_col, text_col).repartitionByRange("id").sortWithinPartitions("id", "text")
-    codes = ordered.mapInArrow(lambda it: _tokenized(it, tokenizer, end), "id long, codes binary")
-    codes.mapInArrow(_segments, SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
+    # Codes are written and dealt by range, not texts: they are smaller, tasks are those of the scan, and the sampling of
+    # a range, which reads its input once more, does not tokenize again.
+    scratch = Scratch(spark)
+    codes = scratch.table(keyed(docs, id_col, text_col).mapInArrow(lambda it: _tokenized(it, tokenizer, end), "id long, codes binary"), passing=True)
+    ordered = codes.repartitionByRange("id").sortWithinPartitions("id", "codes")
+    ordered.mapInArrow(_segments, SEGMENTS).write.option("compression", "zstd").parquet(f"{path}/segments")
+    scratch.clear()
     sizes = spark.read.schema(SEGMENTS).parquet(f"{path}/segments").groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     starts = np.cumsum([0, *(r.n for r in sizes)])
     rows = [(r.part, int(s)) for r, s in zip(sizes, starts, strict=False)]

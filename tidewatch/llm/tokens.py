@@ -25,11 +25,12 @@ _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
 
 
 def _cuts_like_that(tokenizer) -> bool:
-    """The tokenizer lower-cases, and cuts texts by the rule above."""
+    """The tokenizer lower-cases, and cuts texts by the rule above and nothing else."""
     normalizer, cutter = (json.loads(part.__getstate__()) if part else {} for part in (tokenizer.normalizer, tokenizer.pre_tokenizer))
     steps = [n["type"] for n in normalizer.get("normalizers", [])]
     rules = [p["pattern"].get("Regex") for p in cutter.get("pretokenizers", []) if p["type"] == "Split"]
-    return steps == _NORMALIZERS and rules == [_RULE]
+    levels = [(p["add_prefix_space"], p["use_regex"]) for p in cutter.get("pretokenizers", []) if p["type"] == "ByteLevel"]
+    return steps == _NORMALIZERS and rules == [_RULE] and levels == [(False, False)] and len(cutter["pretokenizers"]) == 2
 
 
 class WordTokenizer:
@@ -37,7 +38,7 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -46,19 +47,24 @@ class WordTokenizer:
         self.ends = np.zeros(2**16, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self.cuts = _cuts_like_that(self.tokenizer)
+        #: For pieces that are cut and lower-cased already: the same model (shared), without doing it again.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _encode_parts(self, parts: list[str]) -> None:
+    def _encode_parts(self, parts: list[str], cut: bool = False) -> None:
         if not parts:
             return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u2")
-        ends = np.flatnonzero(self.ends[ids]) + 1
+        tokenizer = self.plain if cut else self.tokenizer
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u2")
+        ends = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()
         if len(ends) == len(parts):
-            self.parts.update(zip(parts, (ids[i:j].tobytes() for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+            codes = ids.tobytes()
+            self.parts.update(zip(parts, [codes[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)], strict=True))
         else:
             self.parts.update(zip(parts, self._encode(parts), strict=True))
 
@@ -89,12 +95,12 @@ class WordTokenizer:
     def _by_piece(self, strings: list[str]) -> list[bytes]:
         cut = [_PIECES.findall(string.lower()) for string in strings]
         distinct = set().union(*cut)
-        new = distinct - self.parts.keys()
+        new = distinct.difference(self.parts)
         if len(self.parts) + len(new) > WORD_CACHE:
             self.words.clear()
             self.parts.clear()
             new = distinct
-        self._encode_parts(list(new))
+        self._encode_parts(list(new), cut=True)
         return [b"".join(map(self.parts.__getitem__, pieces)) for pieces in cut]
 
     def _by_word(self, texts: list[bytes]) -> list[bytes]:
