@@ -8,6 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.schema import EVENT
 from tidewatch.sources import events as ev
@@ -238,3 +239,25 @@ def test_encoding_of_a_table(spark):
     got = [r.value for r in wire.encode_wire(df, ["event_id"]).collect()]
     assert [model(bytes(v))["event_id"] for v in got] == [r[0] for r in rows]
     assert wire.encode_wire(df.limit(0)).collect() == []
+
+
+def test_batches_are_written_like_single_records():
+    rng = random.Random(4)
+    kinds = {
+        T.StringType: lambda: rng.choice([None, "", "a", "é" * 70, "x" * 300]), T.LongType: lambda: rng.choice([None, 0, 1, 127, 128, -1, 2**63 - 1, -(2**63)]),
+        T.IntegerType: lambda: rng.choice([None, 0, 3, -2, 2**31 - 1]), T.DoubleType: lambda: rng.choice([None, 0.0, -0.0, 1.5, float('inf'), float('nan')]),
+        T.MapType: lambda: rng.choice([None, {}, {"": ""}, {"k": None, "l" * 200: "v"}]),
+    }
+
+    def payload(kind):
+        named = {f: rng.choice([None, *wire.NAMED[k, f], "17"]) for k, f in wire.NAMED if k == kind}
+        return {f.name: kinds[type(f.dataType)]() for f in EVENT[kind].dataType.fields} | named
+
+    rows = []
+    for _ in range(300):
+        row = {f.name: kinds[type(f.dataType)]() for f in EVENT.fields if f.name not in wire.PAYLOADS}
+        rows.append(row | {kind: payload(kind) if rng.random() < 0.4 else None for kind in wire.PAYLOADS})
+    schema = pa.schema([(f.name, wire._arrow(f.dataType)) for f in EVENT.fields])
+    batch = pa.RecordBatch.from_pylist([r | {k: v | {f: list(m.items()) for f, m in v.items() if isinstance(m, dict)} for k, v in r.items() if isinstance(v, dict)} for r in rows], schema)
+    for part, records in ((batch, rows), (batch.slice(7, 100), rows[7:107]), (batch.slice(0, 0), [])):
+        assert wire.encode_batch(part).to_pylist() == [wire.encode_event(r) for r in records]
