@@ -458,3 +458,11 @@ def test_names_and_ranks(spark):
 def test_anomaly_words(spark, value):
     df = spark.createDataFrame([(value,)], "t string")
     assert df.select(text.mentions_anomaly(F.col("t"))).first()[0] == (value != "nothing")
+
+
+def test_size_of_diagnoses_is_one_aggregate(spark):
+    """One row of state per diagnosis, not one per diagnosis and list."""
+    from tidewatch.plans import diagnoses
+
+    plan = diagnoses.diagnosis_size(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1

@@ -212,22 +212,18 @@ def diagnosis_size(headers: DataFrame, children: dict[str, DataFrame], rules: Ru
     given = {"root_cause", "tools_used", "anomaly_type", "detected_at"}
     by_name = {n: F.col(n) for n in given} | dict(zip(children, empty, strict=True))
     head = F.struct(*[by_name[n].alias(n) for n in DIAGNOSIS.names if n in by_name])
-    parts = headers.select("diagnosis_id", F.lit("").alias("kind"), (F.length(F.to_json(head, texts)) + 1).alias("chars"))
-    for name, table in children.items():
+    # Every list, and the header, has a bit of its own.
+    parts = headers.select("diagnosis_id", F.lit(1).alias("list"), (F.length(F.to_json(head, texts)) + 1).alias("chars"))
+    for i, (name, table) in enumerate(children.items(), 1):
         kind = DIAGNOSIS[name].dataType.elementType
         if isinstance(kind, T.StructType):
             row = F.length(F.to_json(F.struct(*[F.col(f) for f in kind.names]), texts))
         else:
             # Quotes around a text, whose escapes show in an object that holds it.
             row = F.length(F.to_json(F.struct(F.col("evidence").alias("e")), texts)) - len('{"e":}')
-        parts = parts.unionByName(table.select("diagnosis_id", F.lit(name).alias("kind"), (row + 1).alias("chars")))
+        parts = parts.unionByName(table.select("diagnosis_id", F.lit(1 << i).alias("list"), (row + 1).alias("chars")))
     # The first row of each list has no comma before it, and neither has the header.
-    sized = (
-        parts.groupBy("diagnosis_id", "kind")
-        .agg((F.sum("chars") - 1).alias("chars"))
-        .groupBy("diagnosis_id")
-        .agg(F.sum("chars").alias("chars"))
-    )
+    sized = parts.groupBy("diagnosis_id").agg((F.sum("chars") - F.bit_count(F.bit_or("list"))).alias("chars"))
     return _with_reason(sized, rules)
 
 
