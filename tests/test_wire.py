@@ -261,3 +261,18 @@ def test_batches_are_written_like_single_records():
     batch = pa.RecordBatch.from_pylist([r | {k: v | {f: list(m.items()) for f, m in v.items() if isinstance(m, dict)} for k, v in r.items() if isinstance(v, dict)} for r in rows], schema)
     for part, records in ((batch, rows), (batch.slice(7, 100), rows[7:107]), (batch.slice(0, 0), [])):
         assert wire.encode_batch(part).to_pylist() == [wire.encode_event(r) for r in records]
+
+
+def test_writing_a_batch_holds_no_record_as_an_object():
+    import tracemalloc
+
+    schema = pa.schema([(f.name, wire._arrow(f.dataType)) for f in EVENT.fields])
+    metric = {"metric_name": "m", "value": 1.5, "unit": "ms", "component": "c", "tags": [("k", "v")]}
+    batch = pa.RecordBatch.from_pylist([{"event_id": str(i), "timestamp_ms": i, "source": "s", "metric": metric} for i in range(10_000)], schema)
+    tracemalloc.start()
+    try:
+        encoded = wire.encode_batch(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(encoded) == 10_000 and peak < 6 << 20
