@@ -132,3 +132,28 @@ def test_a_long_text_is_searched_across_its_pieces(monkeypatch):
         text = " ".join(words(rng, 500))[:before] + " " + held + " " + "q" * 300
         found = block.confirmed(["", text], block.candidates(["", text]), 0.2)
         assert found[1].keys() == {5, 6} and not found.get(0)
+
+
+def test_normal_text_is_its_tokens_joined():
+    rng = random.Random(8)
+    alphabet = ["a", "B", "é", " ", "-", "'", ".", "?", " ", "\n", "\t", "\x0b", "\x1c", "\x85"]
+    for _ in range(3000):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 14))).encode()
+        assert decontaminate.normal(text) == b" ".join(decontaminate.tokens_of(text))
+    assert decontaminate.normal(b"a" + b"-" * 300_000 + b"b") == b"a" + b"-" * 300_000 + b"b"  # in linear time
+
+
+def test_whole_distances_are_found_for_near_pairs_only():
+    rng = random.Random(9)
+    pairs, near = [], set()
+    for n in (3, 9, 20, 40, 60):
+        for _ in range(30):
+            item, around = " ".join(words(rng, n)), words(rng, n)
+            held = typos(rng, item, rng.choice([0.02, 0.1, 0.19]))
+            pairs += [(item, " ".join(around)), (item, " ".join([*around[: n // 2], held, *around[n // 2 :]])), (item, held), (item, "")]
+    for pair in pairs:
+        if decontaminate.distance_within(*pair)[0] <= int(0.2 * len(pair[0])):
+            near.add(pair)
+    left = decontaminate.possible(pairs, 0.2)
+    assert near <= set(left) and len(near) > 200
+    assert all(pair in near for pair in left if len(pair[0]) > 64)

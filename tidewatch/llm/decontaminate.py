@@ -13,6 +13,7 @@ Items are broadcast in blocks of bounded size.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -39,8 +40,12 @@ TOGETHER = 1_000_000
 #: Pairs, and pairs times characters, whose edit distances are found in step.
 LANES, CELLS = 2048, 2_000_000
 #: Characters of candidates that a task holds before it measures them.
-HELD_CHARS = 64_000_000
+HELD_CHARS = 32_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPACES = b" \t\n\r\x0b\x0c"
+_MARK, _SPACE = (b"[" + re.escape(x) + b"]" for x in (_EDGES, _SPACES))
+#: Begins where marks begin, so that a long run of marks without white space is read once.
+_BETWEEN = re.compile(b"(?<!" + _MARK + b")" + _MARK + b"*+" + _SPACE + b"[" + re.escape(_EDGES + _SPACES) + b"]*+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = 2**62
 
@@ -49,6 +54,11 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [w for word in words_of(text) if (w := word.strip(_EDGES))]
 
 
+def normal(text: bytes) -> bytes:
+    """The tokens of a text joined by spaces: what stands between two words is one run of marks and white space."""
+    return _BETWEEN.sub(b" ", text.lower().strip(_EDGES + _SPACES))
+
+
 @lru_cache(maxsize=65536)
 def asked(length: int, edits: int) -> tuple[int, int]:
     """(characters of a gram, hits to ask for) of an item of that length with so many edits at most.
@@ -185,17 +195,21 @@ def distance_within(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
-def _together(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
-    """The same distance for pairs whose items have as many blocks of 64 characters, one character of all texts at a time."""
-    lengths, lanes = np.array([len(item) for item, _ in pairs], np.int64), len(pairs)
-    rows = np.empty((max(len(text) for _, text in pairs), lanes), np.int64)
+def _lanes(pairs: list[tuple[str, str]], blocks: int, last: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, masks): for each character of all texts, the row of masks that holds its places in the lane's item.
+
+    last: an item's last character has the highest bit, and the bits below its first are set.
+    """
+    rows = np.empty((max(len(text) for _, text in pairs), len(pairs)), np.int64)
     known: dict[str, tuple[int, np.ndarray]] = {}
     tables, size = [], 0
     for lane, (item, text) in enumerate(pairs):
         if item not in known:
             letters, which = np.unique(np.frombuffer(item.encode("utf-32-le"), np.uint32), return_inverse=True)
-            at = np.arange(len(item))
+            unused = 64 * blocks - len(item) if last else 0
+            at = np.arange(len(item)) + unused
             table = np.zeros((len(letters) + 1, blocks), np.uint64)
+            table[:, 0] = (1 << unused) - 1
             np.bitwise_or.at(table, (which + 1, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
             known[item] = size, letters
             tables.append(table)
@@ -205,7 +219,14 @@ def _together(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
         at = np.minimum(np.searchsorted(letters, own), len(letters) - 1)
         rows[:, lane] = start  # of no letter of the item; so is what follows a shorter text, which lowers no distance
         rows[: len(own), lane] += np.where(letters[at] == own, at + 1, 0)
-    masks, one, top = np.concatenate(tables), np.uint64(1), np.uint64(63)
+    return rows, np.concatenate(tables)
+
+
+def _together(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
+    """The same distance for pairs whose items have as many blocks of 64 characters, one character of all texts at a time."""
+    lengths, lanes = np.array([len(item) for item, _ in pairs], np.int64), len(pairs)
+    rows, masks = _lanes(pairs, blocks)
+    one, top = np.uint64(1), np.uint64(63)
     up, down = np.full((blocks, lanes), ~np.uint64(0)), np.zeros((blocks, lanes), np.uint64)
     score, best, end = lengths.copy(), lengths.copy(), ((lengths - 1) & 63).astype(np.uint64)
     for row in rows:
@@ -225,6 +246,38 @@ def _together(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
     return best
 
 
+def _single(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The same for items of one block."""
+    rows, masks = _lanes(pairs, 1, last=True)
+    masks, one, top = masks[:, 0], np.uint64(1), np.int64(63)
+    score = np.array([len(item) for item, _ in pairs], np.int64)
+    best, down = score.copy(), np.zeros(len(pairs), np.uint64)
+    up = np.array([(2**64 - 1) ^ ((1 << 64 - len(item)) - 1) for item, _ in pairs], np.uint64)
+    equal, vertical, across, plus = (np.empty(len(pairs), np.uint64) for _ in range(4))
+    change, signed = np.empty(len(pairs), np.int64), plus.view(np.int64)
+    for row in rows:
+        np.take(masks, row, out=equal, mode="clip")
+        np.bitwise_or(equal, down, out=vertical)
+        np.bitwise_and(equal, up, out=across)
+        across += up
+        across ^= up
+        across |= equal
+        np.bitwise_or(across, up, out=plus)
+        np.invert(plus, out=plus)
+        plus |= down
+        across &= up  # what falls from here on
+        score -= np.right_shift(signed, top, out=change)
+        score += np.right_shift(across.view(np.int64), top, out=change)
+        np.minimum(best, score, out=best)
+        np.left_shift(plus, one, out=plus)
+        np.left_shift(across, one, out=across)
+        np.bitwise_or(vertical, plus, out=up)
+        np.invert(up, out=up)
+        up |= across
+        np.bitwise_and(plus, vertical, out=down)
+    return best
+
+
 def distances_within(pairs: list[tuple[str, str]]) -> list[int]:
     """The edits of distance_within for many pairs: in lanes where enough items are of a size, else one by one."""
     out = [0] * len(pairs)
@@ -238,13 +291,32 @@ def distances_within(pairs: list[tuple[str, str]]) -> list[int]:
         if len(part) < 12 * blocks:
             found = [distance_within(*pairs[i])[0] for i in part]
         else:
-            found = _together([pairs[i] for i in part], blocks).tolist()
+            some = [pairs[i] for i in part]
+            found = (_single(some) if blocks == 1 else _together(some, blocks)).tolist()
         for i, edits in zip(part, found, strict=True):
             out[i] = edits
         at += len(part)
     return out
 
 
+def possible(pairs: list[tuple[str, str]], max_edits: float) -> list[tuple[str, str]]:
+    """Those pairs whose distance may be within max_edits of the item's characters.
+
+    An item's distance is no less than the sum of those of its pieces of 64 characters, each in the part of the text that
+    it can reach: before and after it stand the other pieces, longer or shorter by the edits at most.
+    """
+    out = [pair for pair in pairs if len(pair[0]) <= 64]
+    left = [(item, text, int(max_edits * len(item)), 0) for item, text in pairs if len(item) > 64]
+    first = 0
+    while left:
+        parts = [(item[first : first + 64], text[max(0, first - edits) : max(0, len(text) - max(0, len(item) - first - 64) + edits)]) for item, text, edits, _ in left]
+        least = [(*pair[:3], pair[3] + distance) for pair, distance in zip(left, distances_within(parts), strict=True)]
+        first += 64
+        out += [(item, text) for item, text, edits, low in least if low <= edits and len(item) <= first]
+        left = [pair for pair in least if pair[3] <= pair[2] and len(pair[0]) > first]
+    return out
+
+
 @dataclass
 class Items:
     """A block of benchmark items with their grams."""
@@ -257,9 +329,9 @@ class Items:
     def of(rows: list[tuple[int, bytes]], max_edits: float = MAX_EDITS) -> Items:
         out, by_gram = Items(), defaultdict(list)
         for number, text in rows:
-            if words := tokens_of(text):
+            if words := normal(text):
                 out.ids.append(number)
-                out.texts.append(b" ".join(words).decode())
+                out.texts.append(words.decode())
         for index in sorted(range(len(out.ids)), key=lambda i: len(out.texts[i])):
             item = out.texts[index]
             edits = int(max_edits * len(item))
@@ -293,7 +365,8 @@ class Items:
         size = 0
 
         def measure() -> None:
-            for (item, around), edits in zip(left, distances_within(list(left)), strict=True):
+            pairs = possible(list(left), max_edits)
+            for (item, around), edits in zip(pairs, distances_within(pairs), strict=True):
                 if edits <= int(max_edits * len(item)):
                     for own, number in left[item, around]:
                         out[own][number] = min(edits, out[own].get(number, edits))
@@ -331,7 +404,7 @@ def _checked(batches: Iterator[pa.RecordBatch], items: object, max_edits: float)
     block = items.value
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
     for batch, documents in texts(batches, "text"):
-        plain = [b" ".join(tokens_of(text)).decode() for text in documents]
+        plain = [normal(text).decode() for text in documents]
         tried: dict[int, set[tuple[int, int, int]]] = {}
         if block.ids:
             for first, part in _together_by_size(plain):
