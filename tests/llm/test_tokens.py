@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidewatch.llm import dac, packing
+from tidewatch.llm import dac, packing, tokens
 from tidewatch.llm.tokens import WordTokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -151,3 +151,27 @@ def test_pieces_are_encoded_as_the_library_does():
     want = [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u2").tolist() for x in tokenizer.ids([t.encode() for t in texts])] == want
     assert tokenizer.cuts
+
+
+def test_a_word_is_cut_once_for_many_texts(monkeypatch):
+    cut = []
+
+    class Cutter:
+        def findall(self, text, own=tokens._CUT):
+            cut.append(text)
+            return own.findall(text)
+
+    monkeypatch.setattr(tokens, "_CUT", Cutter())
+    texts = ["it's some, WORDS 12 été\x0b-- some,", "", " ", "\tsome words it's", "12 été"] * 200
+    tokenizer = WordTokenizer(PATH)
+    found = [np.frombuffer(x, "<u2").tolist() for x in tokenizer.ids([t.encode() for t in texts])]
+    assert found == [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(" ".join(cut).split()) == sorted(["it's", "some,", "words", "12", "été", "--", "some"])
+
+
+def test_ids_are_whole_when_the_table_of_pieces_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "WORD_CACHE", 7)
+    tokenizer = WordTokenizer(PATH)
+    for texts in (["one two, three", "four"], ["five six", "two, one"], ["seven éé eight nine"], ["two one", "ten's eleven", "Čech"], ["four"]):
+        found = [np.frombuffer(x, "<u2").tolist() for x in tokenizer.ids([t.encode() for t in texts])]
+        assert found == [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
