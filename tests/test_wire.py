@@ -276,3 +276,33 @@ def test_writing_a_batch_holds_no_record_as_an_object():
     finally:
         tracemalloc.stop()
     assert len(encoded) == 10_000 and peak < 6 << 20
+
+
+def test_memory_does_not_grow_with_the_length_of_messages():
+    import tracemalloc
+
+    log = {"severity": 2, "message": "é" * 4000, "component": "c", "context": [("k", "v" * 500)]}
+    values = [wire.encode_event({"event_id": str(i), "source": "s", "log": log}) if i % 7 else [None, b"", b"\x0a\x05"][i % 3] for i in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(values, pa.binary())], names=["n", "value"])
+    numbers, wrong = [], 0
+    tracemalloc.start()
+    try:
+        for part in wire._decoded(iter([batch]), "value", "event"):
+            numbers += part.column("n").to_pylist()
+            wrong += sum(e != f for e, f in zip(part.column("event").is_valid().to_pylist(), [v not in (None, b"\x0a\x05") for v in part.column("value").to_pylist()], strict=True))
+            assert {len(x) for x in part.column("event").field("log").field("message").drop_null().to_pylist()} <= {0, 4000}
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (numbers, wrong) == (list(range(5000)), 0) and batch.nbytes > 30 << 20
+    assert peak < 20 * wire.PART_BYTES, peak
+
+
+def test_parts_of_a_batch_decode_like_the_whole(monkeypatch):
+    values = pa.array([wire.encode_event(e) for e in EVENTS] + [None, b"", b"nope"], pa.binary())
+    batch = pa.RecordBatch.from_arrays([values], names=["value"])
+    whole = list(map(str, wire.decode_batch(values).to_pylist()))  # as text: one value is not a number
+    monkeypatch.setattr(wire, "PART_BYTES", 64)
+    parts = list(wire._decoded(iter([batch, batch.slice(0, 0)]), "value", "event"))
+    assert [str(e) for part in parts for e in part.column("event").to_pylist()] == whole
+    assert len(parts) > 3 and list(map(str, wire.decode_batch(values.slice(2, 3)).to_pylist())) == whole[2:5]
