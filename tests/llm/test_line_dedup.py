@@ -1,5 +1,9 @@
 import random
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewatch.llm import line_dedup
@@ -35,3 +39,15 @@ def test_a_full_filter_changes_no_result(spark, monkeypatch):
     docs = [(i, "\n".join(f"a line of its own, number {rng.random()} in a list" for _ in range(40)) + "\n" + lines(rng, 4)) for i in range(40)]
     out = line_dedup.drop_repeated_lines(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in out.collect()) == sorted(brute.deduped(docs))
+
+
+def test_the_filter_is_held_once():
+    """A task looks lines up in the filter that it is given, and makes no other of that size."""
+    batch = pa.record_batch([pa.array([1]), pa.array(["a line of the corpus that is long enough to count"])], ["id", "text"])
+    bits = np.full(2 ** (line_dedup.FILTER_BITS - 3), 255, np.uint8)
+    given = SimpleNamespace(value=bits)
+    tracemalloc.start()
+    (found,) = line_dedup._suspects(iter([batch]), 40, line_dedup.FILTER_BITS, given)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.num_rows == 1 and peak < bits.nbytes / 2

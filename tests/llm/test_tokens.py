@@ -175,3 +175,23 @@ def test_ids_are_whole_when_the_table_of_pieces_is_full(monkeypatch):
     for texts in (["one two, three", "four"], ["five six", "two, one"], ["seven éé eight nine"], ["two one", "ten's eleven", "Čech"], ["four"]):
         found = [np.frombuffer(x, "<u2").tolist() for x in tokenizer.ids([t.encode() for t in texts])]
         assert found == [tokenizer.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_new_pieces_are_encoded_some_at_a_time(monkeypatch):
+    """What the library takes while it encodes does not grow with the new words of some texts."""
+    monkeypatch.setattr(tokens, "PIECES", 50)
+    words = [a + b + c for a in "bcdfgh" for b in "aeiou" for c in "klmnpqrst"]
+    own, most = WordTokenizer(PATH), []
+
+    class Watched:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, strings, **options):
+            most.append(max(len(s.split()) for s in strings))
+            return self.tokenizer.encode_batch_fast(strings, **options)
+
+    own.plain = Watched(own.plain)
+    text = " ".join(words)
+    assert np.frombuffer(own.ids([text.encode()])[0], "<u2").tolist() == whole(text)
+    assert len(most) > 4 and max(most) <= 50

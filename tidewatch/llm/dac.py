@@ -75,7 +75,7 @@ def access(levels: list[bytes], marks: list[bytes], ranks: list[bytes], at: np.n
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     tokenizer, last = WordTokenizer(path), np.array([end], "<u2").tobytes()
-    for batch, documents in texts(batches, "text"):
+    for batch, documents in texts(batches, "text", tokenizer):
         codes = [ids + last for ids in tokenizer.ids(documents)]
         yield pa.record_batch([batch.column("id"), pa.array(codes, pa.binary())], ["id", "codes"])
 

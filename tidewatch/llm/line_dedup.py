@@ -44,17 +44,17 @@ def _digests(text: bytes, min_chars: int) -> dict[bytes, bytes]:
     return {line: xxhash.xxh3_128_digest(key) for line, key in keys if _long(key, min_chars)}
 
 
-def _positions(digests: bytes) -> np.ndarray:
-    """Positions of each 16-byte digest in the filter, one column per probe."""
+def _positions(digests: bytes, filter_bits: int) -> np.ndarray:
+    """Positions of each 16-byte digest in a filter of 2^filter_bits bits, one column per probe."""
     halves = np.frombuffer(digests, np.uint64).reshape(-1, 2)
     probes = halves[:, :1] + halves[:, 1:] * np.arange(PROBES, dtype=np.uint64)
-    return (probes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    return (probes >> np.uint64(64 - filter_bits)).astype(np.int64)
 
 
-def _set_bits(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+def _set_bits(batches: Iterator[pa.RecordBatch], min_chars: int, filter_bits: int) -> Iterator[pa.RecordBatch]:
     """(block, offsets seen once, offsets seen twice) of each batch of documents."""
     for _, documents in texts(batches, "text"):
-        own = [_positions(b"".join(set(_digests(text, min_chars).values()))).ravel() for text in documents]
+        own = [_positions(b"".join(set(_digests(text, min_chars).values())), filter_bits).ravel() for text in documents]
         own = [np.unique(x) for x in own]
         at, seen = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
         block = at >> BLOCK_BITS
@@ -86,16 +86,13 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _suspects(batches: Iterator[pa.RecordBatch], min_chars: int, seen_twice: object) -> Iterator[pa.RecordBatch]:
-    blocks = seen_twice.value
-    bits = np.zeros(2 ** (FILTER_BITS - 3), np.uint8)
-    for block, packed in blocks.items():
-        bits[block << (BLOCK_BITS - 3) : (block + 1) << (BLOCK_BITS - 3)] = np.frombuffer(packed, np.uint8)
+def _suspects(batches: Iterator[pa.RecordBatch], min_chars: int, filter_bits: int, seen_twice: object) -> Iterator[pa.RecordBatch]:
+    bits = seen_twice.value
     for batch, documents in texts(batches, "text"):
         ids, digests = [], []
         for key, text in zip(batch.column("id").to_pylist(), documents, strict=True):
             if own := list(set(_digests(text, min_chars).values())):
-                at = _positions(b"".join(own))
+                at = _positions(b"".join(own), filter_bits)
                 hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
                 found = [own[i] for i in np.flatnonzero(hit)]
                 ids += [key] * len(found)
@@ -124,12 +121,16 @@ def _kept(batches: Iterator[pa.RecordBatch], min_chars: int, repeats: object) ->
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, min_chars: int, min_documents: int) -> DataFrame:
     """(digest, keep) of each long line found in enough documents; docs has id and text."""
-    spark = docs.sparkSession
+    spark, filter_bits = docs.sparkSession, FILTER_BITS
     with_id = docs.where("id is not null")
-    parts = with_id.mapInArrow(lambda it: _set_bits(it, min_chars), "block long, once binary, twice binary")
+    parts = with_id.mapInArrow(lambda it: _set_bits(it, min_chars, filter_bits), "block long, once binary, twice binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_joined, "block long, bits binary")
-    seen_twice = spark.sparkContext.broadcast({r.block: bytes(r.bits) for r in merged.toLocalIterator()})
-    suspects = with_id.mapInArrow(lambda it: _suspects(it, min_chars, seen_twice), "id long, digest binary")
+    # Put together here, as each worker that looks lines up then holds the filter once.
+    bits = np.zeros(2 ** (filter_bits - 3), np.uint8)
+    for r in merged.toLocalIterator():
+        bits[r.block << (BLOCK_BITS - 3) : (r.block + 1) << (BLOCK_BITS - 3)] = np.frombuffer(r.bits, np.uint8)
+    seen_twice = spark.sparkContext.broadcast(bits)
+    suspects = with_id.mapInArrow(lambda it: _suspects(it, min_chars, filter_bits, seen_twice), "id long, digest binary")
     # Rows of one document count once; the partial sums keep a line of a third of all documents to a row per task.
     found = suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("documents"), F.max("id").alias("keep"))
     return scratch.table(found.where(F.col("documents") >= min_documents).select("digest", "keep"))

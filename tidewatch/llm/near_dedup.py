@@ -78,7 +78,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch, documents in texts(batches, "text"):
+    for batch, documents in texts(batches, "text", hashes):
         sizes, digests, sketches = [], [], []
         for text in documents:
             shingles = shingle_set(hashes.of(words_of(text)), k)
@@ -107,7 +107,7 @@ def _estimated(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.R
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch, documents in texts(batches, "text"):
+    for batch, documents in texts(batches, "text", hashes):
         sets = [shingle_set(hashes.of(words_of(text)), k).tobytes() for text in documents]
         yield pa.record_batch([batch.column("id"), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], ["id", "digest", "set"])
 
@@ -163,7 +163,7 @@ def least_common(x: int, y: int, percent: int) -> int:
 
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch, documents in texts(batches, "text"):
+    for batch, documents in texts(batches, "text", hashes):
         for key, text in zip(batch.column("id").to_pylist(), documents, strict=True):
             found = shingle_set(hashes.of(words_of(text)), k)
             whole = np.int64(xxhash.xxh3_64_intdigest(found.tobytes()) >> 1)

@@ -71,7 +71,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int,
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
     tokenizer, last = WordTokenizer(path), np.array([end], "<u2").tobytes()
-    for batch, documents in texts(batches, "text"):
+    for batch, documents in texts(batches, "text", tokenizer):
         rows = []
         for key, codes in zip(batch.column("id").to_pylist(), tokenizer.ids(documents), strict=True):
             tokens = np.frombuffer(codes + last, "<u2").astype("<u4")

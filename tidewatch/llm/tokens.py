@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import WORD_CACHE
+from .common import WORD_CACHE, give_back
 
+#: Pieces that are encoded together; the library takes about a KB for each until it is done.
+PIECES = 10_000
 #: Anything but white space, printable ASCII and the letters of Latin-1 that have both cases there.
 _UNUSUAL = re.compile("[^\\t-\\r\x20-~À-ÖØ-öø-þ]")
 #: How the tokenizer cuts lower-cased texts of such characters; its own rule is the value below, for all characters.
@@ -61,13 +63,21 @@ class WordTokenizer:
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        del vocabulary
+        give_back()
+
+    def clear(self) -> None:
+        self.words.clear()
+        self.parts.clear()
 
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _encode_parts(self, parts: list[str], cut: bool = False) -> None:
-        if not parts:
-            return
+        for i in range(0, len(parts), PIECES):
+            self._encode_some(parts[i : i + PIECES], cut)
+
+    def _encode_some(self, parts: list[str], cut: bool) -> None:
         tokenizer, joined = self.tokenizer, " ".join(parts)
         if cut:
             tokenizer, joined = self.plain, _LEVEL[np.frombuffer(joined.encode(), np.uint8)].tobytes().decode("utf-16-le")
