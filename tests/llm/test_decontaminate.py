@@ -157,3 +157,34 @@ def test_whole_distances_are_found_for_near_pairs_only():
     left = decontaminate.possible(pairs, 0.2)
     assert near <= set(left) and len(near) > 200
     assert all(pair in near for pair in left if len(pair[0]) > 64)
+
+
+def test_texts_are_normalised_together_as_alone():
+    rng = random.Random(12)
+    alphabet = ["a", "B", "é", "😀", " ", "-", "'", ".", "?", " ", "\n", "\t", "\x0b", "\x1c", "\x85"]
+    for n in (0, 1, 2, 700):
+        some = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 14))).encode() for _ in range(n)]
+        assert decontaminate.normals(some) == [b" ".join(decontaminate.tokens_of(text)) for text in some]
+
+
+def test_pairs_and_bands_are_not_worked_on_one_by_one(monkeypatch):
+    rng = random.Random(13)
+    searches = []
+    search = decontaminate.np.searchsorted
+    monkeypatch.setattr(decontaminate.np, "searchsorted", lambda *args, **more: searches.append(1) or search(*args, **more))
+    pairs = [(" ".join(words(rng, 6)), " ".join(words(rng, 20))) for _ in range(400)]
+    assert decontaminate.distances_within(pairs) == [decontaminate.distance_within(a, b)[0] for a, b in pairs]
+    items = [" ".join(words(rng, 20)) for _ in range(40)]
+    texts = [typos(rng, rng.choice(items), 0.1) for _ in range(400)]
+    block = decontaminate.Items.of([(j, item.encode()) for j, item in enumerate(items)])
+    found = block.confirmed(texts, block.candidates(texts), 0.2)
+    assert sum(map(bool, found.values())) == len(texts)
+    assert len(searches) < 100
+
+
+def test_lanes_of_large_alphabets_equal_single_ones(monkeypatch):
+    rng = random.Random(14)
+    monkeypatch.setattr(decontaminate, "CELLS", 3000)
+    pairs = [("".join(chr(rng.randrange(0x4E00, 0x4E80)) for _ in range(n)), "".join(chr(rng.randrange(0x4DF0, 0x4E90)) for _ in range(rng.randrange(0, 2 * n)))) for n in (5, 64, 70) for _ in range(80)]
+    pairs += [(a, b[:5] + a[3:] + b) for a, b in pairs[::5]]
+    assert decontaminate.distances_within(pairs) == [decontaminate.distance_within(a, b)[0] for a, b in pairs]

@@ -13,11 +13,12 @@ Items are broadcast in blocks of bounded size.
 
 from __future__ import annotations
 
-import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 from math import lgamma
 
 import numpy as np
@@ -37,15 +38,16 @@ BLOCK_CHARS = 16_000_000
 GROUP, PIECE, HITS = 256, 2**16, 2_000_000
 #: Characters of documents that are searched together.
 TOGETHER = 1_000_000
-#: Pairs, and pairs times characters, whose edit distances are found in step.
+#: Pairs, and pairs times characters, whose edit distances are found in step; entries of a table of all items and letters.
 LANES, CELLS = 2048, 2_000_000
 #: Characters of candidates that a task holds before it measures them.
 HELD_CHARS = 32_000_000
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACES = b" \t\n\r\x0b\x0c"
-_MARK, _SPACE = (b"[" + re.escape(x) + b"]" for x in (_EDGES, _SPACES))
-#: Begins where marks begin, so that a long run of marks without white space is read once.
-_BETWEEN = re.compile(b"(?<!" + _MARK + b")" + _MARK + b"*+" + _SPACE + b"[" + re.escape(_EDGES + _SPACES) + b"]*+")
+_MARK, _SPACE = 1, 2
+_KINDS = bytes(_MARK if c in _EDGES else _SPACE if c in _SPACES else 0 for c in range(256))
+#: Stands in no UTF-8 text.
+_BREAK = b"\xff"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = 2**62
 
@@ -54,9 +56,32 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [w for word in words_of(text) if (w := word.strip(_EDGES))]
 
 
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, one range after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
+
+
+def normals(texts: list[bytes]) -> list[bytes]:
+    """The tokens of each text joined by spaces: what stands between two words is one run of marks and white space."""
+    if not texts:
+        return []
+    whole = b"\n" + (b"\n" + _BREAK + b"\n").join(texts).lower() + b"\n"
+    out, kinds = np.frombuffer(whole, np.uint8).copy(), np.frombuffer(whole.translate(_KINDS), np.uint8)
+    kept = kinds == 0
+    turns = np.flatnonzero(kept[1:] != kept[:-1]) + 1  # a run begins and one ends the whole
+    starts, ends = np.append(0, turns[1::2]), np.append(turns[::2], len(kept))
+    spaced = np.maximum.reduceat(kinds, starts) == _SPACE
+    kept[starts[spaced]], out[starts[spaced]] = True, ord(" ")
+    kept[_ranges(starts[~spaced], (ends - starts)[~spaced])] = True
+    parts = out[kept].tobytes().split(_BREAK)
+    if len(parts) != len(texts):
+        raise ValueError("a text is not UTF-8")
+    return [part[1:-1] for part in parts]
+
+
 def normal(text: bytes) -> bytes:
-    """The tokens of a text joined by spaces: what stands between two words is one run of marks and white space."""
-    return _BETWEEN.sub(b" ", text.lower().strip(_EDGES + _SPACES))
+    return normals([text])[0]
 
 
 @lru_cache(maxsize=65536)
@@ -94,6 +119,12 @@ def _grams(codes: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys in order; by sorting, which is quicker here than the hash table of np.unique."""
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.diff(keys, prepend=-1))]
+
+
 class Group:
     """Some items with grams of one size: where each gram stands in them."""
 
@@ -109,57 +140,70 @@ class Group:
         # Grams of the same slot count as equal: that adds hits and takes none.
         slots = (keys >> self.bits).astype(np.int64)
         order = np.argsort(slots, kind="stable")
-        self.first = np.append(0, np.cumsum(np.bincount(slots, minlength=2 ** (64 - int(self.bits))))).astype(np.int32)
+        filled = np.bincount(slots, minlength=2 ** (64 - int(self.bits)))
+        self.first = np.append(0, np.cumsum(filled)).astype(np.int32)
+        self.filled = np.packbits(filled > 0, bitorder="little")  # of a size that caches hold
         counts = np.maximum(0, self.lengths - gram + 1)
         self.owners = np.repeat(np.arange(len(items)), counts)[order]
-        places = np.concatenate([np.arange(n) for n in counts])[order]
-        self.places, self.moved_by = places, self.shifts[self.owners]
+        self.places = np.concatenate([np.arange(n) for n in counts])[order]
+        self.moved_by = self.shifts[self.owners]
 
     def _hits(self, at: np.ndarray, first: np.ndarray, counts: np.ndarray, base: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(cell, posting) of the hits of the places `at`, which have counts of postings from first on, some at a time."""
+        """(cell, posting) of the hits of the places `at`, which have counts of postings from first on, some at a time.
+
+        base: by posting, the first place of its item's cells, less the posting's place.
+        """
         ends, low = np.cumsum(counts), 0
         while low < len(at):
             before = int(ends[low - 1]) if low else 0
             high = max(low + 1, int(np.searchsorted(ends, before + HITS, "right")))
             n = counts[low:high]
-            posting = np.arange(int(n.sum())) + np.repeat(first[low:high] - (ends[low:high] - n - before), n)
-            moved = np.repeat(at[low:high] + self.longest, n) - self.places[posting]
-            yield base[posting] + (moved >> self.moved_by[posting]), posting
+            posting = _ranges(first[low:high], n)
+            cell = np.repeat(at[low:high], n)
+            cell += base[posting]
+            cell >>= self.moved_by[posting]
+            yield cell, posting
             low = high
 
     def bands(self, grams: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
         """(item, start, end) of parts of a text of size characters, with these grams, that may hold an item."""
-        step = max(PIECE, 4 * self.overlap)
+        step, span = max(PIECE, 4 * self.overlap), -1
         for start in range(0, max(1, size - self.overlap), step):
             piece = grams[start : start + step + self.overlap]
-            cells = ((min(size - start, step + self.overlap) + self.longest) >> self.shifts) + 3
-            base = np.append(0, np.cumsum(cells))
-            own = base[self.owners]
+            if span != (span := min(size - start, step + self.overlap)):
+                cells = ((span + self.longest) >> self.shifts) + 3
+                base = np.append(0, np.cumsum(cells))
+                own = (base[self.owners] << self.moved_by) + self.longest - self.places
+                needed = np.repeat(self.hits, cells)
+                needed[base[1:] - 1] = _NEVER
             slots = (piece >> self.bits).view(np.int64)
-            first, counts = self.first[slots], self.first[slots + 1] - self.first[slots]
-            at = np.flatnonzero(counts)
-            first, counts = first[at].astype(np.int64), counts[at].astype(np.int64)
-            found = np.zeros(int(base[-1]), np.int64)
+            at = np.flatnonzero(self.filled[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
+            slots = slots[at]
+            first = self.first[slots].astype(np.int64)
+            counts = self.first[slots + 1] - first
+            found, total = np.zeros(int(base[-1]), np.int64), int(counts.sum())
             known = []
             for cell, posting in self._hits(at, first, counts, own):
-                known = [(cell, posting)] if len(cell) == counts.sum() else []
-                found += np.bincount(cell, minlength=len(found))
-            needed = np.repeat(self.hits, cells)
-            needed[base[1:] - 1] = _NEVER
-            passed = found + np.append(found[1:], 0) >= needed
+                if len(cell) == total:
+                    known, found = [(cell, posting)], np.bincount(cell, minlength=len(found))
+                else:
+                    found += np.bincount(cell, minlength=len(found))
+            passed = np.zeros(len(found), bool)  # not the last one
+            np.greater_equal(found[:-1] + found[1:], needed[:-1], out=passed[:-1])
+            touched = passed.copy()
+            touched[1:] |= passed[:-1]
             # A gram that text or item repeats makes many hits: of the bands left, count the item's places that are hit.
-            keys = []
+            keys = [np.zeros(0, np.int64)]
             for cell, posting in known or self._hits(at, first, counts, own):
-                for band in (cell, cell - 1):
-                    near = np.flatnonzero(passed[band])
-                    if len(near):
-                        keys.append(np.unique(band[near] * self.longest + self.places[posting[near]]))
-            if keys:
-                hit, places = np.unique(np.unique(np.concatenate(keys)) // self.longest, return_counts=True)
-                found[:] = 0
-                found[hit] = places
-                passed &= found >= needed
-            passed = np.flatnonzero(passed)
+                near = np.flatnonzero(touched[cell])
+                cell, places = cell[near], self.places[posting[near]]
+                own_band, band_before = passed[cell], passed[cell - 1]
+                keys.append(_distinct(np.concatenate([cell[own_band] * self.longest + places[own_band], (cell[band_before] - 1) * self.longest + places[band_before]])))
+            hit = (keys[1] if len(keys) == 2 else _distinct(np.concatenate(keys))) // self.longest
+            firsts = np.flatnonzero(np.diff(hit, prepend=-1))
+            hit, places = hit[firsts], np.diff(firsts, append=len(hit))
+            enough = hit[places >= needed[hit]]
+            passed = enough if self.hits.all() else np.union1d(enough, np.flatnonzero(passed & (needed == 0)))
             if not len(passed):
                 continue
             breaks = np.flatnonzero(np.diff(passed) > 1)
@@ -200,26 +244,32 @@ def _lanes(pairs: list[tuple[str, str]], blocks: int, last: bool = False) -> tup
 
     last: an item's last character has the highest bit, and the bits below its first are set.
     """
-    rows = np.empty((max(len(text) for _, text in pairs), len(pairs)), np.int64)
-    known: dict[str, tuple[int, np.ndarray]] = {}
-    tables, size = [], 0
-    for lane, (item, text) in enumerate(pairs):
-        if item not in known:
-            letters, which = np.unique(np.frombuffer(item.encode("utf-32-le"), np.uint32), return_inverse=True)
-            unused = 64 * blocks - len(item) if last else 0
-            at = np.arange(len(item)) + unused
-            table = np.zeros((len(letters) + 1, blocks), np.uint64)
-            table[:, 0] = (1 << unused) - 1
-            np.bitwise_or.at(table, (which + 1, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-            known[item] = size, letters
-            tables.append(table)
-            size += len(table)
-        start, letters = known[item]
-        own = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        at = np.minimum(np.searchsorted(letters, own), len(letters) - 1)
-        rows[:, lane] = start  # of no letter of the item; so is what follows a shorter text, which lowers no distance
-        rows[: len(own), lane] += np.where(letters[at] == own, at + 1, 0)
-    return rows, np.concatenate(tables)
+    numbers: dict[str, int] = {}
+    own = np.array([numbers.setdefault(item, len(numbers)) for item, _ in pairs], np.int64)
+    sizes, lengths = np.array([len(item) for item in numbers]), np.array([len(text) for _, text in pairs])
+    item_codes, text_codes = (np.frombuffer("".join(x).encode("utf-32-le"), np.uint32) for x in (numbers, (text for _, text in pairs)))
+    letters = np.unique(item_codes)
+    ranks = np.zeros(int(letters[-1]) + 2, np.int64)  # 0: of no item
+    ranks[letters] = np.arange(1, len(letters) + 1)
+    ranks = ranks.take(np.minimum(item_codes, len(ranks) - 1)), ranks.take(np.minimum(text_codes, len(ranks) - 1))
+    # An item has a row for no letter of its own, which is that of what follows a shorter text too: it lowers no distance.
+    none = np.arange(len(numbers)) * (len(letters) + 1)
+    keys, wanted = np.repeat(none, sizes) + ranks[0], np.repeat(none[own], lengths) + ranks[1]
+    count = len(numbers) * (len(letters) + 1)
+    if count * blocks > CELLS:  # many items of large alphabets: rows of their own letters only
+        present = np.unique(np.append(none, keys))
+        at = np.minimum(np.searchsorted(present, wanted), len(present) - 1)
+        wanted = np.where(present[at] == wanted, at, np.searchsorted(present, np.repeat(none[own], lengths)))
+        none, keys, count = np.searchsorted(present, none), np.searchsorted(present, keys), len(present)
+    unused = 64 * blocks - sizes if last else np.zeros(len(sizes), np.int64)
+    masks = np.zeros((count, blocks), np.uint64)
+    if last:
+        masks[:, 0] = np.repeat((np.uint64(1) << unused.astype(np.uint64)) - np.uint64(1), np.diff(none, append=count))
+    at = _ranges(unused, sizes)
+    np.bitwise_or.at(masks, (keys, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    rows = np.repeat(none[own], lengths.max()).reshape(len(pairs), -1)
+    rows[np.arange(rows.shape[1]) < lengths[:, None]] = wanted
+    return np.ascontiguousarray(rows.T), masks
 
 
 def _together(pairs: list[tuple[str, str]], blocks: int) -> np.ndarray:
@@ -344,15 +394,15 @@ class Items:
         """Text -> (item, start, end) of its parts that may hold an item. plain: normalised texts."""
         # No item holds a line feed, so no gram reaches from one text into the next.
         codes = _codes("\n".join(plain))
-        ends = np.cumsum([len(text) + 1 for text in plain])
+        ends = list(accumulate(len(text) + 1 for text in plain))
         out: dict[int, set[tuple[int, int, int]]] = defaultdict(set)
         grams: dict[int, np.ndarray] = {}
         for group in self.groups:
             if group.gram not in grams:
                 grams = {group.gram: _grams(codes, group.gram)}
             for index, begin, end in group.bands(grams[group.gram], len(codes)):
-                own = int(np.searchsorted(ends, max(begin, 0), "right"))
-                while own < len(plain) and (low := int(ends[own]) - len(plain[own]) - 1) < end:
+                own = bisect_right(ends, max(begin, 0))
+                while own < len(plain) and (low := ends[own] - len(plain[own]) - 1) < end:
                     if plain[own] and low + len(plain[own]) > begin:
                         out[own].add((index, max(0, begin - low), min(len(plain[own]), end - low)))
                     own += 1
@@ -404,7 +454,7 @@ def _checked(batches: Iterator[pa.RecordBatch], items: object, max_edits: float)
     block = items.value
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64())]))
     for batch, documents in texts(batches, "text"):
-        plain = [normal(text).decode() for text in documents]
+        plain = [text.decode() for text in normals(documents)]
         tried: dict[int, set[tuple[int, int, int]]] = {}
         if block.ids:
             for first, part in _together_by_size(plain):
